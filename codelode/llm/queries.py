@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import components, topn
-from codelode.session import load
+from codelode.llm import balls, components, spans, streams, topn
+from codelode.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = cut(streams.file_streams(load(spark, d, "tokens")), "streams")
+    return spans.shared_spans(packed, 50)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     functions = topn.top_n_per_group(load(spark, d, "functions"), "scan_id", "function_id", "complexity", 10)
     offenders = topn.top_n_per_group(
@@ -30,8 +35,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.advisory_groups(load(spark, d, "advisories"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return balls.similar_pairs(cut(streams.file_streams(load(spark, d, "tokens")), "streams"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return balls.near_duplicate_groups(cut(streams.file_streams(load(spark, d, "tokens")), "streams"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups}
 
 
 def oracle_sql() -> dict[str, str]:
