@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import balls, components, spans, streams, topn
+from codelode.llm import balls, components, secrets, spans, streams, topn
 from codelode.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,16 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return balls.near_duplicate_groups(cut(streams.file_streams(load(spark, d, "tokens")), "streams"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(load(spark, d, "files")).select("file_id", "line").distinct()
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redact_files(load(spark, d, "files"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
