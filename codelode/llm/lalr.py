@@ -1,9 +1,9 @@
 """Parse tables from grammars written as text, and table-driven recognition of token streams.
 
-Tables are LALR(1) with the lookaheads of DeRemer and Pennello (1982). Where a grammar is
-ambiguous, the plain parser shifts rather than reduces and takes the earlier rule; when it finds an
-error, a generalized parser over a graph-structured stack, which follows all actions,
-decides. A text is so rejected only if no derivation of the grammar gives it.
+Tables are LALR(1) with the lookaheads of DeRemer and Pennello (1982). Where a
+grammar leaves a choice all actions are followed side by side, each with its own stack; equal
+stacks merge, and should there be more than ``LIMIT`` a graph-structured stack takes over. A text is
+rejected only if no derivation of the grammar gives it.
 
 Every terminal is one character in the token stream. A line's effect on the stack
 depends only on its terminals and the states on top that it looks at, and is remembered by these.
@@ -15,6 +15,8 @@ import re
 from dataclasses import dataclass, field
 
 END = "\x00"
+#: Ways to read a text kept side by side before the graph-structured stack takes over.
+LIMIT = 64
 
 
 @dataclass
@@ -209,68 +211,105 @@ def _spread(sets: dict, edges: dict[tuple, list]) -> None:
                 todo.append(x)
 
 
+class _TooMany(Exception):
+    pass
+
+
 def first_error(t: Tables, lines: list[str], semi: str = "", closers: str = "") -> int:
     """The number of the line (from 0) at which the token stream stops being a prefix of the language, or -1.
 
     ``lines`` are terminals line by line. ``semi`` is a terminal that is put in where a token
     does not fit and begins a line, is one of ``closers`` or the end.
     """
-    stack = [0]
+    stacks: list[tuple[int, ...]] = [(0,)]
     memo = t.memo
-    for line in lines:
-        known = memo.get(line)
-        if known is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            known = memo[line] = {}
-        for depth, seen in known.items():
-            new = seen.get(tuple(stack[-depth:]))
-            if new is not None:
-                stack[-depth:] = new
-                break
-        else:
-            before = stack[:]
-            low = _advance(t, stack, line, True, semi, closers)
-            if low < 0:
-                return _general(t, lines, semi, closers)
-            depth = len(before) - low + 1
-            known.setdefault(depth, {})[tuple(before[-depth:])] = stack[low - 1 :]
-    if _advance(t, stack, END, True, semi, closers + END) < 0:
+    try:
+        for number, line in enumerate(lines):
+            known = memo.get(line)
+            if known is None:
+                if len(memo) > 100_000:
+                    memo.clear()
+                known = memo[line] = {}
+            out: dict[tuple[int, ...], None] = {}
+            for stack in stacks:
+                for depth, seen in known.items():
+                    ends = seen.get(stack[-depth:])
+                    if ends is not None:
+                        break
+                else:
+                    depth, ends = _run_line(t, stack, line, semi, closers)
+                    known.setdefault(depth, {})[stack[-depth:]] = ends
+                base = stack[:-depth]
+                for end in ends:
+                    out[base + end] = None
+            if not out:
+                return number
+            stacks = list(out)
+            if len(stacks) > LIMIT:
+                raise _TooMany
+        if any(_run_line(t, stack, END, semi, closers + END)[1] for stack in stacks):
+            return -1
+        return max(0, len(lines) - 1)
+    except _TooMany:
         return _general(t, lines, semi, closers)
-    return -1
 
 
-def _advance(t: Tables, stack: list[int], line: str, fresh: bool, semi: str, closers: str) -> int:
-    """Run terminals on the stack; the least height it had, or -1 on an error."""
-    action, goto, rules = t.action, t.goto, t.rules
-    low = len(stack)
+def _run_line(t: Tables, stack: tuple[int, ...], line: str, semi: str, closers: str) -> tuple[int, list[tuple[int, ...]]]:
+    """How many states of the stack the line looks at, and what those become, for each way to read it."""
+    low = [len(stack)]
+    ways = [(len(stack), ())]
+    fresh = True
     for c in line:
-        tried = False
-        while True:
-            a = action[stack[-1]].get(c)
-            if a is None:
-                if semi and not tried and (fresh or c in closers):
-                    tried = True
-                    mark = stack[:]
-                    least = _advance(t, stack, semi, False, "", "")
-                    if least > 0:
-                        low = min(low, least)
-                        continue
-                    stack[:] = mark
-                return -1
+        nxt: dict[tuple, None] = {}
+        for way in ways:
+            got = _fits(t, stack, way, c, low)
+            if not got and semi and (fresh or c in closers):
+                got = {y: None for x in _fits(t, stack, way, semi, low) for y in _fits(t, stack, x, c, low)}
+            nxt.update(got)
+        ways = list(nxt)
+        if len(ways) > LIMIT:
+            raise _TooMany
+        if not ways:
+            break
+        fresh = False
+    keep = min(low[0], *(k for k, _ in ways)) if ways else low[0]
+    depth = len(stack) - keep + 1
+    return depth, [stack[keep - 1 : k] + pushed for k, pushed in ways]
+
+
+def _fits(t: Tables, stack: tuple[int, ...], way: tuple, c: str, low: list[int]) -> dict[tuple, None]:
+    """The ways on after all reductions before ``c`` and its shift; ``way`` is the states kept of ``stack`` and those pushed since."""
+    action, goto, rules, others = t.action, t.goto, t.rules, t.others
+    out: dict[tuple, None] = {}
+    todo, seen = [way], {way}
+    while todo:
+        kept, pushed = todo.pop()
+        state = pushed[-1] if pushed else stack[kept - 1]
+        act = action[state].get(c)
+        if act is None:
+            continue
+        more = others[state].get(c)
+        for a in (act, *more) if more else (act,):
             if a > 0:
-                stack.append(a - 1)
-                break
+                out[kept, (*pushed, a - 1)] = None
+                continue
             if a == 0:
-                return low
+                out[kept, pushed] = None
+                continue
             head, size = rules[-a - 1]
-            if size:
-                del stack[-size:]
-                if len(stack) < low:
-                    low = len(stack)
-            stack.append(goto[stack[-1]][head])
-        fresh = False
-    return low
+            if size <= len(pushed):
+                k, rest = kept, pushed[: len(pushed) - size]
+            else:
+                k, rest = kept - (size - len(pushed)), ()
+                if k < low[0]:
+                    low[0] = k
+            to = goto[rest[-1] if rest else stack[k - 1]].get(head)
+            if to is not None and (new := (k, (*rest, to))) not in seen:
+                seen.add(new)
+                if len(seen) > 4 * LIMIT:
+                    raise _TooMany
+                todo.append(new)
+    return out
 
 
 def _general(t: Tables, lines: list[str], semi: str, closers: str) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import balls, components, secrets, spans, streams, topn
+from codelode.llm import balls, components, secrets, spans, streams, syntax, topn
 from codelode.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return components.advisory_groups(load(spark, d, "advisories"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.parse_files(load(spark, d, "files")).where("error_line > 0").select("file_id").distinct()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid_rates(load(spark, d, "files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return balls.similar_pairs(cut(streams.file_streams(load(spark, d, "tokens")), "streams"))
 
@@ -52,7 +60,7 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
