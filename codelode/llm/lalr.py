@@ -215,38 +215,46 @@ class _TooMany(Exception):
     pass
 
 
+def _stacks_after(t: Tables, lines: list[str], semi: str, closers: str) -> tuple[int, list[tuple[int, ...]]]:
+    """The number of the line at which no stack is left, or -1 and the stacks."""
+    stacks: list[tuple[int, ...]] = [(0,)]
+    memo = t.memo
+    for number, line in enumerate(lines):
+        known = memo.get(line)
+        if known is None:
+            if len(memo) > 100_000:
+                memo.clear()
+            known = memo[line] = {}
+        out: dict[tuple[int, ...], None] = {}
+        for stack in stacks:
+            for depth, seen in known.items():
+                ends = seen.get(stack[-depth:])
+                if ends is not None:
+                    break
+            else:
+                depth, ends = _run_line(t, stack, line, semi, closers)
+                known.setdefault(depth, {})[stack[-depth:]] = ends
+            base = stack[:-depth]
+            for end in ends:
+                out[base + end] = None
+        if not out:
+            return number, []
+        stacks = list(out)
+        if len(stacks) > LIMIT:
+            raise _TooMany
+    return -1, stacks
+
+
 def first_error(t: Tables, lines: list[str], semi: str = "", closers: str = "") -> int:
     """The number of the line (from 0) at which the token stream stops being a prefix of the language, or -1.
 
     ``lines`` are terminals line by line. ``semi`` is a terminal that is put in where a token
     does not fit and begins a line, is one of ``closers`` or the end.
     """
-    stacks: list[tuple[int, ...]] = [(0,)]
-    memo = t.memo
     try:
-        for number, line in enumerate(lines):
-            known = memo.get(line)
-            if known is None:
-                if len(memo) > 100_000:
-                    memo.clear()
-                known = memo[line] = {}
-            out: dict[tuple[int, ...], None] = {}
-            for stack in stacks:
-                for depth, seen in known.items():
-                    ends = seen.get(stack[-depth:])
-                    if ends is not None:
-                        break
-                else:
-                    depth, ends = _run_line(t, stack, line, semi, closers)
-                    known.setdefault(depth, {})[stack[-depth:]] = ends
-                base = stack[:-depth]
-                for end in ends:
-                    out[base + end] = None
-            if not out:
-                return number
-            stacks = list(out)
-            if len(stacks) > LIMIT:
-                raise _TooMany
+        number, stacks = _stacks_after(t, lines, semi, closers)
+        if number >= 0:
+            return number
         if any(_run_line(t, stack, END, semi, closers + END)[1] for stack in stacks):
             return -1
         return max(0, len(lines) - 1)
@@ -254,6 +262,14 @@ def first_error(t: Tables, lines: list[str], semi: str = "", closers: str = "")
         return _general(t, lines, semi, closers)
 
 
+def starts_badly(t: Tables, lines: list[str], semi: str = "", closers: str = "") -> bool:
+    """Whether no text of the language begins with these lines."""
+    try:
+        return _stacks_after(t, lines, semi, closers)[0] >= 0
+    except _TooMany:
+        return False
+
+
 def _run_line(t: Tables, stack: tuple[int, ...], line: str, semi: str, closers: str) -> tuple[int, list[tuple[int, ...]]]:
     """How many states of the stack the line looks at, and what those become, for each way to read it."""
     low = [len(stack)]

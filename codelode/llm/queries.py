@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import balls, components, secrets, spans, streams, syntax, topn
+from codelode.llm import balls, components, provenance, secrets, spans, streams, syntax, topn
 from codelode.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(packed, 50)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d).select("file_id")
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _p2(spark, d)
+
+
+def _p2(spark: SparkSession, d: str) -> DataFrame:
+    measured = cut(provenance.measure_files(load(spark, d, "files")), "measured")
+    return provenance.find_not_handwritten(measured, provenance.train(measured))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     functions = topn.top_n_per_group(load(spark, d, "functions"), "scan_id", "function_id", "complexity", 10)
     offenders = topn.top_n_per_group(
@@ -60,7 +73,7 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelode.llm import grammars
-from codelode.llm.lalr import Tables, build, first_error
+from codelode.llm.lalr import Tables, build, first_error, starts_badly
 
 BAD = "\x01"
 #: Files are judged by the language their extension claims. JSX is beyond the grammars: ``.tsx`` and ``.jsx`` are not judged.
@@ -181,6 +181,18 @@ class Parser:
         breaks = [m.start() for m in self.lexer.finditer(text) if self.kinds[m[0]] == "\n"]
         return text.count("\n", 0, breaks[part - 1] + 1) + 1 if part else 1
 
+    def dies_within(self, lines: list[str]) -> bool:
+        """Whether no valid text begins with these lines; brackets and literals may stay open."""
+        text = "\n".join(lines)
+        parts = "".join(map(self.kinds.__getitem__, self.lexer.findall(text))).split("\n")
+        if any(BAD in p for p in parts):
+            parts = [p.split(BAD)[0] for p in parts]
+        if self.language == "python":
+            parts = [parts[0] + (self.tables.terminals["NEWLINE"] if sum(self.net.get(c, 0) for c in parts[0]) == 0 and parts[0][-1:] != self.tables.terminals[":"] else "")]
+        elif self.language == "go":
+            parts = [p + self.tables.terminals[";"] if p and p[-1] in self.ends else p for p in parts]
+        return starts_badly(self.tables, [p for p in parts if p], self.semi, self.closers)
+
     def _indented(self, parts: list[str], breaks: list[str], text: str) -> tuple[list[str], list[int]]:
         """Logical lines with indents and dedents."""
         t, net = self.tables.terminals, self.net
