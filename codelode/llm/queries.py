@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import balls, components, provenance, secrets, spans, streams, syntax, topn
+from codelode.llm import balls, components, mojibake, provenance, secrets, spans, streams, syntax, topn
 from codelode.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +72,23 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_files(load(spark, d, "files"))
 
 
+def _p10(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    model = mojibake.count_bigrams(documents)
+    explained = cut(mojibake.explanations(documents, model), "explained")
+    return mojibake.settle(explained, documents, model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d)
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted, "p10_found": p10_found, "p10_restored": p10_restored}
 
 
 def oracle_sql() -> dict[str, str]:
