@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import balls, components, mojibake, provenance, secrets, spans, streams, syntax, topn
+from codelode.llm import balls, components, mixing, mojibake, packing, provenance, secrets, sizes, spans, streams, syntax, topn
 from codelode.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,22 @@ def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redact_files(load(spark, d, "files"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(cut(sizes.token_sizes(load(spark, d, "documents")), "sizes"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(cut(sizes.token_sizes(load(spark, d, "documents")), "sizes"), load(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(p9_mixture(spark, d), load(spark, d, "mix_targets"))
+
+
 def _p10(spark: SparkSession, d: str) -> DataFrame:
     documents = load(spark, d, "documents")
     model = mojibake.count_bigrams(documents)
@@ -88,7 +104,11 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_scores": p2_scores, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p5_rates": p5_rates, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_redacted": p7_redacted, "p10_found": p10_found, "p10_restored": p10_restored}
+    found = (
+        p1_found, p2_found, p2_scores, p3_found, p4_found, p5_found, p5_rates, p6_found, p6_groups, p7_found, p7_redacted,
+        p8_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_restored,
+    )
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
