@@ -2,10 +2,378 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codelode.functions import text as T
+from codelode.operators import coverage, dependencies, duplication, metrics, quality, rules, snapshots
+from codelode.operators import sourcefiles as S
+from codelode.plans import oracles
+from codelode.session import load
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+CUSTOM_RULES = [
+    ("todo", "minor", [], r"TODO: \w+", "open task: $0"),
+    ("null-compare", "weird", ["typescript", "javascript"], r"=== null", None),
+    ("none-compare", "major", ["python"], r"is (?:not )?None", "compare: $0"),
+    ("modulo", "info", [], r"% \d+", "modulo $0"),
+    ("modulo", "blocker", [], r"zzz", "a second rule of one id"),
+    ("look", "major", [], r"(?=a)b", "lookahead is rejected"),
+]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "files")
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return duplication.clean_tokens(load(spark, d, "tokens"), _files(spark, d))
+
+
+def _coverage_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as coverage lines: an order is a file, its category the return flag, and more than 25 pieces are a hit."""
+    return load(spark, d, "lineitem").select(
+        F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("path"), F.col("l_linenumber").alias("line"),
+        (F.col("l_quantity") >= 25).cast("long").alias("hits"), F.col("l_returnflag").alias("category"), F.col("l_suppkey").alias("commit"),
+    )
+
+
+def _event_snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each user's last event up to the middle and the end of the stream, as two snapshots."""
+    events = load(spark, d, "events").where("user_id is not null")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.agg((F.min(at) / 2 + F.max(at) / 2).alias("middle"))
+    marked = events.join(F.broadcast(bounds)).withColumn("early", at <= F.col("middle"))  # one row
+    last = lambda x: x.groupBy(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("path")).agg(
+        F.max_by("event_type", F.struct("ts", "event_id")).alias("hash")
+    )
+    return last(marked.where("early")), last(marked)
+
+
+def _event_issues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Event types by user in the first and in the second half of the stream, as the issues of two runs."""
+    events = load(spark, d, "events").where("user_id is not null")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = events.agg((F.min(at) / 2 + F.max(at) / 2).alias("middle"))
+    marked = events.join(F.broadcast(bounds)).withColumn("early", at <= F.col("middle"))  # one row
+    rows = marked.select(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("path"), F.concat_ws(":", "event_type", F.hour("ts")).alias("key"), "early")
+    return rows.where("early").drop("early"), rows.where("not early").drop("early")
+
+
+@query
+def language_metrics(spark, d):
+    return S.metrics_by_language(_files(spark, d))
+
+
+@query
+def file_line_metrics(spark, d):
+    return S.metrics_by_file(_files(spark, d))
+
+
+@query
+def language_histogram(spark, d):
+    return metrics.language_histogram(_files(spark, d))
+
+
+@query
+def nosonar_by_file(spark, d):
+    rows = S.line_rows(_files(spark, d).withColumn("language", S.language_of(F.col("path"))), "language").distinct()
+    return rows.where(S.nosonar(F.col("text"), F.col("language"))).groupBy("file_id").agg(F.count(F.lit(1)).alias("markers"))
+
+
+@query
+def path_predicates(spark, d):
+    rows = S.once(_files(spark, d), "path")
+    return rows.select(
+        "file_id", S.language_of(F.col("path")).alias("language"), T.extension(F.col("path")).alias("ext"),
+        S.is_test_or_generated(F.col("path")).alias("excluded"), S.duplication_eligible(F.col("path")).alias("eligible"),
+    )
+
+
+@query
+def discovered_files(spark, d):
+    found = S.discover(_files(spark, d), ["src/**", "**/lib/**/*.{rs,go}", "pkg"], ["**/vendors/**", "**/*_generator.*"], 4096, tests=False)
+    return found.select("file_id", "path").distinct()
+
+
+@query
+def project_metrics(spark, d):
+    return metrics.project_metrics(_files(spark, d), load(spark, d, "functions"))
+
+
+@query
+def comment_density(spark, d):
+    return metrics.comment_density(_files(spark, d))
+
+
+@query
+def complexity_histogram(spark, d):
+    return metrics.complexity_histogram(load(spark, d, "functions"))
+
+
+@query
+def recently_modified(spark, d):
+    return metrics.recently_modified(_files(spark, d), 365, "2031-06-30 00:00:00")
+
+
+@query
+def scan_settings(spark, d):
+    return metrics.scan_settings(load(spark, d, "scans"))
+
+
+@query
+def line_rule_issues(spark, d):
+    return rules.issues(_files(spark, d))
+
+
+@query
+def rule_counts(spark, d):
+    return rules.issues(_files(spark, d)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query
+def severity_counts(spark, d):
+    return quality.severity_counts(rules.issues(_files(spark, d)))
+
+
+@query
+def top_rules(spark, d):
+    return quality.top_rules(rules.issues(_files(spark, d)))
+
+
+@query
+def top_issues(spark, d):
+    return quality.top_issues(rules.issues(_files(spark, d)))
+
+
+@query
+def quality_ratings(spark, d):
+    return quality.ratings(rules.issues(_files(spark, d)), _files(spark, d))
+
+
+@query
+def sarif_rules(spark, d):
+    return quality.sarif_rules(rules.issues(_files(spark, d)))
+
+
+@query
+def custom_rule_issues(spark, d):
+    table = spark.createDataFrame(CUSTOM_RULES, "id string, severity string, languages array<string>, pattern string, message string")
+    return rules.custom_issues(_files(spark, d), table)
+
+
+@query
+def go_error_check(spark, d):
+    return rules.go_error_check(_files(spark, d))
+
+
+@query
+def go_global_var(spark, d):
+    return rules.go_global_var(_files(spark, d))
+
+
+@query
+def go_exported_comment(spark, d):
+    return rules.go_exported_comment(_files(spark, d))
+
+
+@query
+def python_docstring(spark, d):
+    return rules.python_docstring(_files(spark, d))
+
+
+@query
+def duplicate_imports(spark, d):
+    return rules.duplicate_imports(_files(spark, d))
+
+
+@query
+def redeclared_names(spark, d):
+    return rules.redeclared(_files(spark, d))
+
+
+@query
+def never_reassigned(spark, d):
+    return rules.never_reassigned(_files(spark, d))
+
+
+@query
+def function_limits(spark, d):
+    return rules.function_limits(load(spark, d, "functions"), _files(spark, d))
+
+
+@query
+def token_shingles(spark, d):
+    counted = duplication.shingles(_tokens(spark, d)).groupBy("hash").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("file_id").alias("files"))
+    return counted.where("files > 1")
+
+
+@query
+def winnowed_fingerprints(spark, d):
+    return duplication.winnow(duplication.shingles(_tokens(spark, d)))
+
+
+@query
+def token_duplication(spark, d):
+    return duplication.duplication_totals(_tokens(spark, d))
+
+
+@query
+def shared_fingerprints(spark, d):
+    return duplication.shared_fingerprints(_tokens(spark, d))
+
+
+@query
+def collapsed_lines(spark, d):
+    kept = duplication.collapse_runs(duplication.token_lines(_tokens(spark, d)))
+    return kept.groupBy("file_id").agg(F.count(F.lit(1)).alias("lines"), F.max("line").alias("last_line"))
+
+
+@query
+def repeated_blocks(spark, d):
+    blocks = duplication.line_blocks(duplication.collapse_runs(duplication.token_lines(_tokens(spark, d))))
+    return blocks.groupBy("hash").agg(F.count(F.lit(1)).alias("places"), F.countDistinct("file_id").alias("files")).where("places > 1")
+
+
+@query
+def duplicated_runs(spark, d):
+    return duplication.duplicated_runs(_tokens(spark, d))
+
+
+@query
+def duplication_density(spark, d):
+    return duplication.duplication_density(_tokens(spark, d))
+
+
+@query
+def reported_blocks(spark, d):
+    return duplication.reported_blocks(load(spark, d, "duplicate_blocks"))
+
+
+@query
+def coverage_by_file(spark, d):
+    return coverage.by_file(_coverage_lines(spark, d))
+
+
+@query
+def coverage_totals(spark, d):
+    return coverage.totals(_coverage_lines(spark, d))
+
+
+@query
+def coverage_by_category(spark, d):
+    return coverage.totals(_coverage_lines(spark, d), "category")
+
+
+@query
+def coverage_lowest(spark, d):
+    return coverage.lowest(_coverage_lines(spark, d))
+
+
+@query
+def new_code_coverage(spark, d):
+    lines = _coverage_lines(spark, d)
+    recent = load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("commit"))
+    return coverage.new_code(lines, lines.select("path", "line", "commit"), recent)
+
+
+@query
+def snapshot_status(spark, d):
+    return snapshots.file_status(*_event_snapshots(spark, d))
+
+
+@query
+def issue_lifecycle(spark, d):
+    return snapshots.issue_lifecycle(*_event_issues(spark, d))
+
+
+@query
+def lifecycle_counts(spark, d):
+    return snapshots.issue_lifecycle(*_event_issues(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query
+def advisory_severity(spark, d):
+    return dependencies.severity_by_ecosystem(load(spark, d, "advisories"))
+
+
+@query
+def packages_at_risk(spark, d):
+    return dependencies.packages_at_risk(load(spark, d, "advisories"))
+
+
+@query
+def package_vulnerabilities(spark, d):
+    advisories = load(spark, d, "advisories")
+    return dependencies.vulnerabilities(advisories.where("cvss >= 4").select("ecosystem", "name", "version"), advisories)
+
+
+@query
+def quality_gate(spark, d):
+    counts = quality.severity_counts(rules.issues(_files(spark, d))).where("severity in ('blocker', 'critical')")
+    values = counts.select(F.concat("severity", F.lit("_issues")).alias("check"), F.col("issues").cast("double").alias("value"))
+    cov = coverage.totals(_coverage_lines(spark, d)).select(F.lit("coverage").alias("check"), F.col("percent").alias("value"))
+    dup = duplication.duplication_totals(_tokens(spark, d)).select(F.lit("duplication").alias("check"), F.col("percent").alias("value"))
+    limits = {"blocker_issues": ("max", 0), "critical_issues": ("max", 0), "coverage": ("min", 80), "duplication": ("max", 3)}
+    return quality.gate(values.unionByName(cov).unionByName(dup), limits)
+
+
+@query
+def event_bursts(spark, d):
+    """Bursts of events per user with two hours of quiet around them: the batch form of the watch stream."""
+    from codelode.streaming import watch
+
+    return watch.bursts(load(spark, d, "events"))
+
+
+@query
+def event_bursts_streamed(spark, d):
+    """The same bursts, computed by a stream that takes what is there and stops."""
+    from codelode.streaming import watch
+
+    return watch.bursts_streamed(spark, f"{d}/events.parquet")
+
+
+@query
+def test_cases(spark, d):
+    """Events as test cases: those of type error failed; passed and failed by day."""
+    events = load(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("file"), F.when(F.col("event_type") == "error", "failed").otherwise("passed").alias("status"))
+    return events.groupBy("file").agg(F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+@query
+def content_hashes(spark, d):
+    """Hash, size and lines of each file, as a snapshot keeps them; and the Java hash of its path."""
+    rows = _files(spark, d).where("file_id is not null")
+    return rows.select("file_id", F.sha2("text", 256).alias("hash"), F.length("text").alias("chars"), F.size(T.lines(F.col("text"))).alias("lines"), T.java_hash(F.col("path")).alias("path_hash")).distinct()
+
+
+@query
+def largest_functions(spark, d):
+    """The ten most complex functions over all repositories, ties by path, line and id."""
+    f = load(spark, d, "functions").where("function_id is not null").select("function_id", "path", "start_line", "name", "complexity").distinct()
+    return f.orderBy(F.desc_nulls_last("complexity"), "path", "start_line", "function_id").limit(10)
+
+
+@query
+def function_rank_by_file(spark, d):
+    """Functions by complexity within their file, nulls last."""
+    f = load(spark, d, "functions").where("function_id is not null").select("function_id", "file_id", "complexity").distinct()
+    w = Window.partitionBy("file_id").orderBy(F.desc_nulls_last("complexity"), "function_id")
+    return f.select("function_id", "file_id", F.row_number().over(w).alias("rank"), F.lag("function_id").over(w).alias("before"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql(CUSTOM_RULES)
