@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-from codelode.operators import coverage, dependencies, duplication, metrics, quality, rules, snapshots
+from codelode.operators import coverage, dependencies, duplication, metrics, quality, rules, snapshots, taint, tokenize
 from codelode.operators import sourcefiles as S
 from codelode.plans import oracles
 from codelode.session import load
@@ -371,6 +371,18 @@ def function_rank_by_file(spark, d):
     return f.select("function_id", "file_id", F.row_number().over(w).alias("rank"), F.lag("function_id").over(w).alias("before"))
 
 
+@query
+def file_tokens(spark, d):
+    """All tokens of the files that were analyzed; the stored streams are what these should be."""
+    rows = S.once(_files(spark, d).where("analyzed"), "path", "text")
+    return tokenize.tokenize(rows.select("file_id", S.language_of(F.col("path")).alias("language"), "text"))
+
+
+@query
+def tainted_sinks(spark, d):
+    return taint.tainted_sinks(_files(spark, d))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
