@@ -67,7 +67,7 @@ bin_S : unary_S (binop unary_E)* ;
 binop : BINOP | '=' | '>' | '>' '>' | '>' '>' '>' | '<' | '*' | '-' | '+' | '&' | '|' | 'in' | 'instanceof' | '>=' | '>' '>=' | '>' '>' '>=' ;
 unary_E : postfix_E INCDEC? | prefix unary_E | arrow | 'yield' '*'? unary_E ;
 unary_S : postfix_S INCDEC? | prefix unary_E | arrow | 'yield' '*'? unary_E ;
-prefix : '!' | '~' | '+' | '-' | INCDEC | 'typeof' | 'void' | 'delete' | 'await' ;
+prefix : '!' | '~' | '+' | '-' | INCDEC | PREINC | 'typeof' | 'void' | 'delete' | 'await' ;
 arrow : 'async'? id '=>' arrowbody | 'async'? paren %RETTYPE% '=>' arrowbody %GENARROW% ;
 arrowbody : block | expr_S ;
 postfix_E : primary_S suffix* | object suffix* | funcexpr suffix* ;
@@ -364,8 +364,8 @@ DART_WORDS = (
 ).split()
 DART = """
 program : HASHBANG? directive* top* ;
-id : ID | 'abstract' | 'as' | 'async' | 'base' | 'covariant' | 'deferred' | 'dynamic' | 'export' | 'extension' | 'external' | 'factory' | 'get' | 'hide' | 'implements'
-   | 'import' | 'interface' | 'late' | 'library' | 'mixin' | 'of' | 'on' | 'operator' | 'part' | 'required' | 'sealed' | 'set' | 'show' | 'static' | 'sync' | 'typedef' | 'when' | 'Function' | 'await' | 'yield' ;
+id : ID | 'abstract' | 'as' | 'async' | 'base' | 'covariant' | 'deferred' | 'dynamic' | 'extension' | 'external' | 'factory' | 'get' | 'hide' | 'implements'
+   | 'interface' | 'late' | 'mixin' | 'of' | 'on' | 'operator' | 'required' | 'sealed' | 'set' | 'show' | 'static' | 'sync' | 'when' | 'Function' | 'await' | 'yield' ;
 meta : '@' id ('.' id)* targs? args? ;
 directive : meta* ('library' (id ('.' id)*)? ';' | ('import' | 'export') STR+ ('if' '(' id ('.' id)* ('==' STR)? ')' STR)* ('deferred'? 'as' id)? (('show' | 'hide') id (',' id)*)* ';'
           | 'part' ('of' id ('.' id)* | 'of'? STR) ';') ;

@@ -42,7 +42,7 @@ _LITERAL = r"(?:[bBrRuU]{0,2}(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]
 _JOINED = rf"{_LITERAL}(?:\s*\+\s*{_LITERAL}|[ \t]*\\?\n?[ \t]+{_LITERAL})*"
 _NAMED = re.compile(
     r"(?:pass_?word|passwd|passphrase|pass|pwd|secret|token|key|credentials?|creds)\d*([\"'`]?)\]?[ \t]*"
-    r"(?::[ \t]*&?[ \t]*'?[a-z][\w<>\[\]?.]*(?:[ \t]+[a-z]\w*)?[ \t]*(?==)|)(=>|:=|=(?![=>])|:(?![:=])|,)[ \t]*(?:concat!\()?"
+    r"(?::[ \t]*&?[ \t]*'?[a-z][\w<>\[\]?.]*(?:[ \t]+[a-z]\w*)?[ \t]*(?==[ \t]*[br&]?[\"'`c])|)(=>|:=|=(?![=>])|:(?![:=])|,)[ \t]*(?:concat!\()?"
 )  # on lower-cased text
 _NAME_START = re.compile(r"[\"'`]?[A-Za-z_]?[\w.\-]*$")
 _VALUE = re.compile(rf"{_JOINED}|[^\s\"'`,][^\n]*")

@@ -156,6 +156,7 @@ class Parser:
         if self.semi:
             self.kinds[";"] = self.semi
         self.closers = t["}"]
+        self.postfix = t["INCDEC"] if "PREINC" in t else ""
         self.net = {t[c]: n for c, n in zip("([{)]}", (1, 1, 1, -1, -1, -1), strict=True)}
         if language == "go":
             ends = ["ID", "NUM", "STR", "RUNE", "INCDEC", "break", "continue", "fallthrough", "return", ")", "]", "}"]
@@ -172,6 +173,8 @@ class Parser:
             lines, origin = [], []
             for i, p in enumerate(parts):
                 if p:
+                    if p[0] == self.postfix:  # no line end may stand before a postfix operator
+                        p = self.tables.terminals["PREINC"] + p[1:]
                     lines.append(p + self.tables.terminals[";"] if self.language == "go" and p[-1] in self.ends else p)
                     origin.append(i)
         bad = first_error(self.tables, lines, self.semi, self.closers)
