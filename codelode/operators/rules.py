@@ -215,10 +215,11 @@ def useless_rename(files: DataFrame) -> DataFrame:
 
 def optional_chain(files: DataFrame) -> DataFrame:
     """``a && a.b``."""
-    rows = _code_rows(files, TS)
-    rows = rows.withColumn("m", F.explode(F.regexp_extract_all("code", F.lit(rf"({_ID}(?:\.{_ID})*)\s*&&\s*({_ID}(?:\.{_ID})*)"), F.lit(0))))
-    left, right = F.regexp_extract("m", r"^([^\s&]+)", 1), F.regexp_extract("m", r"([^\s&]+)$", 1)
-    return _issue(rows.where(F.startswith(right, F.concat(left, F.lit(".")))), "prefer-optional-chain")
+    rows = _code_rows(files, TS).where(F.col("code").contains("&&")).withColumn("parts", F.split("code", r"\s*&&\s*"))
+    pair = F.arrays_zip(F.slice("parts", 1, F.size("parts") - 1).alias("a"), F.slice("parts", 2, F.size("parts")).alias("b"))
+    rows = rows.select("file_id", "path", "line", F.explode(pair).alias("m"))
+    left, right = F.regexp_extract("m.a", rf"({_ID}(?:\.{_ID})*)$", 1), F.regexp_extract("m.b", rf"^({_ID}(?:\.{_ID})*)", 1)
+    return _issue(rows.where((left != "") & F.startswith(right, F.concat(left, F.lit(".")))), "prefer-optional-chain")
 
 
 def _code_rows(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:

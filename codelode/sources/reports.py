@@ -36,8 +36,8 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def _classes(reports: DataFrame) -> DataFrame:
-    chunk = F.explode(F.slice(F.split("text", r"<class\b"), 2, 1 << 30))
-    return reports.select(F.col("path").alias("report"), F.get(F.split(chunk, "</class>"), F.lit(0)).alias("chunk"))
+    chunks = F.transform(F.slice(F.split("text", r"<class\b"), 2, 1 << 30), lambda c: F.get(F.split(c, "</class>"), F.lit(0)))
+    return reports.select(F.col("path").alias("report"), F.explode(chunks).alias("chunk"))
 
 
 def cobertura(reports: DataFrame) -> DataFrame:
