@@ -119,6 +119,15 @@ def points(text: str) -> np.ndarray:
     return p
 
 
+_LETTER = np.array([chr(c).isalpha() for c in range(0xFFFF)] + [False])
+
+
+def letter_pairs(p: np.ndarray) -> np.ndarray:
+    """Which neighbours are a character outside ASCII and a letter, or one that is both; signs that stand alone say little about an encoding."""
+    letter, high = _LETTER[np.minimum(p, 0xFFFF)], p > 127
+    return (letter[:-1] | letter[1:]) & (high[:-1] | high[1:])
+
+
 def cells(p: np.ndarray) -> np.ndarray:
     """The cell of every pair of neighbours."""
     x = p[:-1].astype(np.uint64) * _A + p[1:].astype(np.uint64) * _B
@@ -126,7 +135,7 @@ def cells(p: np.ndarray) -> np.ndarray:
 
 
 class Bigrams:
-    """Log probabilities of neighbours by language, and their usual value where a character outside ASCII takes part."""
+    """Log probabilities of neighbours by language, and their usual value where a letter outside ASCII takes part."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, high: np.ndarray) -> None:
         self.languages = languages
@@ -139,10 +148,9 @@ class Bigrams:
         return float(self.log[cells(points(" " + text + " "))].sum(axis=0).max())
 
     def parts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """By language, the log probability within ASCII and of the other neighbours; and how many of these there are."""
+        """By language, the log probability of neighbours without and with a letter outside ASCII; and how many the latter are."""
         p = points(" " + text + " ")
-        high = p > 127
-        high = high[:-1] | high[1:]
+        high = letter_pairs(p)
         each = self.log[cells(p)]
         return each[~high].sum(axis=0), each[high].sum(axis=0), int(high.sum())
 
@@ -159,8 +167,7 @@ class Bigrams:
         p = points("".join(f" {x} " for x in lines))
         size = np.array([len(x) + 2 for x in lines])
         starts = np.cumsum(size) - size
-        high = p > 127
-        high = (high[:-1] | high[1:])[:, None]
+        high = letter_pairs(p)[:, None]
         each = self.log[cells(p)]
         total, above, n = (np.add.reduceat(x, starts, axis=0) for x in (each, each * high, high[:, 0].astype(np.int64)))
         best = total.argmax(axis=1)
@@ -199,11 +206,10 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_cells(text: str) -> np.ndarray:
-    """Two rows: counts of all neighbours by cell, and of those with a character outside ASCII."""
+    """Two rows: counts of all neighbours by cell, and of those that :func:`letter_pairs` takes."""
     p = points(text)
-    high = p > 127
     at = cells(p)
-    return np.stack((np.bincount(at, minlength=CELLS), np.bincount(at[high[:-1] | high[1:]], minlength=CELLS)))
+    return np.stack((np.bincount(at, minlength=CELLS), np.bincount(at[letter_pairs(p)], minlength=CELLS)))
 
 
 def swaps_for(text: str) -> list[str]:
@@ -307,8 +313,9 @@ class _OneForOne:
         self.at = np.flatnonzero(high)
         self.pairs = np.flatnonzero(high[:-1] | high[1:])
         self.chars, self.which = np.unique(self.points[self.at], return_inverse=True)
-        self.low, self.before, _ = model.parts(text)
-        self.base = float((self.low + self.before).max())
+        each = model.log[cells(self.points)]
+        total = each.sum(axis=0)
+        self.low, self.base = total - each[self.pairs].sum(axis=0), float(total.max())
         self.seen: set[tuple[int, ...]] = set()
 
     def gain(self, swap: str) -> float:
