@@ -38,11 +38,14 @@ _PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|[sr]k_live_|xox[a
 _URL = re.compile(r"://[^\s:/@\"'`<>]*:([^\s/@\"'`<>]+)@")
 _CURL = re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)\s*[=\s]\s*[\"']?[^\s:\"']+:([^\s\"']+)")
 _HEADER = re.compile(r"\b([bB](?:earer|EARER|asic|ASIC))\s+([A-Za-z0-9+/_.~-]{12,}={0,2})")
+_PROSE = re.compile(r"\b(?:[pP]ass(?:word|wd|phrase)|[sS]ecret|[tT]oken|[kK]ey)\s+(?:is|was)\s+[\"'`]?([^\s\"'`]{6,}?)[\"'`.,;]?(?=\s|$)")
+_LOGIN = re.compile(r"\b(?:[lL]ogin|[cC]red(?:ential)?s?|[aA]ccount)\s*[:=]\s*\S+\s+/\s+([^\s\"'`]{6,})")
+_PLACED = re.compile(r"\b(?:connect|login|log_in|authenticate|sign_?[iI]n|signIn|auth)\(\s*[\"'`][^\"'`\n]+[\"'`]\s*,\s*[\"'`]([^\"'`\n]{6,})[\"'`]")
 _LITERAL = r"(?:[bBrRuU]{0,2}(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`))"
 _JOINED = rf"{_LITERAL}(?:\s*\+\s*{_LITERAL}|[ \t]*\\?\n?[ \t]+{_LITERAL})*"
 _NAMED = re.compile(
     r"(?:pass_?word|passwd|passphrase|pass|pwd|secret|token|key|credentials?|creds)\d*([\"'`]?)\]?[ \t]*"
-    r"(?::[ \t]*&?[ \t]*'?[a-z][\w<>\[\]?.]*(?:[ \t]+[a-z]\w*)?[ \t]*(?==[ \t]*[br&]?[\"'`c])|)(=>|:=|=(?![=>])|:(?![:=])|,)[ \t]*(?:concat!\()?"
+    r"(?::[ \t]*&?[ \t]*'?[a-z][\w<>\[\]?.]*(?:[ \t]+[a-z]\w*)?[ \t]*(?==[ \t]*[br&]?[\"'`c])|)(=>|:=|[=!]={1,2}|=(?![=>])|:(?![:=])|,)[ \t]*(?:concat!\()?"
 )  # on lower-cased text
 _NAME_START = re.compile(r"[\"'`]?[A-Za-z_]?[\w.\-]*$")
 _VALUE = re.compile(rf"{_JOINED}|[^\s\"'`,][^\n]*")
@@ -67,7 +70,7 @@ _NOTHING = re.compile(
     r"|(?:my|the|a|test|set)?[-_ ]?(?:pass(?:word|wd|phrase)?|secret|token|api[-_]?key|key|credentials?)[-_ ]?(?:here)?)$"
 )
 _ELSEWHERE = re.compile(
-    r"(?i)^(?:\$|%\w+%$|\{\{|<|file:|vault:|env[:.(]|env!|ref\+|arn:|ssm:|secretsmanager|sm://|keychain:|op://|!|&|@|\.{0,2}/)|\$\{|\{\{|process\.env|getenv|environ"
+    r"(?i)^(?:\$|%\w+%$|\{\{|<|file:|vault:|env[:.(]|env!|ref\+|arn:|ssm:|secretsmanager|sm://|keychain:|op://|!|&|@|(?-i:(?:~|\.{0,2})/[a-z0-9_.-]+(?:/[a-z0-9_.-]+)*/?$))|\$\{|\{\{|process\.env|getenv|environ"
 )
 _DIGEST = re.compile(r"(?i)^(?:sha\d+|md5|blake\w*)[-:$=]|^\$(?:2[aby]|argon2\w*|pbkdf2\S*|[156])\$|^\{S?SHA|^pbkdf2|^scrypt:|^data:")
 
@@ -213,6 +216,9 @@ def scan(text: str, source: bool = True, depth: int = 0) -> list[Hit]:
                 continue
         if usable(value):
             hits.append(Hit(*m.span(2), "authorization"))
+    hits += (Hit(*m.span(1), "user_password") for m in _PLACED.finditer(text) if _secret_value(m[1]))
+    hits += (Hit(*m.span(1), "user_password") for m in _LOGIN.finditer(text) if _secret_value(m[1]))
+    hits += (Hit(*m.span(1), "prose") for m in _PROSE.finditer(text) if re.search(r"\d", m[1]) and _secret_value(m[1]))
     lower = text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
     for m in _NAMED.finditer(lower):
         line = text[max(0, text.rfind("\n", 0, m.start()) + 1, m.start() - 120) : m.start()]
@@ -222,14 +228,15 @@ def scan(text: str, source: bool = True, depth: int = 0) -> list[Hit]:
             continue
         v = _VALUE.match(text, m.end())
         quoted = v and re.match(_LITERAL, v[0])
-        if not v or (source and not quoted) or (m[2] == "," and not (m[1] and quoted)):
+        header = m[2] == ":" and "-" in name and not quoted
+        if not v or (source and not quoted and not header) or (m[2] == "," and not (m[1] and quoted)):
             continue
         at, end = v.span()
         if quoted:
             value = _pieces(v[0])
             at, end = at + re.match(r"[bBrRuU]{0,2}", v[0]).end() + 1, end - 1
         else:
-            value = re.split(r"\s+#|\s+//|\r", v[0])[0].rstrip().rstrip(",;")
+            value = re.split(r"[\s\"'`]", v[0], maxsplit=1)[0].rstrip(",;")
             end = at + len(value)
         if "-----BEGIN" not in value and _secret_value(value):
             hits.append(Hit(at, end, "assignment"))
