@@ -94,6 +94,8 @@ def _undo_wide(run: str, read_as: str, meant: str) -> str:
 _RUN = re.compile(r"[^\x00-\x7f]+")
 #: What no correct reading gives: the replacement character and C1 controls other than next line.
 _NEVER = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
+#: First bytes of UTF-8 sequences whose others were replaced by question marks, or dropped more than once; signs of loss in a strange line.
+_LOST = re.compile("[\xc2\xc3\xc4\xc5\xd0\xd1]\\?|[\xe2-\xe9]\\?\\?|\xf0\\?\\?\\?|[\xc2\xe2].*[\xc2\xe2]")
 _WORDLIKE = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]|[^\W\x00-\x7f]")
 _WIDE_RUN = re.compile(r"[^\x00-\x7f][^\x00-\x1f]*")
 
@@ -276,7 +278,10 @@ def examine(text: str, odd: list[int], model: Bigrams) -> tuple[list[tuple[str,
             settled = True
             if chars <= upper_half(read_as) and not _decodes(again):
                 break
-    if not settled:
+    # A line that merely can be read as UTF-8 (as some clean Cyrillic can) is tried for that alone.
+    strange = model.strange_lines([lines[i] for i in odd])
+    broken = broken or any(s and _LOST.search(lines[i]) for s, i in zip(strange, odd, strict=True))
+    if not settled and (broken or any(strange)):
         dense = 4 * sum(c > "\x7f" for c in joined) > len(joined)
         one_for_one = _OneForOne(joined, model)
         for swap in swaps_for(joined):
@@ -300,7 +305,7 @@ def examine(text: str, odd: list[int], model: Bigrams) -> tuple[list[tuple[str,
         if gain > 0:
             best.append((swap, gain, "\n".join(new)))
     best.sort(key=lambda x: -x[1])
-    left = not best and fixed[2] >= 12 and any(model.strange(lines[i]) for i in odd)
+    left = not best and fixed[2] >= 12 and any(strange)
     return best[:2], broken, left
 
 
