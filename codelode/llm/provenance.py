@@ -24,6 +24,8 @@ from codelode.llm.syntax import language_of, parser
 
 #: Labelled rows the forest is trained on at most, taken by hash of the id; the measures cover all files.
 TRAINING_ROWS = 20_000
+#: The forest's probability from which a file without a notice is taken.
+SURE = 0.7
 TREES, DEPTH, SEED = 40, 8, 7
 FEATURES = (
     "compression", "token_entropy", "char_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line",
@@ -38,7 +40,7 @@ _SOURCE = re.compile(r"\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs|py|pyi|go|rs|dart)$",
 GENERATED_NOTICE = re.compile(
     r"code generated .*do not edit|@generated\b|<auto-generated>|auto-?generated (?:from|by|file)|\b(?:is|was|been) (?:automatically|auto-?) ?(?:generated|created)"
     r"|generated at \w+ time by|generated by .*(?:do not|don't)|produced by \S+; edit|\bautomatisch (?:erzeugt|generiert)|généré automatiquement|generado automáticamente"
-    r"|do not (?:edit|modify)(?: this file| by hand| manually)?[.!]?\s*$|manual changes will be lost|ne pas modifier|änderungen werden überschrieben",
+    r"|do not (?:edit|modify)(?: this file| by hand| manually)?[.!]?\s*$|manual changes will be lost|end of generated (?:section|code)|generated section; run|ne pas modifier|änderungen werden überschrieben",
     re.I | re.M,
 )
 MINIFIED_NOTICE = re.compile(r"\A/\*! \S+ v\d+\.\d+\.\d+|^//[#@] sourceMappingURL=", re.M)
@@ -77,10 +79,21 @@ def header_of(text: str) -> tuple[str, str]:
     return "\n".join(lines[:n]), "\n".join(lines[n:])
 
 
+def without_notices(text: str) -> tuple[str, str]:
+    """The comments a text opens and closes with, and what lies between."""
+    head, body = header_of(text)
+    lines = body.rstrip().split("\n")
+    n = len(lines)
+    while n > max(0, len(lines) - 6) and (not lines[n - 1].strip() or _COMMENT.match(lines[n - 1])):
+        n -= 1
+    return head + "\n" + "\n".join(lines[n:]), "\n".join(lines[:n])
+
+
 def label_of(path: str, text: str) -> int | None:
     """1 for files a notice or a path convention marks as not hand-written here, 0 for those with a notice of their own, else None."""
+    notices, _ = without_notices(text)
     head, _ = header_of(text)
-    if GENERATED_NOTICE.search(head) or VENDORED_NOTICE.search(head) or MINIFIED_NOTICE.search(text[:200]) or MINIFIED_NOTICE.search(text[-300:]):
+    if GENERATED_NOTICE.search(notices) or VENDORED_NOTICE.search(head) or MINIFIED_NOTICE.search(text[:200]) or MINIFIED_NOTICE.search(text[-300:]):
         return 1
     if GENERATED_PATH.search(path) or MINIFIED_PATH.search(path) or VENDORED_PATH.search(path):
         return 1
@@ -108,8 +121,8 @@ def _entropy(counts: np.ndarray) -> float:
 
 
 def measures(text: str) -> list[float]:
-    """The values of :data:`FEATURES` of a text without its header and map reference."""
-    body = re.sub(r"(?m)^//[#@] sourceMappingURL=.*$|\A/\*![^\n]*\*/", "", header_of(text)[1])
+    """The values of :data:`FEATURES` of a text without its header, closing comments and map reference."""
+    body = re.sub(r"(?m)^//[#@] sourceMappingURL=.*$|\A/\*![^\n]*\*/", "", without_notices(text)[1])
     raw = body.encode("utf-8", "replace")
     size = max(1, len(raw))
     tokens = _TOKEN.findall(body)
@@ -198,4 +211,4 @@ def find_not_handwritten(measured: DataFrame, model: RandomForestClassificationM
     judged = model.transform(measured.withColumn("features", array_to_vector("features"))).withColumn(
         "probability", vector_to_array("probability")[1]
     )
-    return judged.where("label = 1 or (probability >= 0.5 and not other)").select("file_id", "label", "probability")
+    return judged.where(f"label = 1 or (probability >= {SURE} and not other)").select("file_id", "label", "probability")
