@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-from codelode.operators import coverage, dependencies, duplication, metrics, quality, rules, snapshots, taint, tokenize
+from codelode.operators import complexity, coverage, dependencies, duplication, metrics, quality, rules, snapshots, taint, tokenize
 from codelode.operators import sourcefiles as S
 from codelode.plans import oracles
 from codelode.session import load
@@ -378,6 +378,16 @@ def file_tokens(spark, d):
     return tokenize.tokenize(rows.select("file_id", S.language_of(F.col("path")).alias("language"), "text"))
 
 
+@query
+def file_complexity(spark, d):
+    return complexity.by_file(duplication.clean_tokens(load(spark, d, "tokens")))
+
+
+@query
+def function_complexity(spark, d):
+    return complexity.by_function(duplication.clean_tokens(load(spark, d, "tokens")), load(spark, d, "functions"))
+
+
 @query
 def tainted_sinks(spark, d):
     return taint.tainted_sinks(_files(spark, d))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codelode.operators import complexity as C
 from codelode.operators import rules as R
 from codelode.operators import sourcefiles as S
 
@@ -79,6 +80,9 @@ _TOKENS = f"""tok AS (
     AND file_id IN (SELECT file_id FROM files WHERE {_ELIGIBLE})
   GROUP BY file_id, unit
 )"""
+_ALL_TOKENS = """tok AS (
+  SELECT file_id, unit, min(line) AS line, min(text) AS text FROM tokens WHERE file_id IS NOT NULL AND unit IS NOT NULL AND text IS NOT NULL GROUP BY file_id, unit
+)"""
 _SHINGLES = _TOKENS + """, led AS (
   SELECT file_id, text, row_number() OVER w - 1 AS pos, lead(text, 1) OVER w AS t1, lead(text, 2) OVER w AS t2, lead(text, 3) OVER w AS t3, lead(text, 4) OVER w AS t4
   FROM tok WINDOW w AS (PARTITION BY file_id ORDER BY unit)
@@ -295,6 +299,13 @@ SELECT ecosystem, name, version, osv_id, {_NAMES}[min(rank) + 1] AS severity FRO
   SELECT severity || '_issues' AS "check", n AS value, 0.0 AS threshold, n <= 0 AS passed FROM (SELECT s AS severity, (SELECT count(*) FROM issues WHERE severity = s)::DOUBLE AS n FROM (VALUES ('blocker'), ('critical')) x(s))
   UNION ALL SELECT 'coverage', p, 80.0, p >= 80 FROM (SELECT {pct("sum(covered)", "sum(total)")} AS p FROM cf)
   UNION ALL SELECT 'duplication', p, 3.0, p <= 3 FROM (SELECT {pct("duplicated", "tokens")} AS p FROM dup0)) SELECT * FROM v""",
+        "file_complexity": f"""WITH {_ALL_TOKENS}, d AS (
+  SELECT file_id, text, sum(CASE text WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY unit ROWS UNBOUNDED PRECEDING) AS depth FROM tok
+) SELECT file_id, count(*) FILTER (text IN {_in(C.DECISIONS)}) + 1 AS cyclomatic, coalesce(sum(1 + greatest(depth, 0)) FILTER (text IN {_in(C.NESTING)}), 0) AS nested, greatest(max(depth), 0) AS depth
+FROM d GROUP BY file_id""",
+        "function_complexity": f"""WITH {_ALL_TOKENS}, f AS (SELECT DISTINCT function_id, file_id, start_line, end_line FROM functions WHERE function_id IS NOT NULL AND file_id IS NOT NULL)
+SELECT function_id, count(t.text) AS tokens, count(*) FILTER (t.text IN {_in(C.DECISIONS)}) + 1 AS cyclomatic
+FROM f LEFT JOIN tok t ON t.file_id = f.file_id AND t.line BETWEEN f.start_line AND f.end_line GROUP BY function_id""",
         "event_bursts": bursts,
         "event_bursts_streamed": bursts,
         "test_cases": """SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS file, count(*) FILTER (event_type IS DISTINCT FROM 'error') AS passed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""",

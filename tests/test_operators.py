@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.operators import coverage, dependencies, diffs, duplication, metrics, quality, rules, snapshots, sourcefiles, taint, tokenize
+from codelode.operators import complexity, coverage, dependencies, diffs, duplication, metrics, quality, rules, snapshots, sourcefiles, taint, tokenize
 
 FILES = "file_id long, path string, text string, repo string, loc int, code_lines int, comment_lines int, blank_lines int, class_count int"
 
@@ -176,3 +176,11 @@ def test_roll_ups_take_each_record_once(spark, collect):
     g = spark.createDataFrame([(1, "r", "a.ts", 1, 5), (1, "r", "a.ts", 1, 5), (2, "r", "a.ts", 9, None)], "function_id long, repo string, path string, start_line int, complexity int")
     (row,) = [r.asDict() for r in metrics.project_metrics(f, g).collect()]
     assert (row["files"], row["loc"], row["functions"], row["average_complexity"], row["worst_function"]) == (2, 10, 2, 5.0, 1)
+
+
+def test_complexity_counts_decisions_and_depth(spark, collect):
+    words = "f ( ) { if ( a && b ) { for ( ; ; ) { } } } g".split()
+    tokens = spark.createDataFrame([(1, u, 1 + u // 4, w) for u, w in enumerate(words)] + [(2, 0, 1, "x")], "file_id long, unit int, line int, text string")
+    assert collect(complexity.by_file(tokens)) == [(1, 4, 2 + 3, 3), (2, 1, 0, 0)]
+    functions = spark.createDataFrame([(7, 1, 1, 9), (7, 1, 1, 9), (8, 1, 4, 5), (9, 3, 1, 2), (None, 1, 1, 2)], "function_id long, file_id long, start_line int, end_line int")
+    assert collect(complexity.by_function(tokens, functions)) == [(7, len(words), 4), (8, 8, 1), (9, 0, 1)]
