@@ -187,7 +187,7 @@ def test_origin_of_nothing(spark, collect):
     [
         ("a.go", "// Code generated by x. DO NOT EDIT.\npackage a\n", 1), ("a.py", '"""\n@generated SignedSource<<ab>>\n"""\nx = 1\n', 1), ("a.py", "# Vendored from lib at revision 1.\nx = 1\n", 1),
         ("a_pb2.py", "x = 1\n", 1), ("node_modules/a/b.js", "x", 1), ("a.ts", "// do not edit the returned value in place\nx\n", None), ("a.ts", "// auto-generated ids start at 3\nx\n", None), ("min.rs", "x", None),
-        ("src/generators/a.ts", "// Copyright 2030 us\nx", 0), ("a.ts", "x\n// Code generated by x. DO NOT EDIT.\n", None), ("a.min.js", "x", 1), ("a.go", "package a\n\n// end of generated section; run make x to rebuild\n", 1),
+        ("src/generators/a.ts", "// Copyright 2030 us\nx", 0), ("a.ts", "x\n// Code generated by x. DO NOT EDIT.\ny\n", None), ("a.min.js", "x", 1), ("a.go", "package a\n\n// end of generated section; run make x to rebuild\n", 1),
     ],
 )
 def test_labels(path, text, label):
