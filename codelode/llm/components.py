@@ -10,6 +10,8 @@ from codelode.session import cut, drop_cut
 #: The dashes that stand for a hyphen, and entries that name no advisory.
 DASHES = "‐‑‒–—―⁃−﹘﹣－"
 NO_ADVISORY = ("N/A", "NA", "NONE", "NULL", "NIL", "UNKNOWN", "PENDING", "TBD", "TBA", "TODO", "-", "SEE URL")
+#: An identifier of any series whose year and number are zeros is a stand-in as well.
+ZERO_ID = r"^[^-]+(-0+){2,}$"
 
 
 def advisory_id(raw: Column) -> Column:
@@ -17,7 +19,7 @@ def advisory_id(raw: Column) -> Column:
     plain = F.translate(raw, DASHES, "-" * len(DASHES))
     plain = F.upper(F.regexp_replace(plain, r"^[\s\p{Z}​﻿]+|[\s\p{Z}​﻿]+$", ""))
     named = plain.rlike(r"^[^\s-]+(-[^\s-]+)+$") & (plain.rlike("[0-9]") | plain.rlike("-[^-]+-"))
-    return F.when(named & ~plain.isin(*NO_ADVISORY), plain)
+    return F.when(named & ~plain.isin(*NO_ADVISORY) & ~plain.rlike(ZERO_ID), plain)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:

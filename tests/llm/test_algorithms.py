@@ -119,6 +119,15 @@ def test_spellings_of_an_advisory_are_one(spark, collect):
     assert collect(components.advisory_groups(df.where("false"))) == []
 
 
+def test_an_identifier_of_zeros_links_nothing(spark, collect):
+    data = [
+        ("CVX-2030-0000001", ["CVX-0000-0000000"]), ("CVX-2030-0000002", [" cvx‐0000‐0000000", "GHSX-AAAA-BBBB-CCC0"]), ("CVX-2030-0000003", ["PYX-0000-00000"]),
+        ("CVX-0000-0000000", ["CVX-2030-0000003"]), ("CVX-2030-0000004", ["CVX-2000-0000000", "PYX-0000-0000010"]),
+    ]
+    df = spark.createDataFrame(data, "osv_id string, aliases array<string>")
+    assert collect(components.advisory_groups(df)) == [("CVX-2030-0000002", "CVX-2030-0000002"), ("CVX-2030-0000004", "CVX-2000-0000000")]
+
+
 def test_fm_index_finds_what_a_scan_finds():
     rng = np.random.default_rng(3)
     docs = [rng.integers(2, 6, n) for n in (30, 1, 17, 30)]
