@@ -25,6 +25,8 @@ PRIOR = -7.0
 ROUNDS = 4
 #: A passage is strange if the mean log probability of its neighbours outside ASCII is so far below the usual one.
 MARGIN = 2.0
+#: A line with so few such neighbours, as one letter has, is also judged together with the others of its text.
+SHORT = 2
 # Public names of encodings.
 SINGLE = (
     "cp1252 latin_1 cp1250 cp1251 cp1254 cp1253 cp1257 iso8859_2 iso8859_5 iso8859_9 iso8859_15 koi8_r koi8_u cp866 cp855 cp437 cp850 cp852 cp857 cp861 "
@@ -95,7 +97,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 #: What no correct reading gives: the replacement character and C1 controls other than next line.
 _NEVER = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
 #: First bytes of UTF-8 sequences whose others were replaced by question marks, or dropped more than once; signs of loss in a strange line.
-_LOST = re.compile("[\xc2\xc3\xc4\xc5\xd0\xd1]\\?|[\xe2-\xe9]\\?\\?|\xf0\\?\\?\\?|[\xc2\xe2].*[\xc2\xe2]")
+_LOST = re.compile("[\xc2\xc3\xc4\xc5\xd0\xd1]\\?|[\xe2-\xe9](?:\\?\\?|\\?[^\x00-\x7f\\w]|[^\x00-\x7f\\w]\\?)|\xf0\\?\\?\\?|[\xc2\xe2].*[\xc2\xe2]")
 _WORDLIKE = re.compile(r"[A-Za-z][^\x00-\x7f]|[^\x00-\x7f][A-Za-z]|[^\W\x00-\x7f]")
 _WIDE_RUN = re.compile(r"[^\x00-\x7f][^\x00-\x1f]*")
 
@@ -156,14 +158,14 @@ class Bigrams:
         each = self.log[cells(p)]
         return each[~high].sum(axis=0), each[high].sum(axis=0), int(high.sum())
 
-    def strange(self, text: str) -> bool:
-        """Whether the neighbours outside ASCII are unusual in the language that fits best."""
+    def strange(self, text: str, least: int = 1) -> bool:
+        """Whether the neighbours outside ASCII, ``least`` or more, are unusual in the language that fits best."""
         low, high, n = self.parts(text)
         best = int((low + high).argmax())
-        return bool(n > 2 and high[best] / n < self.usual[best] - MARGIN)
+        return bool(n >= least and high[best] / n < self.usual[best] - MARGIN)
 
-    def strange_lines(self, lines: list[str]) -> list[bool]:
-        """:meth:`strange` of many lines at once."""
+    def strange_lines(self, lines: list[str], texts: list[int] | None = None) -> list[bool]:
+        """:meth:`strange` of many lines at once; short lines also if those of their text are strange together, ``texts`` being its number."""
         if not lines:
             return []
         p = points("".join(f" {x} " for x in lines))
@@ -174,7 +176,17 @@ class Bigrams:
         total, above, n = (np.add.reduceat(x, starts, axis=0) for x in (each, each * high, high[:, 0].astype(np.int64)))
         best = total.argmax(axis=1)
         mean = above[np.arange(len(lines)), best] / np.maximum(1, n)
-        return ((n > 2) & (mean < self.usual[best] - MARGIN)).tolist()
+        odd = (n > 0) & (mean < self.usual[best] - MARGIN)
+        short = (n > 0) & (n <= SHORT)
+        if short.any():
+            _, of = np.unique(np.zeros(len(lines)) if texts is None else texts, return_inverse=True)
+            pools = [np.zeros((of.max() + 1, *x.shape[1:])) for x in (total, above, n)]
+            for pool, x in zip(pools, (total, above, n), strict=True):
+                np.add.at(pool, of[short], x[short])
+            best = pools[0].argmax(axis=1)
+            mean = pools[1][np.arange(len(best)), best] / np.maximum(1, pools[2])
+            odd |= short & (mean < self.usual[best] - MARGIN)[of]
+        return odd.tolist()
 
 
 def count_bigrams(documents: DataFrame) -> Bigrams:
@@ -242,7 +254,7 @@ def suspects(texts: list[str], model: Bigrams) -> list[list[int]]:
                 asked.append((k, i))
                 lines.append(line)
         out.append(found)
-    for (k, i), odd in zip(asked, model.strange_lines(lines), strict=True):
+    for (k, i), odd in zip(asked, model.strange_lines(lines, [k for k, _ in asked]), strict=True):
         if odd:
             out[k].append(i)
     return [sorted(x) for x in out]
@@ -498,7 +510,7 @@ def _apply(mapping: dict[str, dict[int, str]], model: Bigrams):
                 new = text.translate(mapping.get(source, {}))
                 high = sum(c > "\x7f" for c in text)
                 # A learned mapping has been fitted to these very texts: it must earn its many free letters.
-                if new != text and model.score(new) - model.score(text) > 20 + 3 * high and not any(model.strange(x) for x in new.split("\n") if not x.isascii()):
+                if new != text and model.score(new) - model.score(text) > 20 + 3 * high and not any(model.strange(x, SHORT + 1) for x in new.split("\n") if not x.isascii()):
                     ids.append(i)
                     texts.append(new)
             yield pa.RecordBatch.from_arrays(

@@ -233,6 +233,21 @@ def test_clean_texts_are_left(model, text):
     assert not broken and not left and not any(gain > 7 for _, gain, _ in best)
 
 
+def test_lines_with_one_garbled_letter_each_are_restored(model):
+    text = "\n".join(w for w in GERMAN.split() if not w.isascii())
+    page = mojibake.page("mac_roman")
+    wrong = "A plain line first.\n" + "".join(page[b] for b in text.encode("cp1252"))
+    (odd,) = mojibake.suspects([wrong], model)
+    best, _, _ = mojibake.examine(wrong, odd, model)
+    assert best and best[0][1] > 10 and best[0][2].split("\n")[1:] == text.split("\n")
+
+
+def test_a_lost_sequence_is_found_in_the_only_line_outside_ascii(model):
+    text = "A plain line first.\nres = encode(text)\n20 (â?¥ 32 tokens each)"
+    (odd,) = mojibake.suspects([text], model)
+    assert odd == [2] and mojibake.examine(text, odd, model)[1]
+
+
 def test_twice_garbled_text_is_restored(model):
     wrong = GERMAN
     for _ in range(2):
