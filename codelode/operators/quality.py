@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
+from codelode.operators import rules, taint
+
+
+def all_issues(files: DataFrame, functions: DataFrame) -> DataFrame:
+    """``(file_id, path, line, rule_id, severity)`` of line rules, shaped rules, function limits and tainted sinks."""
+    kinds = rules.issues(files), rules.shaped_issues(files), rules.limit_issues(functions), taint.tainted_sinks(files)
+    first, *others = (x.select("file_id", "path", F.col("line").cast("int").alias("line"), "rule_id", "severity") for x in kinds)
+    for x in others:
+        first = first.unionByName(x)
+    return first
 
 
 def severity_counts(issues: DataFrame) -> DataFrame:

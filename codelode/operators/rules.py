@@ -6,6 +6,7 @@ which stands in for a match on the syntax tree within a line and is marked appro
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -251,20 +252,21 @@ def never_reassigned(files: DataFrame) -> DataFrame:
     return lets.join(_assigned(rows), ["file_id", "name"], "left_anti").select("file_id", "path", "line", "name")
 
 
-def _assigned(rows: DataFrame) -> DataFrame:
-    found = rows.select("file_id", F.explode(F.regexp_extract_all("code", F.lit(rf"(?:^|[;{{(,]\s*|\+\+|--)({_ID})\s*(?:[-+*/%&|^]?=[^=>]|\+\+|--|;|$|\))"), F.lit(0))).alias("m"))
-    assigned = found.where(F.col("m").rlike(r"=|\+\+|--")).select("file_id", F.regexp_extract("m", rf"({_ID})", 1).alias("name"))
+def _assigned(rows: DataFrame, *columns: str) -> DataFrame:
+    found = rows.select("file_id", *columns, F.explode(F.regexp_extract_all("code", F.lit(rf"(?:^|[;{{(,]\s*|\+\+|--)({_ID})\s*(?:[-+*/%&|^]?=[^=>]|\+\+|--|;|$|\))"), F.lit(0))).alias("m"))
+    assigned = found.where(F.col("m").rlike(r"=|\+\+|--")).select("file_id", *columns, F.regexp_extract("m", rf"({_ID})", 1).alias("name"))
     return assigned.distinct()
 
 
 def reassigned_imports(files: DataFrame) -> DataFrame:
-    """``(file_id, name)``: imported names the file assigns: a semi-join of imports with assignments."""
+    """``(file_id, path, line, name)``: assignments of names the file imports: a semi-join of assignments with imports."""
     rows = _code_rows(files, ALL)
     named = rows.where(F.col("code").rlike(r"^import\s")).select(
         "file_id", F.explode(F.split(F.regexp_extract("code", r"\{([^}]*)\}", 1), ",")).alias("part")
     )
     names = named.select("file_id", F.regexp_extract(F.trim("part"), rf"({_ID})$", 1).alias("name")).where("name <> ''").distinct()
-    return names.join(_assigned(rows.where(~F.col("code").rlike(r"^import\s"))), ["file_id", "name"], "left_semi")
+    assigned = _assigned(rows.where(~F.col("code").rlike(r"^import\s")), "path", "line")
+    return assigned.join(names, ["file_id", "name"], "left_semi").select("file_id", "path", "line", "name")
 
 
 def misused_new(files: DataFrame) -> DataFrame:
@@ -277,6 +279,10 @@ def misused_new(files: DataFrame) -> DataFrame:
 
 def function_limits(functions: DataFrame, files: DataFrame, max_lines: int = 50, max_complexity: int = 15, max_params: int = 5) -> DataFrame:
     """``(function_id, file_id, rule_id)``: functions above a limit, each once for each rule; lines are limited in TypeScript only."""
+    return _over_limits(functions, max_lines, max_complexity, max_params).select("function_id", "file_id", "rule_id").distinct()
+
+
+def _over_limits(functions: DataFrame, max_lines: int = 50, max_complexity: int = 15, max_params: int = 5) -> DataFrame:
     f = functions.where("function_id is not null").select("function_id", "file_id", "path", "start_line", "end_line", "complexity", "parameter_count").distinct()
     typescript = language_of(F.col("path")).isin(*TS)
     hits = F.array(
@@ -284,7 +290,21 @@ def function_limits(functions: DataFrame, files: DataFrame, max_lines: int = 50,
         F.when(F.col("complexity") > max_complexity, F.lit("max-function-complexity")),
         F.when(F.col("parameter_count") > max_params, F.lit("max-params")),
     )
-    return f.select("function_id", "file_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule_id")).distinct()
+    return f.select("function_id", "file_id", "path", "start_line", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule_id"))
+
+
+def shaped_issues(files: DataFrame) -> DataFrame:
+    """``(file_id, path, line, rule_id, severity)`` of the rules in :data:`SHAPED` that read files, each once a line."""
+    named = {"no-duplicate-imports": duplicate_imports, "no-redeclare": redeclared, "prefer-const": never_reassigned, "no-import-assign": reassigned_imports, "no-misused-new": misused_new}
+    whole = (go_error_check, go_global_var, go_exported_comment, python_docstring, self_compare, useless_rename, optional_chain)
+    return reduce(DataFrame.unionByName, [*(f(files) for f in whole), *(_issue(f(files), rule) for rule, f in named.items())])
+
+
+def limit_issues(functions: DataFrame) -> DataFrame:
+    """``(file_id, path, line, rule_id, severity)``: :func:`function_limits` at the first line of each function, one for each function and rule."""
+    over = _over_limits(functions).where("file_id is not null").groupBy("function_id", "file_id", "rule_id").agg(F.min("path").alias("path"), F.min("start_line").alias("line"))
+    severity = F.create_map(*[F.lit(x) for r in ("max-function-lines", "max-function-complexity", "max-params") for x in (r, SHAPED[r])])
+    return over.select("file_id", "path", "line", "rule_id", F.element_at(severity, F.col("rule_id")).alias("severity"))
 
 
 def custom_issues(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -38,6 +38,10 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return duplication.clean_tokens(load(spark, d, "tokens"), _files(spark, d))
 
 
+def _issues(spark: SparkSession, d: str) -> DataFrame:
+    return quality.all_issues(_files(spark, d), load(spark, d, "functions"))
+
+
 def _coverage_lines(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as coverage lines: an order is a file, its category the return flag, and more than 25 pieces are a hit."""
     return load(spark, d, "lineitem").select(
@@ -134,34 +138,39 @@ def line_rule_issues(spark, d):
     return rules.issues(_files(spark, d))
 
 
+@query
+def all_issues(spark, d):
+    return _issues(spark, d)
+
+
 @query
 def rule_counts(spark, d):
-    return rules.issues(_files(spark, d)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("issues"))
+    return _issues(spark, d).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("issues"))
 
 
 @query
 def severity_counts(spark, d):
-    return quality.severity_counts(rules.issues(_files(spark, d)))
+    return quality.severity_counts(_issues(spark, d))
 
 
 @query
 def top_rules(spark, d):
-    return quality.top_rules(rules.issues(_files(spark, d)))
+    return quality.top_rules(_issues(spark, d))
 
 
 @query
 def top_issues(spark, d):
-    return quality.top_issues(rules.issues(_files(spark, d)))
+    return quality.top_issues(_issues(spark, d))
 
 
 @query
 def quality_ratings(spark, d):
-    return quality.ratings(rules.issues(_files(spark, d)), _files(spark, d))
+    return quality.ratings(_issues(spark, d), _files(spark, d))
 
 
 @query
 def sarif_rules(spark, d):
-    return quality.sarif_rules(rules.issues(_files(spark, d)))
+    return quality.sarif_rules(_issues(spark, d))
 
 
 @query
@@ -205,6 +214,31 @@ def never_reassigned(spark, d):
     return rules.never_reassigned(_files(spark, d))
 
 
+@query
+def self_compare(spark, d):
+    return rules.self_compare(_files(spark, d))
+
+
+@query
+def useless_rename(spark, d):
+    return rules.useless_rename(_files(spark, d))
+
+
+@query
+def optional_chain(spark, d):
+    return rules.optional_chain(_files(spark, d))
+
+
+@query
+def reassigned_imports(spark, d):
+    return rules.reassigned_imports(_files(spark, d))
+
+
+@query
+def misused_new(spark, d):
+    return rules.misused_new(_files(spark, d))
+
+
 @query
 def function_limits(spark, d):
     return rules.function_limits(load(spark, d, "functions"), _files(spark, d))
@@ -318,7 +352,7 @@ def package_vulnerabilities(spark, d):
 
 @query
 def quality_gate(spark, d):
-    counts = quality.severity_counts(rules.issues(_files(spark, d))).where("severity in ('blocker', 'critical')")
+    counts = quality.severity_counts(_issues(spark, d)).where("severity in ('blocker', 'critical')")
     values = counts.select(F.concat("severity", F.lit("_issues")).alias("check"), F.col("issues").cast("double").alias("value"))
     cov = coverage.totals(_coverage_lines(spark, d)).select(F.lit("coverage").alias("check"), F.col("percent").alias("value"))
     dup = duplication.duplication_totals(_tokens(spark, d)).select(F.lit("duplication").alias("check"), F.col("percent").alias("value"))

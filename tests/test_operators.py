@@ -66,6 +66,27 @@ def test_rules_of_neighbours_and_names(spark, collect):
     assert line(rules.misused_new(df)) == [10] and line(rules.self_compare(df)) == [11] and line(rules.useless_rename(df)) == [2] and line(rules.optional_chain(df)) == [11]
 
 
+def test_all_issues_reach_the_roll_ups(spark, collect, tmp_path):
+    from codelode.plans import catalog
+
+    sink = "function f(req) {\n  db.query(req.body);\n}\n"
+    ts = "import { a } from 'm';\nimport { b as b } from 'm';\na = 4;\ninterface I {}\nnew I();\nlet q = (s.t === s.t && u && u.v);\nconst q = 1;\n"
+    df = files(spark, [("a.ts", sink), ("b.ts", ts), ("c.go", "package a\nvar X = 1\nfunc y() {\n\terr := f()\n}\n"), ("d.py", "def f():\n    return 1\n")])
+    functions = spark.createDataFrame(
+        [(1, 0, "a.ts", 1, 90, 16, 6), (1, 0, "a.ts", 1, 90, 16, 6), (2, 0, "a.ts", 1, 2, 16, 0)],
+        "function_id long, file_id long, path string, start_line int, end_line int, complexity int, parameter_count int",
+    )
+    found = collect(quality.all_issues(df, functions).select("file_id", "rule_id", "severity", "line"))
+    assert {r[1] for r in found if r[1] in rules.SHAPED} == set(rules.SHAPED) - {"security/taint-analysis"}
+    assert {(0, "security/sql-injection", "blocker", 2), (1, "no-import-assign", "major", 3), (2, "go/error-check", "critical", 4)} <= set(found)
+    assert [r[1] for r in found if r[1].startswith("max-")].count("max-function-complexity") == 2 and len(found) == len([*set(found)]) + 1
+    df.write.parquet(f"{tmp_path}/files.parquet")
+    functions.write.parquet(f"{tmp_path}/functions.parquet")
+    counts = {r["severity"]: r["issues"] for r in catalog.queries()["severity_counts"](spark, str(tmp_path)).collect()}
+    assert counts["blocker"] == 1 and sum(counts.values()) == len(found)
+    assert {"all_issues", "self_compare", "useless_rename", "optional_chain", "reassigned_imports", "misused_new"} <= set(catalog.queries())
+
+
 def test_custom_rules(spark, collect):
     table = spark.createDataFrame([("r", "odd", [], r"a+", "got $0"), ("r", "info", [], "z", None), ("p", "info", ["python"], r"x", None), ("l", "info", [], "(?=a)", None)], "id string, severity string, languages array<string>, pattern string, message string")
     df = files(spark, [("a.ts", "b aa a\n// aa\n"), ("b.py", "x\n")])
