@@ -110,6 +110,7 @@ RULES: tuple[Rule, ...] = (
 #: Rules that need neighbours, sets of names or spans; each has its own operator.
 SHAPED = {
     "go/error-check": "critical", "go/avoid-global-var": "info", "go/exported-comment": "info", "python/docstring-required": "info",
+    "python/avoid-global-var": "info", "rust/explicit-return-type": "info",
     "no-self-compare": "major", "no-useless-rename": "minor", "prefer-optional-chain": "minor", "no-duplicate-imports": "major",
     "no-redeclare": "critical", "prefer-const": "minor", "no-import-assign": "major", "no-misused-new": "major",
     "max-function-lines": "major", "max-function-complexity": "major", "max-params": "major", "security/taint-analysis": "blocker",
@@ -197,6 +198,20 @@ def python_docstring(files: DataFrame) -> DataFrame:
     return _issue(rows.where(raw.rlike("^(def|class) ") & ~raw.rlike("def _|class _") & ~first.rlike("^r?(\"\"\"|''')")), "python/docstring-required")
 
 
+def python_global_var(files: DataFrame) -> DataFrame:
+    """Assignments at the left margin, but for constants written without a blank before the sign."""
+    raw = F.col("raw")
+    passed = raw.rlike(r"^(#|def |class |@|import |from )|^__.*__$|^\p{Lu}[\p{Lu}_0-9]*=|[=!<>]=") | (raw.contains(": ") & ~raw.contains("= "))
+    return _issue(_with_neighbours(files, "python").where(raw.rlike("= |=$") & ~F.col("full").rlike(r"^\s") & ~passed), "python/avoid-global-var")
+
+
+def rust_return_type(files: DataFrame) -> DataFrame:
+    """Public functions that open a body but name no return type within four lines."""
+    rows = _with_neighbours(files, "rust", after=3)
+    block = F.concat_ws(" ", "raw", "n1", "n2", "n3")
+    return _issue(rows.where(F.col("raw").rlike(r"^pub (async fn |fn +[^(\s])") & block.contains("{") & ~block.contains("->")), "rust/explicit-return-type")
+
+
 def self_compare(files: DataFrame) -> DataFrame:
     """A name compared with itself: equality of two groups, as patterns here have no back references."""
     rows = _code_rows(files, ALL)
@@ -296,7 +311,7 @@ def _over_limits(functions: DataFrame, max_lines: int = 50, max_complexity: int
 def shaped_issues(files: DataFrame) -> DataFrame:
     """``(file_id, path, line, rule_id, severity)`` of the rules in :data:`SHAPED` that read files, each once a line."""
     named = {"no-duplicate-imports": duplicate_imports, "no-redeclare": redeclared, "prefer-const": never_reassigned, "no-import-assign": reassigned_imports, "no-misused-new": misused_new}
-    whole = (go_error_check, go_global_var, go_exported_comment, python_docstring, self_compare, useless_rename, optional_chain)
+    whole = (go_error_check, go_global_var, go_exported_comment, python_docstring, python_global_var, rust_return_type, self_compare, useless_rename, optional_chain)
     return reduce(DataFrame.unionByName, [*(f(files) for f in whole), *(_issue(f(files), rule) for rule, f in named.items())])
 
 

@@ -66,12 +66,20 @@ def test_rules_of_neighbours_and_names(spark, collect):
     assert line(rules.misused_new(df)) == [10] and line(rules.self_compare(df)) == [11] and line(rules.useless_rename(df)) == [2] and line(rules.optional_chain(df)) == [11]
 
 
+def test_globals_and_return_types(spark):
+    py = "import a\nx = 1\nA=1\nA = 1\n__all__ = 1\nif x == 1:\n    y = 2\ndef f(a=1):\n    b = 1\nz: int = 3\n@d(a= 1)\n"
+    rs = "pub fn a() {\n}\n\n\npub fn b(\n  x: u8,\n) -> u8 {\n}\nfn c() {\n}\npub async fn d() {\n}\npub fn e();\n"
+    df = files(spark, [("a.py", py), ("b.rs", rs)])
+    assert sorted(r["line"] for r in rules.python_global_var(df).collect()) == [2, 4, 5, 10]
+    assert sorted(r["line"] for r in rules.rust_return_type(df).collect()) == [1, 11]
+
+
 def test_all_issues_reach_the_roll_ups(spark, collect, tmp_path):
     from codelode.plans import catalog
 
     sink = "function f(req) {\n  db.query(req.body);\n}\n"
     ts = "import { a } from 'm';\nimport { b as b } from 'm';\na = 4;\ninterface I {}\nnew I();\nlet q = (s.t === s.t && u && u.v);\nconst q = 1;\n"
-    df = files(spark, [("a.ts", sink), ("b.ts", ts), ("c.go", "package a\nvar X = 1\nfunc y() {\n\terr := f()\n}\n"), ("d.py", "def f():\n    return 1\n")])
+    df = files(spark, [("a.ts", sink), ("b.ts", ts), ("c.go", "package a\nvar X = 1\nfunc y() {\n\terr := f()\n}\n"), ("d.py", "def f():\n    return 1\n"), ("e.py", "x = 1\n"), ("f.rs", "pub fn a() {\n}\n")])
     functions = spark.createDataFrame(
         [(1, 0, "a.ts", 1, 90, 16, 6), (1, 0, "a.ts", 1, 90, 16, 6), (2, 0, "a.ts", 1, 2, 16, 0)],
         "function_id long, file_id long, path string, start_line int, end_line int, complexity int, parameter_count int",
