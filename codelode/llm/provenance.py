@@ -1,9 +1,10 @@
 """Source that nobody wrote by hand for its project: generated, minified, vendored files and data blobs.
 
-Labels come from header notices and path conventions (data blobs, which carry neither,
-teach by the share of their literals); a random forest learns what such
-files look like from measures of the text below the header, which hide both, and finds those
-that carry no notice. Vendored files look hand-written, so for them the label is the evidence.
+Labels come from header notices and path conventions, and for data blobs, which carry
+neither, from the share of their literals; a random forest learns what such files look like
+from measures of the text that show none of these, and finds those that carry no notice.
+Where a body looks like any other (vendored copies, and generated code that reads as if hand-written) no
+measure can tell, and the notice itself is the evidence; every row says which of the two it rests on.
 """
 
 from __future__ import annotations
@@ -20,19 +21,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm.syntax import language_of, parser
-
 #: Labelled rows the forest is trained on at most, taken by hash of the id; the measures cover all files.
 TRAINING_ROWS = 20_000
-#: The forest's probability from which a file without a notice is taken.
-SURE = 0.7
+#: The probability from which the forest, which weighs both labels alike, takes a file.
+SURE = 0.5
 TREES, DEPTH, SEED = 40, 8, 7
 FEATURES = (
     "compression", "token_entropy", "char_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line",
-    "white_space", "digits", "longest_literal", "data_share", "number_tokens", "shape_repetition", "numbered_names", "log_lines", "code_share",
+    "white_space", "digits", "longest_literal", "number_tokens", "shape_repetition", "numbered_names", "log_lines", "code_share",
 )
-_DATA = FEATURES.index("data_share")
-#: A text without a notice teaches what a data blob is if its literals have this share of it.
+#: A text without a notice teaches what a data blob is if its literals have this share of it; the forest does not see that share.
 BLOB = 0.85
 
 _SOURCE = re.compile(r"\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs|py|pyi|go|rs|dart)$", re.I)
@@ -43,7 +41,8 @@ GENERATED_NOTICE = re.compile(
     r"|do not (?:edit|modify)(?: this file| by hand| manually)?[.!]?\s*$|manual changes will be lost|end of generated (?:section|code)|generated section; run|ne pas modifier|änderungen werden überschrieben",
     re.I | re.M,
 )
-MINIFIED_NOTICE = re.compile(r"\A/\*! \S+ v\d+\.\d+\.\d+|^//[#@] sourceMappingURL=", re.M)
+MINIFIED_NOTICE = re.compile(r"/\*! \S+ v\d+\.\d+\.\d+")
+MAP_REFERENCE = re.compile(r"//[#@] sourceMappingURL=")
 VENDORED_NOTICE = re.compile(
     r"vendored from|copied verbatim from|third-party code|upstream: https?://|changes upstream|^\W*! \S+ v\d+(?:\.\d+)* \| \(c\)|distribution\.\s*$",
     re.I | re.M,
@@ -51,7 +50,6 @@ VENDORED_NOTICE = re.compile(
 GENERATED_PATH = re.compile(r"(?:^|/)(?:__generated__|generated|gen-src|codegen-out)/|\.(?:gen|generated|g|freezed|pb|pb\.gw)\.\w+$|(?:_pb2|_pb2_grpc)\.pyi?$|_gen\.go$|_pb\.(?:js|ts)$|_generated\.\w+$", re.I)
 MINIFIED_PATH = re.compile(r"[.-](?:min|bundle|chunk)\.[mc]?js$", re.I)
 VENDORED_PATH = re.compile(r"(?:^|/)(?:vendor|third_party|third-party|node_modules|bower_components|deps|external|Pods|site-packages)/")
-OWN_NOTICE = re.compile(r"copyright|licensed under|entry points for|helpers?$|\btodo\b", re.I | re.M)
 
 _COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|\"\"\"|'''|<!--)")
 _TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
@@ -60,10 +58,10 @@ _SHAPE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\W\d]\w*|\d[\
 
 
 def header_of(text: str) -> tuple[str, str]:
-    """The comments a text opens with, at most twelve lines, and the rest."""
+    """The comments a text opens with, and the rest."""
     lines = text.split("\n")
     n, closing = 0, ""
-    while n < min(12, len(lines)):
+    while n < len(lines):
         line = lines[n].strip()
         if closing:
             closing = "" if closing in line else closing
@@ -84,35 +82,22 @@ def without_notices(text: str) -> tuple[str, str]:
     head, body = header_of(text)
     lines = body.rstrip().split("\n")
     n = len(lines)
-    while n > max(0, len(lines) - 6) and (not lines[n - 1].strip() or _COMMENT.match(lines[n - 1])):
+    while n > 0 and (not lines[n - 1].strip() or _COMMENT.match(lines[n - 1])):
         n -= 1
     return head + "\n" + "\n".join(lines[n:]), "\n".join(lines[:n])
 
 
-def label_of(path: str, text: str) -> int | None:
-    """1 for files a notice or a path convention marks as not hand-written here, 0 for those with a notice of their own, else None."""
-    notices, _ = without_notices(text)
+def evidence_of(path: str, text: str) -> tuple[str | None, bool]:
+    """``notice`` or ``path`` for what states that a file is not hand-written here, else None; and whether such files have looks the
+    forest can learn (generated or minified), which vendored ones, as they look like any other, have not."""
     head, _ = header_of(text)
-    if GENERATED_NOTICE.search(notices) or VENDORED_NOTICE.search(head) or MINIFIED_NOTICE.search(text[:200]) or MINIFIED_NOTICE.search(text[-300:]):
-        return 1
+    notices, _ = without_notices(text)
+    vendored = bool(VENDORED_NOTICE.search(head))
+    if vendored or GENERATED_NOTICE.search(notices) or MINIFIED_NOTICE.match(text) or MAP_REFERENCE.match(text.rstrip().rpartition("\n")[2]):
+        return "notice", not vendored and not VENDORED_PATH.search(path)
     if GENERATED_PATH.search(path) or MINIFIED_PATH.search(path) or VENDORED_PATH.search(path):
-        return 1
-    return 0 if OWN_NOTICE.search(head) else None
-
-
-def looks_of(path: str, text: str) -> bool:
-    """Whether a positive label is one of looks (generated or minified), which the forest can learn; vendored files look like any other."""
-    head, _ = header_of(text)
-    return not (VENDORED_PATH.search(path) or VENDORED_NOTICE.search(head))
-
-
-def other_content(path: str, text: str) -> bool:
-    """Whether the first three lines of code are no beginning of a text in the claimed language: a page, log, table or guide under a wrong extension."""
-    language = language_of(path)
-    lines = [x for x in header_of(text)[1].split("\n") if x.strip()]
-    if language is None or len(lines) <= 3:
-        return False
-    return parser(language).dies_within(lines[:3])
+        return "path", not VENDORED_PATH.search(path)
+    return None, False
 
 
 def _entropy(counts: np.ndarray) -> float:
@@ -120,8 +105,8 @@ def _entropy(counts: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum()) if len(p) else 0.0
 
 
-def measures(text: str) -> list[float]:
-    """The values of :data:`FEATURES` of a text without its header, closing comments and map reference."""
+def measures(text: str) -> tuple[list[float], float]:
+    """The values of :data:`FEATURES` of a text without its header, closing comments and map reference; and the share of its long literals and numbers."""
     body = re.sub(r"(?m)^//[#@] sourceMappingURL=.*$|\A/\*![^\n]*\*/", "", without_notices(text)[1])
     raw = body.encode("utf-8", "replace")
     size = max(1, len(raw))
@@ -131,13 +116,14 @@ def measures(text: str) -> list[float]:
     for t in tokens:
         counts[t] = counts.get(t, 0) + 1
     lines = [x for x in body.split("\n") if x.strip()]
-    shapes = {_SHAPE.sub(lambda m: "0" if m[0][0].isdigit() else "i", x.strip()) for x in lines if len(x) < 2000}
+    shapes = {_SHAPE.sub(lambda m: "0" if m[0][0].isdigit() else "i", x.strip()) for x in lines}
     comments = sum(1 for x in lines if _COMMENT.match(x))
     literals = [len(x) for x in _LITERAL.findall(body)]
     chars = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     total, n = max(1, len(tokens)), max(1, len(names))
     longest = max((len(x) for x in lines), default=0)
-    return [
+    data = sum(x for x in literals if x > 100) + sum(len(t) + 1 for t in tokens if t[0].isdigit())
+    values = [
         len(zlib.compress(raw, 1)) / size,
         _entropy(np.fromiter(counts.values(), np.int64, len(counts))),
         _entropy(chars),
@@ -149,66 +135,72 @@ def measures(text: str) -> list[float]:
         float(chars[9] + chars[10] + chars[32]) / size,
         float(chars[48:58].sum()) / size,
         max(literals, default=0) / size,
-        (sum(x for x in literals if x > 100) + sum(len(t) + 1 for t in tokens if t[0].isdigit())) / max(1, size - int(chars[9] + chars[10] + chars[32])),
         sum(1 for t in tokens if t[0].isdigit()) / total,
         1 - len(shapes) / max(1, len(lines)),
         sum(1 for x in names if x[-1].isdigit()) / n,
         log2(1 + len(lines)),
         (len(lines) - comments) / max(1, body.count("\n") + 1),
     ]
+    return values, data / max(1, size - int(chars[9] + chars[10] + chars[32]))
 
 
 def _measure_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, values, labels, taught, other = [], [], [], [], []
+        ids, values, evidence, taught = [], [], [], []
         for i, path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             if not path or not _SOURCE.search(path):
                 continue
             text = (text or "").replace("\r\n", "\n")
-            label, found = label_of(path, text), measures(text)
+            why, looks = evidence_of(path, text)
+            found, data = measures(text)
             ids.append(i)
             values.append(found)
-            other.append(label is None and other_content(path, text))
-            labels.append(label)
-            if label == 1:
-                taught.append(1 if looks_of(path, text) else None)
-            else:
-                taught.append(1 if label is None and found[_DATA] >= BLOB else label)
+            evidence.append(why)
+            taught.append((1 if looks else None) if why else int(data >= BLOB))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(values, pa.list_(pa.float64())), pa.array(labels, pa.int32()), pa.array(taught, pa.int32()), pa.array(other, pa.bool_())],
-            names=["file_id", "features", "label", "taught", "other"],
+            [pa.array(ids, pa.int64()), pa.array(values, pa.list_(pa.float64())), pa.array(evidence, pa.string()), pa.array(taught, pa.int32())],
+            names=["file_id", "features", "evidence", "taught"],
         )
 
 
 def measure_files(files: DataFrame) -> DataFrame:
-    """``(file_id, features, label, taught, other)`` of each source file, once; a null text counts as empty."""
+    """``(file_id, features, evidence, taught)`` of each source file, once; a null text counts as empty.
+
+    ``taught`` is what a file teaches the forest: 1 for generated and minified files by their notice or path and for
+    blobs, 0 for those without either, null for vendored ones.
+    """
     rows = files.where("file_id is not null").select("file_id", "path", "text")
-    measured = rows.mapInArrow(_measure_rows, "file_id long, features array<double>, label int, taught int, other boolean")
+    measured = rows.mapInArrow(_measure_rows, "file_id long, features array<double>, evidence string, taught int")
     return measured.dropDuplicates(["file_id"])
 
 
 def train(measured: DataFrame, rows: int = TRAINING_ROWS) -> RandomForestClassificationModel | None:
     """The forest over at most ``rows`` taught rows; None where they don't have both labels.
 
-    Of each label it takes up to half, in order of a hash of the id.
+    Of each label it takes up to half, in order of a hash of the id, and weighs the two alike: the rows that teach 0 are many, and
+    some of them are cases without a notice, which the weight keeps from deciding.
     """
     taught = measured.where("taught is not null").select("file_id", F.col("taught").alias("label"), array_to_vector("features").alias("features"))
     halves = [taught.where(F.col("label") == k).orderBy(F.xxhash64("file_id"), "file_id").limit(rows // 2) for k in (0, 1)]
     sample = halves[0].unionByName(halves[1]).withColumn("label", F.col("label").cast("double"))
-    if sample.select("label").distinct().count() < 2:
+    counts = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return None
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2)
-    return forest.fit(sample)
+    weighed = sample.withColumn("weight", F.when(F.col("label") == 1, counts[0] / counts[1]).otherwise(1.0))
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, weightCol="weight")
+    return forest.fit(weighed)
 
 
 def find_not_handwritten(measured: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """``(file_id, label, probability)`` of the files that are labelled 1 or that the forest takes for such.
+    """``(file_id, evidence, probability)`` of the files the forest takes for not hand-written, and of those a notice or a path states to be so.
 
-    Texts that do not even begin in their language (``other``) are no source and are left to the labels. ``measured`` is read again: pass a written table. Without a model (no labels to learn from) the labels decide alone.
+    ``evidence`` is ``forest`` where the forest is sure, whatever the notice says, else ``notice`` or ``path``; the probability is the forest's for
+    every row. ``measured`` is read again: pass a written table. Without a model (nothing to learn from) notices and paths decide alone.
     """
     if model is None:
-        return measured.where("label = 1").select("file_id", "label", F.lit(None).cast("double").alias("probability"))
+        return measured.where("evidence is not null").select("file_id", "evidence", F.lit(None).cast("double").alias("probability"))
     judged = model.transform(measured.withColumn("features", array_to_vector("features"))).withColumn(
         "probability", vector_to_array("probability")[1]
     )
-    return judged.where(f"label = 1 or (probability >= {SURE} and not other)").select("file_id", "label", "probability")
+    why = F.when(F.col("probability") >= SURE, F.lit("forest")).otherwise(F.col("evidence"))
+    return judged.select("file_id", why.alias("evidence"), "probability").where("evidence is not null")
