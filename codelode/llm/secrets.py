@@ -53,9 +53,17 @@ _ENV_OLD = re.compile(r"(?m)^[ \t]*ENV[ \t]+([A-Za-z_]\w*)[ \t]+(\S+)[ \t]*$")
 _PLUS = re.compile(r"[\"'`]\s*\+\s*[bBrRuU]{0,2}[\"'`]")
 _CONCAT = re.compile(rf"{_LITERAL}(?:\s*\+\s*{_LITERAL})+")
 _PIECE = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`]*)`")
-_RUN = re.compile(r"[\s\"'`=:,(>]([A-Za-z0-9+/_-]{24,}={0,2})|((?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}){6,}|(?:%[0-9a-fA-F]{2}[\w.~-]{0,8}){6,})")
+#: A run of base64 or hex, and such runs that go on over line breaks, written or escaped, or over joined literals.
+_BREAK = r"(?:\\r)?\\n(?:[\"'`]\s*\+?\s*[\"'`])?|[\"'`][ \t]*\\?\+?\s*[\"'`]|[ \t]*\\?\r?\n[ \t]*(?:[*#]|//)?[ \t]*"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{20,}}(?:(?:{_BREAK})[A-Za-z0-9+/_-]{{20,}})+(?:(?:{_BREAK})[A-Za-z0-9+/_-]+)?={{0,2}}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
+#: A stretch between blanks and quotes; those that hold escapes are decoded as a whole.
+_FIELD = re.compile(r"[^\s\"'`]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
-_ESCAPE = re.compile(r"\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})")
+_ESCAPED = re.compile(
+    r"%([0-9a-fA-F]{2})|\\x([0-9a-fA-F]{2})|\\u([0-9a-fA-F]{4})|\\u\{([0-9a-fA-F]{1,6})\}|\\U([0-9a-fA-F]{8})|\\(?P<o>[0-3][0-7]{2})|&#x([0-9a-fA-F]{2,6});|&#(?P<d>\d{2,7});"
+)
+_ALL_ESCAPED = re.compile(r"(?:%[0-9a-fA-F]{2}|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]{1,6}\}|\\U[0-9a-fA-F]{8}|\\[0-3][0-7]{2}|&#x?[0-9a-fA-F]{2,7};){6,}")
 _SOURCE = re.compile(r"\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs|py|pyi|go|rs|dart|java|kt|c|cc|cpp|h|rb|php|swift|cs)$", re.I)
 
 _STRONG = re.compile(
@@ -66,7 +74,7 @@ _STRONG = re.compile(
     r"|credentials?|creds)\d*$"
 )
 _NOTHING = re.compile(
-    r"(?i)^(?:(.)\1*|.*\b(?:change[-_ ]?me|todo|tbd|fixme|placeholder|redacted|example|dummy|your|insert|replace|sample|none|null|nil|undefined)\b.*|.*EXAMPLE.*"
+    r"(?i)^(?:(.)\1*|.*\b(?:change[-_ ]?me|todo|tbd|fixme|placeholder|redacted|example|dummy|your|insert|replace|sample|none|null|nil|undefined)\b.*|.*(?-i:EXAMPLE)(?:KEY)?"
     r"|(?:my|the|a|test|set)?[-_ ]?(?:pass(?:word|wd|phrase)?|secret|token|api[-_]?key|key|credentials?)[-_ ]?(?:here)?)$"
 )
 _ELSEWHERE = re.compile(
@@ -134,20 +142,47 @@ def _der(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def _layers(run: str) -> Iterator[bytes]:
-    """What ``run`` is when taken as hex, base64, percent or backslash escapes."""
-    if "\\" in run:
-        yield _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), run).encode("utf-8", "replace")
-    elif "%" in run:
-        yield unquote_to_bytes(run)
-    else:
-        if len(run) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", run):
-            yield binascii.unhexlify(run)
-        plain = run.rstrip("=").replace("-", "+").replace("_", "/")
-        if len(plain) % 4 != 1:
-            try:
-                yield base64.b64decode(plain + "=" * (-len(plain) % 4))
-            except binascii.Error:
-                pass
+    """What ``run`` is when taken as hex or base64."""
+    if len(run) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", run):
+        yield binascii.unhexlify(run)
+    plain = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(plain) % 4 != 1:
+        try:
+            yield base64.b64decode(plain + "=" * (-len(plain) % 4))
+        except binascii.Error:
+            pass
+
+
+def unescape(run: str) -> tuple[str, list[int]]:
+    """``run`` with one layer of percent, backslash and character-reference escapes decoded, and where each character of it begins in ``run``.
+
+    Escapes below 256 are bytes: as characters of that number, as what is looked for is ASCII.
+    """
+    out, at, last = [], [], 0
+    for m in _ESCAPED.finditer(run):
+        out.append(run[last : m.start()])
+        at += range(last, m.start())
+        digits = next(g for g in m.groups() if g)
+        n = int(digits, 8 if digits == m["o"] else 10 if digits == m["d"] else 16)
+        out.append(chr(n) if n < 0x110000 and not 0xD800 <= n < 0xE000 else "\ufffd")
+        at.append(m.start())
+        last = m.end()
+    out.append(run[last:])
+    at += range(last, len(run) + 1)
+    return "".join(out), at
+
+
+def _encoded(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and plain form of what may be base64 or hex within ``text``."""
+    for m in _WRAPPED.finditer(text):
+        yield m.start(), m.end(), re.sub(r"\\[nr]|[^A-Za-z0-9+/_=-]", "", re.sub(r"[\"'`][ \t]*\\?\+?\s*[bBrR]?[\"'`]", "", m[0]))
+    for m in _RUN.finditer(text):
+        yield m.start(), m.end(), m[0]
+        # A slash or dash may belong to a path around the run and shift it.
+        if "/" in m[0] or "-" in m[0]:
+            for part in re.finditer(r"[A-Za-z0-9+_]{24,}(?:/[A-Za-z0-9+_]+)*={0,2}", m[0]):
+                if part[0] != m[0]:
+                    yield m.start() + part.start(), m.start() + part.end(), part[0]
 
 
 def _readable(data: bytes) -> str | None:
@@ -166,9 +201,10 @@ def _secret_value(value: str) -> bool:
     """:func:`usable`, seen through encoded layers that hold readable text."""
     for _ in range(MAX_LAYERS):
         inner = None
-        if re.fullmatch(r"[A-Za-z0-9+/_-]{8,}={0,2}|(?:.*(?:\\x|\\u|%)[0-9a-fA-F]{2}.*)", value):
+        if re.fullmatch(r"[A-Za-z0-9+/_-]{8,}={0,2}", value) or _ESCAPED.search(value):
             if not re.fullmatch(r"[A-Za-z0-9+/_-]+", value) or len(value) % 4 == 0:
-                inner = next((t for d in _layers(value) if (t := _readable(d)) and len(t) >= 4), None)
+                found = [unescape(value)[0].encode("latin-1", "replace")] if _ESCAPED.search(value) else _layers(value)
+                inner = next((t for d in found if (t := _readable(d)) and len(t) >= 4), None)
         if inner is None or inner == value:
             return usable(value)
         value = inner
@@ -202,7 +238,7 @@ def scan(text: str, source: bool = True, depth: int = 0) -> list[Hit]:
                 hits.append(Hit(m.start(), end, "private_key"))
     for p in _PREFIX.finditer(text):
         m = FORMATS.match(text, p.start())
-        if m and "EXAMPLE" not in m[0]:
+        if m and not re.search(r"EXAMPLE(?:KEY)?$", m[0]):
             hits.append(Hit(m.start(), m.end(), "token"))
     hits += (Hit(*m.span(1), "url_password") for m in _URL.finditer(text) if _secret_value(m[1]))
     if "curl" in text:
@@ -245,12 +281,26 @@ def scan(text: str, source: bool = True, depth: int = 0) -> list[Hit]:
     if _PLUS.search(text):
         hits += (Hit(m.start() + 1, m.end() - 1, "token") for m in _CONCAT.finditer(text) if FORMATS.search(_pieces(m[0])))
     if depth < MAX_LAYERS:
-        for m in _RUN.finditer(" " + text):
-            run = m[1] or m[2]
+        for at, end, run in _encoded(text):
             for data in _layers(run):
                 if der_kind(data) == "private" or ((t := _readable(data)) and t != run and scan(t, False, depth + 1)):
-                    hits.append(Hit(m.end() - 1 - len(run), m.end() - 1, "encoded"))
+                    hits.append(Hit(at, end, "encoded"))
                     break
+        if _ESCAPED.search(text):
+            for m in _FIELD.finditer(text):
+                if len(m[0]) < 8 or not ("\\" in m[0] or "%" in m[0] or "&#" in m[0]):
+                    continue
+                plain, where = unescape(m[0])
+                if len(plain) == len(m[0]):
+                    continue
+                if der_kind(plain.encode("latin-1", "replace")) == "private":
+                    hits.append(Hit(m.start(), m.end(), "encoded"))
+                # A value in a text with some escapes is blanked alone; where all is escaped, the run it lies in is.
+                runs = [r.span() for r in _ALL_ESCAPED.finditer(m[0])]
+                for h in scan(plain, False, depth + 1):
+                    a, z = where[h.start], where[h.end]
+                    around = [r for r in runs if r[0] < z and a < r[1]]
+                    hits.append(Hit(m.start() + min([a, *(r[0] for r in around)]), m.start() + max([z, *(r[1] for r in around)]), "encoded"))
     kept: list[Hit] = []
     for h in sorted(hits, key=lambda h: (h.start, -h.end)):
         if kept and h.start < kept[-1].end:
@@ -262,7 +312,7 @@ def scan(text: str, source: bool = True, depth: int = 0) -> list[Hit]:
 
 
 def redact(text: str, hits: list[Hit]) -> str:
-    """``text`` with every hit blanked character by character; quotes, ``+`` between literals, line ends and all else stay."""
+    """``text`` with every hit blanked character by character; quotes and ``+`` between literals, line ends, written or escaped, and all else stay."""
     out, at = [], 0
     for h in hits:
         inner = text[h.start : h.end]
