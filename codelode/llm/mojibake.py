@@ -23,6 +23,8 @@ CELLS = 1 << BITS
 #: Log odds of a swap against a clean passage before EM has seen the source.
 PRIOR = -7.0
 ROUNDS = 4
+#: Languages with a model of their own; the texts of all others share one.
+LANGUAGES = 40
 #: A passage is strange if the mean log probability of its neighbours outside ASCII is so far below the usual one.
 MARGIN = 2.0
 #: A line with so few such neighbours, as one letter has, is also judged together with the others of its text.
@@ -151,6 +153,12 @@ class Bigrams:
         """The log probability of a text in the language it fits best."""
         return float(self.log[cells(points(" " + text + " "))].sum(axis=0).max())
 
+    def line_scores(self, lines: list[str]) -> np.ndarray:
+        """:meth:`score` of each of some lines at once."""
+        p = points("".join(f" {x} " for x in lines) + " ")
+        size = np.array([len(x) + 2 for x in lines])
+        return np.add.reduceat(self.log[cells(p)], np.cumsum(size) - size, axis=0).max(axis=1)
+
     def parts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """By language, the log probability of neighbours without and with a letter outside ASCII; and how many the latter are."""
         p = points(" " + text + " ")
@@ -189,9 +197,16 @@ class Bigrams:
         return odd.tolist()
 
 
-def count_bigrams(documents: DataFrame) -> Bigrams:
-    """The model over all texts with a language; at most ``CELLS`` counts for each language come to the driver."""
-    rows = documents.where("lang is not null and text is not null").select("lang", "text")
+def count_bigrams(documents: DataFrame, most: int = LANGUAGES) -> Bigrams:
+    """The model over all texts, by language as far as the first two letters of its name tell.
+
+    Texts without a language count together, and so do those of all languages beyond the ``most`` of most texts, so at most
+    ``(most + 1) * CELLS`` counts come to the driver whatever stands in ``lang``.
+    """
+    name = F.coalesce(F.regexp_extract(F.lower("lang"), "^([a-z]{2})", 1), F.lit(""))
+    rows = documents.where("text is not null").select(name.alias("lang"), "text")
+    kept = [r["lang"] for r in rows.where("lang <> ''").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
+    rows = rows.withColumn("lang", F.when(F.col("lang").isin(kept), F.col("lang")).otherwise(F.lit("")) if kept else F.lit(""))
     counted = rows.mapInArrow(_count_rows, "lang string, cell int, n long, high long").groupBy("lang", "cell").agg(F.sum("n").alias("n"), F.sum("high").alias("high"))
     found = counted.toArrow()
     languages = sorted(set(found["lang"].to_pylist())) or ["en"]
@@ -260,33 +275,41 @@ def suspects(texts: list[str], model: Bigrams) -> list[list[int]]:
     return [sorted(x) for x in out]
 
 
-def examine(text: str, odd: list[int], model: Bigrams) -> tuple[list[tuple[str, float, str]], bool, bool]:
-    """Ways to explain the lines ``odd`` of ``text`` by swaps, as (swap, gain in log probability, restored text) of the two best; whether
+def examine(text: str, odd: list[int], model: Bigrams) -> tuple[list[tuple[str, float]], bool, bool]:
+    """All swaps that make the lines ``odd`` of ``text`` likelier, as (swap, gain in log probability); whether
     the text holds what no correct reading gives; whether strange passages are left that no swap explains."""
     lines = text.split("\n")
     broken = bool(_NEVER.search(text))
     if not odd:
         return [], broken, False
-    joined = "\n".join(lines[i] for i in odd)
-    clean = {i: model.score(lines[i]) for i in odd}
+    passages = [lines[i] for i in odd]
+    joined = "\n".join(passages)
     fixed = model.parts(joined)
-    base = float((fixed[0] + fixed[1]).max())
-    found: list[tuple[float, int, str]] = []
+    base = model.line_scores(passages)
+    found: list[tuple[str, float]] = []
     seen: set = set()
 
     def weigh_up(swap: str, again: str) -> None:
-        if again != joined and again not in seen:
+        gain, before, scores = 0.0, joined, base
+        while again != before and again not in seen:
             seen.add(again)
-            if (gain := model.score(again) - base) > 0:
-                found.append((-gain, len(found), swap))
+            new = model.line_scores(again.split("\n"))
+            if (more := float(np.maximum(new - scores, 0.0).sum())) <= 0:
+                break
+            # A further layer is undone in the lines that were likelier for the one before.
+            again = "\n".join(x if better else y for x, y, better in zip(again.split("\n"), before.split("\n"), new > scores, strict=True))
+            gain, before, scores = gain + more, again, np.maximum(new, scores)
+            again = undo(before, swap)
+        if gain > 0:
+            found.append((swap, gain))
 
-    chars = {c for c in joined if c > "\x7f" and c != "�"}
+    chars = {c for c in joined if c > "\x7f" and c != "\ufffd"}
     wide = [e for e in WIDE if any("\u3000" <= c <= "\u9fff" or "\uac00" <= c <= "\ud7ff" for c in chars)]
     settled = False
     for read_as in (*(e for e in SINGLE if 2 * len(chars & upper_half(e)) >= len(chars)), *wide):
         again = undo(joined, f"utf-8<{read_as}")
         weigh_up(f"utf-8<{read_as}", again)
-        if found and found[-1][2] == f"utf-8<{read_as}" and not model.strange(again):
+        if found and found[-1][0] == f"utf-8<{read_as}" and not model.strange(again):
             settled = True
             if chars <= upper_half(read_as) and not _decodes(again):
                 break
@@ -295,44 +318,44 @@ def examine(text: str, odd: list[int], model: Bigrams) -> tuple[list[tuple[str,
     broken = broken or any(s and _LOST.search(lines[i]) for s, i in zip(strange, odd, strict=True))
     if not settled and (broken or any(strange)):
         dense = 4 * sum(c > "\x7f" for c in joined) > len(joined)
-        one_for_one = _OneForOne(joined, model)
+        one_for_one = _OneForOne(passages, model)
         for swap in swaps_for(joined):
             if swap.partition("<")[0] in WIDE:
                 if dense:
                     weigh_up(swap, undo(joined, swap))
             elif (gain := one_for_one.gain(swap)) > 0:
-                found.append((-gain, len(found), swap))
-    best: list[tuple[str, float, str]] = []
-    for _, _, swap in sorted(found)[:4]:
-        gain, new = 0.0, lines[:]
-        for i in odd:
-            line, now = lines[i], clean[i]
-            for _ in range(3):
-                again = undo(line, swap)
-                score = model.score(again) if again != line else now
-                if score <= now:
-                    break
-                gain, line, now = gain + score - now, again, score
-            new[i] = line
-        if gain > 0:
-            best.append((swap, gain, "\n".join(new)))
-    best.sort(key=lambda x: -x[1])
-    left = not best and fixed[2] >= 12 and any(strange)
-    return best[:2], broken, left
+                found.append((swap, gain))
+    return found, broken, not found and fixed[2] >= 12 and any(strange)
+
+
+def restore(text: str, odd: list[int], swap: str, model: Bigrams) -> str:
+    """``text`` with the swap undone in those lines ``odd`` that it makes likelier, as many layers deep as each is likelier than the one before."""
+    lines = text.split("\n")
+    for i in odd:
+        now = model.score(lines[i])
+        while (again := undo(lines[i], swap)) != lines[i] and (score := model.score(again)) > now:
+            lines[i], now = again, score
+    return "\n".join(lines)
 
 
 class _OneForOne:
-    """Gains of single-byte swaps of one text: only neighbours outside ASCII change, and each table is looked up once per character."""
+    """Gains of single-byte swaps of some lines: only neighbours outside ASCII change, and each table is looked up once per character."""
 
-    def __init__(self, text: str, model: Bigrams) -> None:
-        self.model, self.points = model, points(" " + text + " ")
+    def __init__(self, lines: list[str], model: Bigrams) -> None:
+        self.model, self.points = model, points("".join(f" {x} " for x in lines) + " ")
+        size = np.array([len(x) + 2 for x in lines])
         high = self.points > 127
         self.at = np.flatnonzero(high)
         self.pairs = np.flatnonzero(high[:-1] | high[1:])
         self.chars, self.which = np.unique(self.points[self.at], return_inverse=True)
         each = model.log[cells(self.points)]
-        total = each.sum(axis=0)
-        self.low, self.base = total - each[self.pairs].sum(axis=0), float(total.max())
+        total = np.add.reduceat(each, np.cumsum(size) - size, axis=0)
+        # Every odd line has a character outside ASCII, so each has pairs, and they stand in order.
+        owner = np.repeat(np.arange(len(lines)), size)[self.pairs]
+        self.first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        self.owner = owner[self.first]
+        self.base = total.max(axis=1)[self.owner]
+        self.low = total[self.owner] - np.add.reduceat(each[self.pairs], self.first, axis=0)
         self.seen: set[tuple[int, ...]] = set()
 
     def gain(self, swap: str) -> float:
@@ -345,7 +368,9 @@ class _OneForOne:
         p = self.points.copy()
         p[self.at] = np.array(new, np.uint32)[self.which]
         x = p[self.pairs].astype(np.uint64) * _A + p[self.pairs + 1].astype(np.uint64) * _B
-        return float((self.low + self.model.log[(x >> np.uint64(64 - BITS)).astype(np.int64)].sum(axis=0)).max()) - self.base
+        each = self.model.log[(x >> np.uint64(64 - BITS)).astype(np.int64)]
+        scores = (self.low + np.add.reduceat(each, self.first, axis=0)).max(axis=1)
+        return float(np.maximum(scores - self.base, 0.0).sum())
 
 
 _LEADS = re.compile("[\xc0-\xf4\u0100-\u2fff][^\x00-\x7f]")
@@ -361,7 +386,12 @@ def _decodes(line: str) -> bool:
     return False
 
 
+_EXPLAINED = "doc_id long, source string, text string, odd array<int>, ways array<struct<swap string, gain double>>, broken boolean, unknown boolean"
+
+
 def _examine_rows(model: Bigrams):
+    way = pa.list_(pa.struct([("swap", pa.string()), ("gain", pa.float64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -369,30 +399,23 @@ def _examine_rows(model: Bigrams):
             for at in range(0, len(rows), 200):
                 some = rows[at : at + 200]
                 for (i, source, text), odd in zip(some, suspects([r[2] for r in some], model), strict=True):
-                    if not odd:
-                        continue
-                    best, broken, left = examine(text, odd, model)
-                    for swap, gain, restored in best:
-                        out.append((i, source, swap, gain, restored, broken, False))
-                    if not best and (broken or left):
-                        out.append((i, source, None, 0.0, text, broken, left))
+                    ways, broken, left = examine(text, odd, model)
+                    if odd and (ways or broken or left):
+                        out.append((i, source, text, odd, [{"swap": s, "gain": g} for s, g in ways], broken, left))
             columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.bool_()]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), way, pa.bool_(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "source", "swap", "gain", "restored", "broken", "unknown"],
+                names=["doc_id", "source", "text", "odd", "ways", "broken", "unknown"],
             )
 
     return run
 
 
 def explanations(documents: DataFrame, model: Bigrams) -> DataFrame:
-    """The ways to explain each suspicious text; clean texts give no row."""
+    """Each suspicious text with its odd lines and all the ways to explain them; clean texts give no row."""
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    return rows.mapInArrow(
-        _examine_rows(model),
-        "doc_id long, source string, swap string, gain double, restored string, broken boolean, unknown boolean",
-    )
+    return rows.mapInArrow(_examine_rows(model), _EXPLAINED)
 
 
 def weigh(explained: DataFrame, documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -401,7 +424,7 @@ def weigh(explained: DataFrame, documents: DataFrame, rounds: int = ROUNDS) -> D
     ``explained`` is read in every round: pass a written table. Each round is a grouped sum over the suspicious texts only.
     """
     size = documents.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("size"))
-    known = explained.where("swap is not null").join(size, "source")
+    known = explained.select("doc_id", "source", "broken", F.inline("ways")).join(size, "source")
     share = F.lit(PRIOR)
     now = known.withColumn("odds", F.col("gain") + share)
     for _ in range(rounds):
@@ -422,22 +445,19 @@ def learn_mapping(unknown: DataFrame, model: Bigrams, letters: str, rounds: int
     """For each source, the letters behind the symbols of passages no code page explains.
 
     Expectation: for each symbol between two neighbours, the posterior of each letter under
-    the bigrams and the mapping so far. Maximization: the mapping by the expected counts.
-    Counts come to the driver by source, symbol and letter, which the alphabets bound.
+    the bigrams and the mapping so far. Maximization: the mapping by the expected counts, summed on the executors.
+    What comes to the driver is the mapping, a row for each source, symbol and letter of some weight, which the alphabets bound.
     """
     theta: dict[str, dict[str, np.ndarray]] = {}
     for _ in range(rounds):
-        rows = unknown.select("source", "restored").mapInArrow(_expect(model, letters, theta), "source string, symbol string, expected binary, n double")
-        sums: dict[tuple[str, str], np.ndarray] = {}
-        for r in rows.toLocalIterator():
-            k = (r["source"], r["symbol"])
-            x = np.frombuffer(r["expected"], np.float64)
-            sums[k] = sums[k] + x if k in sums else x
-        if not sums:
-            return {}
+        rows = unknown.select("source", "text").mapInArrow(_expect(model, letters, theta), "source string, symbol string, letter int, n double")
+        summed = rows.groupBy("source", "symbol", "letter").agg(F.sum("n").alias("n"))
         theta = {}
-        for (source, symbol), x in sums.items():
-            theta.setdefault(source, {})[symbol] = (x + 1e-3) / (x.sum() + 1e-3 * len(x))
+        for r in summed.collect():
+            theta.setdefault(r["source"], {}).setdefault(r["symbol"], np.full(len(letters), 1e-3))[r["letter"]] += r["n"]
+        for by in theta.values():
+            for x in by.values():
+                x /= x.sum()
     return {
         source: {ord(s): letters[int(p.argmax())] for s, p in by.items() if p.max() > 0.6} for source, by in theta.items()
     }
@@ -467,13 +487,10 @@ def _expect(model: Bigrams, letters: str, theta: dict[str, dict[str, np.ndarray]
                         p /= p.sum()
                         k = (source, s)
                         sums[k] = sums[k] + p if k in sums else p
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()),
-                pa.array([x.tobytes() for x in sums.values()], pa.binary()), pa.array([float(x.sum()) for x in sums.values()], pa.float64()),
-            ],
-            names=["source", "symbol", "expected", "n"],
-        )
+        out = [(*k, int(j), float(x[j])) for k, x in sums.items() for j in np.flatnonzero(x > 1e-6)]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["source", "symbol", "letter", "n"])
 
     return run
 
@@ -487,19 +504,30 @@ def settle(explained: DataFrame, documents: DataFrame, model: Bigrams) -> DataFr
     """``(doc_id, swap, restored)`` of the texts that are garbled, whole or in part, once each.
 
     ``swap`` is ``meant<read_as``, ``learned`` for a mapping found by EM alone, or null, with the text as it is, where what was lost cannot be
-    had back. A null or empty text, and correct text of any language, gives no row.
+    had back. A null or empty text, and correct text of any language, gives no row. ``explained`` is read more than once: pass a written table.
     """
     weighed = weigh(explained, documents)
     best = (
-        weighed.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("odds").desc(), "swap", "restored")))
+        weighed.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("odds").desc(), "swap")))
         .where("rank = 1 and (odds > 0 or broken)")
-        .select("doc_id", F.when(F.col("odds") > 0, F.col("swap")).alias("swap"), "restored")
+        .select("doc_id", F.when(F.col("odds") > 0, F.col("swap")).alias("swap"))
     )
-    lost = explained.where("swap is null and broken").select("doc_id", F.lit(None).cast("string").alias("swap"), "restored")
+    texts = explained.select("doc_id", "source", "text", "odd")
+    lost = explained.where("size(ways) = 0 and broken").select("doc_id", F.lit(None).cast("string").alias("swap"))
+    named = best.unionByName(lost).join(texts, "doc_id").select("doc_id", "swap", "text", "odd").mapInArrow(_restore_rows(model), "doc_id long, swap string, restored string")
     unknown = explained.where("unknown and not broken")
     mapping = learn_mapping(unknown, model, letters_of(model))
-    learned = unknown.select("doc_id", "source", "restored").mapInArrow(_apply(mapping, model), "doc_id long, swap string, restored string")
-    return best.unionByName(lost).unionByName(learned).dropDuplicates(["doc_id"])
+    learned = unknown.select("doc_id", "source", "text").mapInArrow(_apply(mapping, model), "doc_id long, swap string, restored string")
+    return named.unionByName(learned).dropDuplicates(["doc_id"])
+
+
+def _restore_rows(model: Bigrams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [restore(text, odd, swap, model) if swap else text for _, swap, text, odd in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "swap", "restored"])
+
+    return run
 
 
 def _apply(mapping: dict[str, dict[int, str]], model: Bigrams):

@@ -223,14 +223,15 @@ def test_garbled_texts_are_restored(model, text, meant, read_as):
     mixed = "A plain line first.\n" + wrong + "\n" + text
     (odd,) = mojibake.suspects([mixed], model)
     best, _, _ = mojibake.examine(mixed, odd, model)
-    assert best and best[0][1] > 10 and best[0][2].split("\n")[1] == text.encode(meant, "ignore").decode(meant)
+    swap, gain = max(best, key=lambda x: x[1])
+    assert gain > 10 and mojibake.restore(mixed, odd, swap, model).split("\n")[1] == text.encode(meant, "ignore").decode(meant)
 
 
 @pytest.mark.parametrize("text", CLEAN_TEXTS.values())
 def test_clean_texts_are_left(model, text):
     (odd,) = mojibake.suspects([text + "\n" + text], model)
     best, broken, left = mojibake.examine(text, odd, model) if odd else ([], False, False)
-    assert not broken and not left and not any(gain > 7 for _, gain, _ in best)
+    assert not broken and not left and not any(gain > 7 for _, gain in best)
 
 
 def test_lines_with_one_garbled_letter_each_are_restored(model):
@@ -239,7 +240,8 @@ def test_lines_with_one_garbled_letter_each_are_restored(model):
     wrong = "A plain line first.\n" + "".join(page[b] for b in text.encode("cp1252"))
     (odd,) = mojibake.suspects([wrong], model)
     best, _, _ = mojibake.examine(wrong, odd, model)
-    assert best and best[0][1] > 10 and best[0][2].split("\n")[1:] == text.split("\n")
+    swap, gain = max(best, key=lambda x: x[1])
+    assert gain > 10 and mojibake.restore(wrong, odd, swap, model).split("\n")[1:] == text.split("\n")
 
 
 def test_a_lost_sequence_is_found_in_the_only_line_outside_ascii(model):
@@ -253,7 +255,8 @@ def test_twice_garbled_text_is_restored(model):
     for _ in range(2):
         wrong = "".join(mojibake.page("cp1252")[b] for b in wrong.encode("utf-8"))
     (odd,) = mojibake.suspects([wrong], model)
-    assert mojibake.examine(wrong, odd, model)[0][0][2] == GERMAN
+    swap, _ = max(mojibake.examine(wrong, odd, model)[0], key=lambda x: x[1])
+    assert mojibake.restore(wrong, odd, swap, model) == GERMAN
 
 
 def test_garbled_documents(spark, model, collect):
@@ -270,7 +273,7 @@ def test_garbled_documents(spark, model, collect):
 def test_an_unknown_cipher_is_learned_from_bigrams(spark, model):
     symbols = {"ü": "⍟", "ö": "⍋", "ä": "⌿", "ß": "⍉"}
     wrong = GERMAN.translate({ord(a): b for a, b in symbols.items()}) * 3
-    df = spark.createDataFrame([("s", wrong)], "source string, restored string")
+    df = spark.createDataFrame([("s", wrong)], "source string, text string")
     mapping = mojibake.learn_mapping(df, model, mojibake.letters_of(model))["s"]
     assert sum(mapping.get(ord(b)) == a for a, b in symbols.items()) >= 3
     assert np.isfinite(model.log).all()
