@@ -5,6 +5,8 @@ A window of ``min_length`` tokens goes to the shard of its minimizer, the run of
 consecutive windows with one minimizer travel as one *stretch*, equal windows meet in one
 shard, and the work stays in proportion to the input. Stretches whose minimizer
 stands in one file only share nothing and are left out; equal stretches are indexed once.
+The stretches of a minimizer with more tokens than one index holds are divided anew by
+longer runs, at last by whole windows, of which equal ones are one stretch, so that nothing is sent to more than one shard.
 In each shard an FM-index is built over the stretches and backward search gives the
 matching statistics of all of them.
 """
@@ -20,11 +22,14 @@ from pyspark.sql import functions as F
 
 from codelode.llm.fmindex import FMIndex
 from codelode.llm.streams import U64, grams, mix, pack_binary, sliding_min, unpack_binary
-from codelode.session import cut
+from codelode.session import cut, drop_cut
 
-ANCHOR = 16
-#: Tokens in one index. A minimizer with more distinct stretches than fit is split, and its stretches searched in every part.
+#: Lengths of the runs that divide windows, the next one for the stretches of those runs that are too frequent; the whole window ends the list.
+ANCHORS = (16, 32)
+#: Tokens in one index, and those of distinct stretches from which a minimizer is too frequent.
 BLOCK = 1_000_000
+#: Tokens in one Arrow batch of stretches.
+SLICE = 8_000_000
 _POS = U64((1 << 28) - 1)
 MANY, ANY = -1, -2
 
@@ -36,41 +41,40 @@ def shared_spans(streams: DataFrame, min_length: int = 50, block: int = BLOCK) -
     file; it is read twice, so pass a written table. Equality is that of the 64-bit token hashes. A repetition within
     one file only is not shared. Files shorter than ``min_length`` and an empty table give no rows.
     """
-    anchor = min(ANCHOR, min_length)
-    stretches = cut(
-        streams.mapInArrow(
-            _stretches(min_length, anchor), "key long, content long, file_id long, start int, length int"
-        ),
-        "stretches",
-    )
-    single = stretches.groupBy("key", "content").agg(
-        F.min("file_id").alias("least"),
-        F.max("file_id").alias("most"),
-        F.min(F.struct("file_id", "start", "length")).alias("at"),
-    )
-    single = cut(single.select("key", "content", "least", "most", "at.*"), "single")
-    keys = (
-        single.groupBy("key")
-        .agg(F.min("least").alias("a"), F.max("most").alias("b"), F.sum(F.col("length").cast("long")).alias("size"))
-        .where("a <> b")
-        .select("key", F.ceil(F.col("size") / block).cast("int").alias("parts"))
-    )
+    anchors = sorted({min(k, min_length) for k in (*ANCHORS, min_length)})
+    columns = "key long, content long, file_id long, start int, length int"
+    stretches = cut(streams.mapInArrow(_stretches(min_length, anchors[0]), columns), "stretches")
+    for k in [*anchors[1:], None]:
+        single = stretches.groupBy("key", "content").agg(
+            F.min("file_id").alias("least"),
+            F.max("file_id").alias("most"),
+            F.min(F.struct("file_id", "start", "length")).alias("at"),
+        )
+        single = cut(single.select("key", "content", "least", "most", "at.*"), "single")
+        keys = single.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.sum(F.col("length").cast("long")).alias("size")).where("a <> b")
+        hot = keys.where(F.col("size") > block).select("key")
+        # A key of whole windows has one stretch, so after the last length nothing is left to divide.
+        if k is None or hot.isEmpty():
+            break
+        hot = cut(hot, "hot")
+        ranges = stretches.join(hot, "key", "left_semi").groupBy("file_id").agg(F.collect_list(F.struct("start", "length")).alias("w"))
+        divided = ranges.join(streams, "file_id").mapInArrow(_divided(min_length, k), columns)
+        finer = cut(stretches.join(hot, "key", "left_anti").unionByName(divided), "stretches")
+        for old in (stretches, single, hot):
+            drop_cut(old)
+        stretches = finer
     wanted = cut(
-        single.join(keys, "key").select(
-            "key", "content", "file_id", "start", "length", "parts",
-            F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.lit(MANY)).alias("doc"),
+        single.join(keys.select("key"), "key", "left_semi").select(
+            "key", "content", "file_id", "start", "length", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.lit(MANY)).alias("doc")
         ),
         "wanted",
     )
-    total = wanted.agg(F.sum(F.col("length").cast("long") * F.col("parts"))).first()[0] or 0
+    drop_cut(single)
+    total = wanted.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
     shards = max(int(streams.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block))
-    per_file = wanted.groupBy("file_id").agg(
-        F.collect_list(F.struct("start", "length", "key", "content", "doc", "parts")).alias("w")
-    )
-    texts = per_file.join(streams, "file_id").mapInArrow(
-        _texts, "key long, part int, content long, doc long, indexed boolean, tokens binary"
-    )
-    found = texts.repartition(shards, "key", "part").mapInArrow(
+    per_file = wanted.groupBy("file_id").agg(F.collect_list(F.struct("start", "length", "key", "content", "doc")).alias("w"))
+    texts = per_file.join(streams, "file_id").mapInArrow(_texts, "key long, content long, doc long, tokens binary")
+    found = texts.repartition(shards, "key").mapInArrow(
         _search(min_length, block), "key long, content long, hits binary"
     )
     placed = stretches.join(found, ["key", "content"]).select("file_id", "start", "hits")
@@ -88,34 +92,56 @@ def _stretches(width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             found = stretches_of(hashes, bounds, width, k)
             if found is None:
                 continue
-            key, content, owner, start, length = found
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(key.view(np.int64)), pa.array(content.view(np.int64)),
-                    pa.array(b.column("file_id").to_numpy()[owner]),
-                    pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)),
-                ],
-                names=["key", "content", "file_id", "start", "length"],
-            )
+            yield _stretch_batch(b, *found)
 
     return run
 
 
-def stretches_of(hashes: np.ndarray, bounds: np.ndarray, width: int, k: int):
-    """Minimizer, content hash, file index, start and length of every stretch; None where no file is long enough."""
+def _stretch_batch(b: pa.RecordBatch, key, content, owner, start, length) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(b.column("file_id").to_numpy()[owner]),
+            pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)),
+        ],
+        names=["key", "content", "file_id", "start", "length"],
+    )
+
+
+def _divided(width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            hashes, bounds = unpack_binary(b.column("hashes"), np.int64)
+            lists = b.column("w")
+            owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
+            start, length = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in range(2))
+            mark = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(mark, bounds[owner] + start, 1)
+            np.add.at(mark, bounds[owner] + start + length - width + 1, -1)
+            found = stretches_of(hashes, bounds, width, k, np.cumsum(mark[:-1]) > 0)
+            if found is not None:
+                yield _stretch_batch(b, *found)
+
+    return run
+
+
+def stretches_of(hashes: np.ndarray, bounds: np.ndarray, width: int, k: int, wanted: np.ndarray | None = None):
+    """Minimizer, content hash, file index, start and length of every stretch of windows, all or those that begin where ``wanted``; None where there are none."""
     if len(hashes) < width:
         return None
-    gram = grams(hashes, k)
+    gram = mix(grams(hashes, k) + U64(k))
     ranked = (mix(gram) & ~_POS) | (np.arange(len(gram), dtype=U64) & _POS)
     low = sliding_min(ranked, width - k + 1)
     whole = grams(hashes, width)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(low)]
-    at = np.flatnonzero(np.arange(len(low)) + width <= bounds[owner + 1])
+    inside = np.arange(len(low)) + width <= bounds[owner + 1]
+    at = np.flatnonzero(inside if wanted is None else inside & wanted[: len(low)])
     if not len(at):
         return None
     where = (low[at] & _POS).astype(np.int64)
     new = np.ones(len(at), bool)
-    new[1:] = (where[1:] != where[:-1]) | (owner[at[1:]] != owner[at[:-1]])
+    new[1:] = (where[1:] != where[:-1]) | (owner[at[1:]] != owner[at[:-1]]) | (at[1:] != at[:-1] + 1)
     first = at[new]
     last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
     length = last - first + width
@@ -131,58 +157,45 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = b.column("w")
         w = lists.flatten()
         owner = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
-        start, length, key, content, doc, parts = (w.field(i).to_numpy() for i in range(6))
+        start, length, key, content, doc = (w.field(i).to_numpy() for i in range(5))
         first = bounds[owner] + start
-        parts = parts.astype(np.int64)
-        own = np.abs(content % parts)
-        row = np.repeat(np.arange(len(key)), parts)
-        part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-        size = length[row].astype(np.int64)
-        ends = np.concatenate(([0], np.cumsum(size)))
-        spread = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(first[row], size)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(key[row]), pa.array(part.astype(np.int32)), pa.array(content[row]), pa.array(doc[row]),
-                pa.array(part == own[row]), pack_binary(hashes[spread], ends),
-            ],
-            names=["key", "part", "content", "doc", "indexed", "tokens"],
-        )
+        # Stretches overlap, so a batch may grow; it goes on in slices.
+        slices = np.cumsum(length.astype(np.int64)) // SLICE
+        for some in np.split(np.arange(len(key)), np.flatnonzero(np.diff(slices)) + 1):
+            size = length[some].astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(size)))
+            spread = np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(first[some], size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[some]), pa.array(content[some]), pa.array(doc[some]), pack_binary(hashes[spread], ends)], names=["key", "content", "doc", "tokens"]
+            )
 
 
 def _search(width: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A partition holds about ``block`` tokens, as there are as many as the total asks for and no key is larger; indexes are made of whole keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not table.num_rows:
             return
-        order = np.lexsort((table["part"].to_numpy(), table["key"].to_numpy()))
-        table = table.take(pa.array(order))
-        key, part = table["key"].to_numpy(), table["part"].to_numpy()
+        table = table.take(pa.array(np.argsort(table["key"].to_numpy(), kind="stable")))
+        key, content, docs = (table[c].to_numpy() for c in ("key", "content", "doc"))
         tokens, bounds = unpack_binary(table["tokens"], np.int64)
-        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (part[1:] != part[:-1]))))
         begin = 0
-        for a, z in zip(new, np.append(new[1:], len(key)), strict=True):
+        for z in np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)):
             if z == len(key) or bounds[z] - bounds[begin] >= block:
-                doc = table["doc"].to_numpy()[begin:z]
-                hit = shared_windows(
-                    tokens[bounds[begin] : bounds[z]], bounds[begin : z + 1] - bounds[begin], doc,
-                    table["indexed"].to_numpy()[begin:z], width,
-                )
+                hit = shared_windows(tokens[bounds[begin] : bounds[z]], bounds[begin : z + 1] - bounds[begin], docs[begin:z], width)
                 some = np.flatnonzero(hit.any(axis=1))
                 bits = np.packbits(hit[some], axis=1, bitorder="little")
                 ends = np.arange(len(some) + 1) * bits.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[begin:z][some]), pa.array(table["content"].to_numpy()[begin:z][some]),
-                     pack_binary(bits.ravel(), ends)],
-                    names=["key", "content", "hits"],
-                )
+                    [pa.array(key[begin:z][some]), pa.array(content[begin:z][some]), pack_binary(bits.ravel(), ends)], names=["key", "content", "hits"]
+                )
                 begin = z
 
     return run
 
 
-def shared_windows(
-    tokens: np.ndarray, bounds: np.ndarray, doc: np.ndarray, indexed: np.ndarray, width: int
-) -> np.ndarray:
+def shared_windows(tokens: np.ndarray, bounds: np.ndarray, doc: np.ndarray, width: int) -> np.ndarray:
     """For each stretch (row) and window in it (column): whether the window stands in another document.
 
     A probe finds by backward search how far left of an end the text is shared. All windows within that reach are shared; all that
@@ -192,14 +205,12 @@ def shared_windows(
     size = np.diff(bounds)
     codes = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 2
     sigma = int(codes.max()) + 1
-    kept = np.flatnonzero(indexed)
-    keep = np.repeat(indexed, size)
-    ends = np.cumsum(size[kept] + 1) - 1
+    ends = np.cumsum(size + 1) - 1
     text = np.ones(int(ends[-1]) + 1 if len(ends) else 0, np.int64)
     place = np.ones(len(text), bool)
     place[ends] = False
-    text[place] = codes[keep]
-    owner = np.repeat(doc[kept], size[kept] + 1)
+    text[place] = codes
+    owner = np.repeat(doc, size + 1)
     windows = size - width + 1
     column = np.arange(windows.max())
     hit = np.zeros((len(size), len(column)), bool)

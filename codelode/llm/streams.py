@@ -16,6 +16,8 @@ _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 def pack_binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """A binary array whose element ``i`` holds ``values[bounds[i]:bounds[i + 1]]``."""
     raw = np.ascontiguousarray(values)
+    if raw.nbytes > np.iinfo(np.int32).max:
+        raise OverflowError("a batch of more than 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
     offsets = (np.asarray(bounds, np.int64) * raw.itemsize).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
 

@@ -152,7 +152,7 @@ def test_fm_index_finds_what_a_scan_finds():
         assert r == want
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1_000_000), (2, 400)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 1_000_000), (2, 400), (3, 60)])
 def test_shared_spans_match_brute_force(spark, collect, seed, block):
     files = random_files(seed)
     data = token_rows(files)
