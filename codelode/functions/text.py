@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The characters with the property White_Space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def lines(text: Column) -> Column:
     """The lines of a text: split at line feeds, a carriage return before one dropped, no empty last line."""
     plain = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n\z", "")
@@ -15,8 +19,8 @@ def lines(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at the ends, of any kind that Unicode knows."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def extension(path: Column) -> Column:

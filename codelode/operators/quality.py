@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-from codelode.operators import rules, taint
+from codelode.operators import rules, treerules
 
 
-def all_issues(files: DataFrame, functions: DataFrame) -> DataFrame:
-    """``(file_id, path, line, rule_id, severity)`` of line rules, shaped rules, function limits and tainted sinks."""
-    kinds = rules.issues(files), rules.shaped_issues(files), rules.limit_issues(functions), taint.tainted_sinks(files)
+def all_issues(files: DataFrame, functions: DataFrame | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """``(file_id, path, line, rule_id, severity)`` of line rules, structural rules, tainted sinks and, with ``functions``, their limits."""
+    kinds = [rules.issues(files, disabled=disabled), treerules.tree_issues(files, disabled)]
+    if functions is not None:
+        kinds.append(rules.limit_issues(functions).where(~F.col("rule_id").isin(*disabled)) if disabled else rules.limit_issues(functions))
     first, *others = (x.select("file_id", "path", F.col("line").cast("int").alias("line"), "rule_id", "severity") for x in kinds)
     for x in others:
         first = first.unionByName(x)

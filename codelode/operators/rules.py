@@ -1,12 +1,14 @@
-"""Rules over lines: a rule is a row of data, and all rules run in one pass over the lines.
+"""Rules about lines of Python, Rust, Go and Dart, limits of functions, and rules users bring.
 
-``raw`` rules read the trimmed line; ``code`` rules read it without string contents and comments,
-which stands in for a match on the syntax tree within a line and is marked approximate.
+A rule is a row of data: an id and a condition on a line and its neighbours. All of them run in one pass over the lines of a file,
+each line tested against the rules of its language only; rules about structure are in :mod:`codelode.operators.treerules`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,282 +16,143 @@ from pyspark.sql import functions as F
 
 from codelode.functions import text as T
 from codelode.operators.sourcefiles import language_of, line_rows
+from codelode.session import spread
+
+TS = ("typescript", "tsx")
+
+
+class Line(NamedTuple):
+    """A line as the conditions see it: trimmed, as it stands, the trimmed lines around it and the path."""
+
+    raw: Column
+    full: Column
+    before: Column
+    after: tuple[Column, Column, Column, Column]
+    path: Column
 
 
 class Rule(NamedTuple):
     id: str
     severity: str
-    languages: tuple[str, ...]
-    scope: str
-    pattern: str
-    unless: str = ""
-    skip_path: str = ""
-    exact: bool = False
-
-
-TS, JS, DART, PY, GO, RS = ("typescript", "tsx"), ("javascript", "jsx"), ("dart",), ("python",), ("go",), ("rust",)
-WEB = TS + JS
-ALL = WEB + DART
-PY_TEST, RS_TEST = r"_test\.py$|test_\.py$|[/\\]tests?[/\\]", r"[/\\]tests[/\\]|_test\.rs$|test_\.rs$"
-_ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
-_OPERAND = rf"{_ID}(?:\.{_ID}|\([^()]*\)|\[[^\[\]]*\])*"
-
-#: Patterns keep to what both Java and RE2 read alike: no lookaround, no back references.
-RULES: tuple[Rule, ...] = (
-    Rule("python/avoid-print", "minor", PY, "raw", r"print\(", r"^#", PY_TEST, True),
-    Rule("python/avoid-bare-except", "major", PY, "raw", r"^except:", r"^#", "", True),
-    Rule("python/avoid-mutable-default", "critical", PY, "raw", r"^def .*=(\[\]|\{\}|set\(\)|list\(\)|dict\(\))", r"^#", "", True),
-    Rule("python/avoid-todo", "info", PY, "raw", r"^(#|\"\"\"|''').*(TODO|FIXME|HACK|XXX)", "", "", True),
-    Rule("python/avoid-star-import", "major", PY, "raw", r"^from .* import \*", "", "", True),
-    Rule("python/explicit-return-type", "info", PY, "raw", r"^def .*\(.*:|^def .*:.*\(", r"->|def _", r"_test\.py$|test_\.py$|__init__\.py$", True),
-    Rule("rust/avoid-println", "minor", RS, "raw", r"println!\(|dbg!\(", r"^//", RS_TEST, True),
-    Rule("rust/avoid-unwrap", "major", RS, "raw", r"\.unwrap\(\)", r"^//|#\[test\]|#\[cfg\(test\)\]", RS_TEST, True),
-    Rule("rust/avoid-expect", "minor", RS, "raw", r"\.expect\(", r"^//", RS_TEST, True),
-    Rule("rust/avoid-todo", "major", RS, "raw", r"todo!\(", r"^//", "", True),
-    Rule("rust/avoid-unimplemented", "major", RS, "raw", r"unimplemented!\(", r"^//", "", True),
-    Rule("go/avoid-print", "minor", GO, "raw", r"fmt\.Print|log\.Println", r"^//", r"_test\.go$", True),
-    Rule("go/avoid-empty-block", "major", GO, "raw", r"\{\}$", "", "", True),
-    Rule("go/avoid-init", "minor", GO, "raw", r"^func init( \(|\(\))", "", "", True),
-    Rule("dart/avoid-print", "minor", DART, "raw", r"print\(", r"^//|blueprint|sprintf"),
-    Rule("dart/prefer-async-await", "minor", DART, "raw", r"\.then\(", r"^//|^expect", "", True),
-    Rule("dart/avoid-web-libraries-in-flutter", "major", DART, "raw", r"^(import|export) .*dart:(html|js|web_gl)", "", "", True),
-    Rule("dart/avoid-empty-catch", "major", DART, "code", r"catch\s*\([^)]*\)\s*\{\s*\}"),
-    Rule("no-array-constructor", "minor", WEB, "raw", r"\bnew\s+Array\s*\("),
-    Rule("no-buffer-constructor", "blocker", WEB, "raw", r"\bnew\s+Buffer\s*\("),
-    Rule("no-compare-neg-zero", "major", WEB, "raw", r"===\s*-0\b|==\s*-0\b"),
-    Rule("no-constant-condition", "critical", ALL, "raw", r"\b(if|while)\s*\(\s*(true|false|null|undefined)\s*\)"),
-    Rule("no-delete-var", "critical", WEB, "raw", r"\bdelete\s+[a-zA-Z_$]"),
-    Rule("no-empty-pattern", "critical", ALL, "raw", r"\{\s*\}\s*="),
-    Rule("no-new-require", "critical", WEB, "raw", r"\bnew\s+require\s*\("),
-    Rule("no-obj-calls", "critical", ALL, "raw", r"\b(Math|JSON|Reflect|Intl)\s*\("),
-    Rule("no-octal", "critical", WEB, "raw", r"\b0[0-7]+\b"),
-    Rule("no-path-concat", "minor", WEB, "raw", r"(__dirname|__filename)\s*\+"),
-    Rule("no-unsafe-negation", "critical", WEB, "raw", r"!\s*\w+\s+in\b|!\s*\w+\s+instanceof\b"),
-    Rule("no-void", "minor", WEB, "raw", r"\bvoid\s+"),
-    Rule("camelcase", "minor", ALL, "code", rf"\b(const|let|var)\s+_?[a-z][a-zA-Z0-9$]*_{_ID}"),
-    Rule("no-async-promise-executor", "critical", WEB, "code", r"\bnew\s+Promise\s*\(\s*async\b"),
-    Rule("no-bitwise", "major", ALL, "code", r"[^&]&[^&=]|[^|]\|[^|=]|\^|~|<<|>>"),
-    Rule("no-console", "minor", WEB, "code", r"\bconsole\.\w+\s*\(", "", r"\.spec\.|\.test\.|__tests__"),
-    Rule("no-empty-function", "minor", ALL, "code", r"(\)|=>)\s*\{\s*\}"),
-    Rule("no-empty-interface", "major", TS, "code", r"\binterface\s+\w+\s*\{\s*\}"),
-    Rule("no-eqeqeq", "major", ALL, "code", r"(^|[^=!<>])(==|!=)($|[^=])"),
-    Rule("no-eval", "blocker", WEB, "code", r"(^|[^.\w$])eval\s*\("),
-    Rule("no-explicit-any", "major", TS, "code", r"[:<|,]\s*any\b"),
-    Rule("no-extra-bind", "minor", ALL, "code", r"\.bind\(this\)", r"\bthis\b.*\.bind\(this\)"),
-    Rule("no-extra-boolean-cast", "minor", ALL, "code", r"!!|\bBoolean\s*\("),
-    Rule("no-html-link", "critical", ("tsx", "jsx", "dart"), "code", r"\bdangerouslySetInnerHTML\b"),
-    Rule("no-implied-eval", "critical", WEB, "raw", r"\bset(Timeout|Interval)\s*\(\s*['\"`]"),
-    Rule("no-lonely-if", "minor", ALL, "code", r"\belse\s+if\b|\belse\s*\{\s*if\b"),
-    Rule("no-magic-numbers", "info", ALL, "code", r"[^\w.\-](3|4|5|6|7|8|9|[1-9]\d|[1-9]\d{2,})\b", r"\b(const|let|var|final|enum)\b|(^|[^\w.])(100|1000|10)\b"),
-    Rule("no-negated-condition", "minor", ALL, "code", r"\bif\s*\(\s*!.*\belse\b"),
-    Rule("no-nested-ternary", "minor", ALL, "code", r"\?[^?:]*\?[^:]*:|\?[^:]*:[^?]*\?[^:]*:"),
-    Rule("no-new-buffer", "major", ALL, "code", r"\bnew\s+Buffer\b"),
-    Rule("no-new-func", "blocker", WEB, "code", r"\bnew\s+Function\b"),
-    Rule("no-new-symbol", "major", WEB, "code", r"\bnew\s+Symbol\b"),
-    Rule("no-non-null-assertion", "minor", TS, "code", r"[\w)\]]!([.;,)\[]|$)"),
-    Rule("no-proto", "major", WEB, "code", r"\.__proto__\b"),
-    Rule("no-prototype-builtins", "critical", WEB, "code", r"\.(hasOwnProperty|isPrototypeOf|propertyIsEnumerable)\s*\("),
-    Rule("no-script-url", "critical", WEB, "raw", r"(?i)['\"`]javascript:"),
-    Rule("no-sparse-arrays", "major", ALL, "code", r"\[[^\[\]]*\w\s*,\s*,"),
-    Rule("no-throw-literal", "major", ALL, "raw", r"\bthrow\s+(['\"`0-9]|true\b|false\b|null\b|undefined\b|-)"),
-    Rule("no-underscore-dangle", "minor", ALL, "code", r"\b(const|let|var|function)\s+\w+_\b"),
-    Rule("no-unneeded-ternary", "minor", ALL, "code", r"\?\s*true\s*:\s*false\b|\?\s*false\s*:\s*true\b"),
-    Rule("no-useless-concat", "minor", ALL, "raw", r"['\"`]\s*\+\s*['\"`]"),
-    Rule("no-useless-return", "minor", ALL, "code", r"\breturn\s*;\s*\}"),
-    Rule("no-var", "major", WEB, "code", r"\bvar\s"),
-    Rule("no-warning-comments", "info", ALL, "raw", r"(//|/\*|\*).*\b(TODO|FIXME|XXX|HACK)\b", r"\b(TODO|FIXME|XXX|HACK)\("),
-    Rule("no-with", "critical", WEB, "code", r"\bwith\s*\("),
-    Rule("prefer-arrow-callback", "minor", ALL, "code", r"[(,]\s*function\s*\("),
-    Rule("prefer-nullish-coalescing", "minor", TS, "code", rf"\b{_OPERAND}\s*\|\|\s*{_OPERAND}"),
-    Rule("prefer-promise-reject-errors", "major", WEB, "raw", r"\bPromise\.reject\(\s*(['\"`0-9]|true\b|false\b|null\b)"),
-    Rule("prefer-spread", "minor", ALL, "code", r"\[\]\.concat\b"),
-    Rule("prefer-template", "minor", ALL, "raw", rf"(\"[^\"]*\"|'[^']*')\s*\+\s*{_ID}"),
-    Rule("quote-props", "minor", ALL, "code", r"[{,]\s*\w+-\w+\s*:"),
-)
+    language: str
+    holds: Callable[[Line], Column]
 
-#: Rules that need neighbours, sets of names or spans; each has its own operator.
-SHAPED = {
-    "go/error-check": "critical", "go/avoid-global-var": "info", "go/exported-comment": "info", "python/docstring-required": "info",
-    "python/avoid-global-var": "info", "rust/explicit-return-type": "info",
-    "no-self-compare": "major", "no-useless-rename": "minor", "prefer-optional-chain": "minor", "no-duplicate-imports": "major",
-    "no-redeclare": "critical", "prefer-const": "minor", "no-import-assign": "major", "no-misused-new": "major",
-    "max-function-lines": "major", "max-function-complexity": "major", "max-params": "major", "security/taint-analysis": "blocker",
-}
 
-# Unrolled, so that a long literal is one loop over characters and no deep recursion of the matcher.
-STRINGS = r"\"[^\"\\]*(?:\\.[^\"\\]*)*\"|'[^'\\]*(?:\\.[^'\\]*)*'|`[^`\\]*(?:\\.[^`\\]*)*`"
+def _any(c: Column, *values: str) -> Column:
+    return reduce(or_, (c.contains(v) for v in values))
 
 
-def code_of(line: Column) -> Column:
-    """A line with strings emptied and comments cut, as far as they lie within it."""
-    bare = F.regexp_replace(line, STRINGS, '""')
-    return F.regexp_replace(bare, r"/\*.*?\*/|//.*$", "")
+def _starts(c: Column, *values: str) -> Column:
+    return reduce(or_, (c.startswith(v) for v in values))
 
 
-def issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """``(file_id, path, line, rule_id, severity)`` of all line rules, each once.
+def _ends(c: Column, *values: str) -> Column:
+    return reduce(or_, (c.endswith(v) for v in values))
 
-    Each line is tested against the rules of its language only; those that hold are exploded, so the plan is one
-    scan and one explode whatever the number of rules.
-    """
-    rows = line_rows(files.withColumn("language", language_of(F.col("path"))), "path", "language")
-    rows = rows.select("file_id", "path", "language", "line", T.trim(F.col("text")).alias("raw"))
-    rows = rows.withColumn("code", code_of(F.col("raw")))
-    hits = []
-    for r in rules:
-        if r.id in disabled:
-            continue
-        holds = F.col("language").isin(*r.languages) & F.col(r.scope).rlike(r.pattern)
-        if r.scope == "code":
-            holds = holds & ~F.col("raw").rlike(r"^(\*|/\*)")
-        if r.unless:
-            holds = holds & ~F.col("raw" if r.scope == "raw" else "code").rlike(r.unless)
-        if r.skip_path:
-            holds = holds & ~F.col("path").rlike(r.skip_path)
-        hits.append(F.when(holds, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))))
-    found = rows.select("file_id", "path", "line", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("hit"))
-    return found.select("file_id", "path", "line", "hit.*").distinct()
-
-
-def _with_neighbours(files: DataFrame, language: str, before: int = 0, after: int = 0) -> DataFrame:
-    """Lines of one language with the trimmed text of lines around: by array position, so no window and no shuffle."""
-    rows = files.where("file_id is not null and text is not null").where(language_of(F.col("path")) == language)
-    rows = rows.select("file_id", "path", T.lines(F.col("text")).alias("all"))
-    out = rows.select("file_id", "path", "all", F.posexplode("all").alias("at", "full")).withColumn("raw", T.trim(F.col("full")))
-    for k in [*range(-before, 0), *range(1, after + 1)]:
-        out = out.withColumn(f"p{-k}" if k < 0 else f"n{k}", T.trim(F.get("all", F.col("at") + k)))
-    return out.drop("all").withColumn("line", F.col("at") + 1)
-
-
-def _issue(rows: DataFrame, rule: str) -> DataFrame:
-    return rows.select("file_id", "path", "line", F.lit(rule).alias("rule_id"), F.lit(SHAPED[rule]).alias("severity")).distinct()
-
-
-def go_error_check(files: DataFrame) -> DataFrame:
-    """Errors assigned without a check in the next three lines; a line that is neither blank nor about the error is passed over."""
-    rows = _with_neighbours(files, "go", after=3)
-    raw = F.col("raw")
-    assigns = raw.rlike("err :=|err,|, err") & ~raw.rlike("^(//|/\\*)") & ~(raw.contains("if") & raw.contains("err"))
-    n = [F.coalesce(F.col(f"n{k}"), F.lit("")) for k in (1, 2, 3)]
-    checks = [x.rlike("if err|err != nil") | (x.contains("err") & (x.contains("if") | x.contains("check"))) for x in n]
-    return _issue(rows.where(assigns & ~(checks[0] | checks[1] | checks[2])), "go/error-check")
-
-
-def go_global_var(files: DataFrame) -> DataFrame:
-    """Variables declared at the left margin."""
-    raw, full = F.col("raw"), F.col("full")
-    rows = _with_neighbours(files, "go")
-    return _issue(rows.where(raw.startswith("var ") & ~raw.contains(":= ") & ~full.rlike("^(\t|  )") & ~raw.isin("var (", "var(") & ~raw.contains("const")), "go/avoid-global-var")
-
-
-def go_exported_comment(files: DataFrame) -> DataFrame:
-    """Exported declarations at the left margin without a comment on the line before."""
-    rows = _with_neighbours(files, "go", before=1)
-    raw = F.col("raw")
-    documented = F.coalesce(F.col("p1"), F.lit("")).rlike(r"^(//|/\*)")
-    return _issue(rows.where(raw.rlike("^(func|type|var|const) [A-Z]") & ~F.col("full").rlike("^(\t|  )") & ~documented), "go/exported-comment")
-
-
-def python_docstring(files: DataFrame) -> DataFrame:
-    """Public functions and classes whose first line with text, of the next three, opens no docstring."""
-    rows = _with_neighbours(files.where(~F.col("path").rlike(r"_test\.py$|test_\.py$")), "python", after=3)
-    first = F.coalesce(*[F.when(F.col(f"n{k}") != "", F.col(f"n{k}")) for k in (1, 2, 3)], F.lit(""))
-    raw = F.col("raw")
-    return _issue(rows.where(raw.rlike("^(def|class) ") & ~raw.rlike("def _|class _") & ~first.rlike("^r?(\"\"\"|''')")), "python/docstring-required")
-
-
-def python_global_var(files: DataFrame) -> DataFrame:
-    """Assignments at the left margin, but for constants written without a blank before the sign."""
-    raw = F.col("raw")
-    passed = raw.rlike(r"^(#|def |class |@|import |from )|^__.*__$|^\p{Lu}[\p{Lu}_0-9]*=|[=!<>]=") | (raw.contains(": ") & ~raw.contains("= "))
-    return _issue(_with_neighbours(files, "python").where(raw.rlike("= |=$") & ~F.col("full").rlike(r"^\s") & ~passed), "python/avoid-global-var")
-
-
-def rust_return_type(files: DataFrame) -> DataFrame:
-    """Public functions that open a body but name no return type within four lines."""
-    rows = _with_neighbours(files, "rust", after=3)
-    block = F.concat_ws(" ", "raw", "n1", "n2", "n3")
-    return _issue(rows.where(F.col("raw").rlike(r"^pub (async fn |fn +[^(\s])") & block.contains("{") & ~block.contains("->")), "rust/explicit-return-type")
-
-
-def self_compare(files: DataFrame) -> DataFrame:
-    """A name compared with itself: equality of two groups, as patterns here have no back references."""
-    rows = _code_rows(files, ALL)
-    parts = F.explode(F.regexp_extract_all("code", F.lit(rf"(?:^|[^\w.$]){_ID}(?:\.{_ID})*\s*(?:===|!==|==|!=|<=|>=)\s*{_ID}(?:\.{_ID})*(?:[^\w.$(\[]|$)"), F.lit(0)))
-    rows = rows.withColumn("m", parts)
-    left = F.regexp_extract("m", rf"({_ID}(?:\.{_ID})*)\s*[=!<>]", 1)
-    right = F.regexp_extract("m", rf"[=!<>]\s*({_ID}(?:\.{_ID})*)", 1)
-    return _issue(rows.where(left == right), "no-self-compare")
-
-
-def useless_rename(files: DataFrame) -> DataFrame:
-    """Imports renamed to their own name."""
-    rows = _code_rows(files, ALL).where(F.col("code").rlike(r"^import\b"))
-    rows = rows.withColumn("m", F.explode(F.regexp_extract_all("code", F.lit(r"\b(\w+) as (\w+)"), F.lit(0))))
-    return _issue(rows.where(F.regexp_extract("m", r"^(\w+) as", 1) == F.regexp_extract("m", r"as (\w+)$", 1)), "no-useless-rename")
-
-
-def optional_chain(files: DataFrame) -> DataFrame:
-    """``a && a.b``."""
-    rows = _code_rows(files, TS).where(F.col("code").contains("&&")).withColumn("parts", F.split("code", r"\s*&&\s*"))
-    pair = F.arrays_zip(F.slice("parts", 1, F.size("parts") - 1).alias("a"), F.slice("parts", 2, F.size("parts")).alias("b"))
-    rows = rows.select("file_id", "path", "line", F.explode(pair).alias("m"))
-    left, right = F.regexp_extract("m.a", rf"({_ID}(?:\.{_ID})*)$", 1), F.regexp_extract("m.b", rf"^({_ID}(?:\.{_ID})*)", 1)
-    return _issue(rows.where((left != "") & F.startswith(right, F.concat(left, F.lit(".")))), "prefer-optional-chain")
-
-
-def _code_rows(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    rows = line_rows(files.withColumn("language", language_of(F.col("path"))).where(F.col("language").isin(*languages)), "path", "language")
-    return rows.withColumn("code", code_of(T.trim(F.col("text")))).drop("text")
 
+def _in_tests(path: Column, ending: str) -> Column:
+    return _ends(path, f"_test.{ending}", f"test_.{ending}") | _any(path, "/tests/", "\\tests\\")
 
-def duplicate_imports(files: DataFrame) -> DataFrame:
-    """``(file_id, path, line, module, first_line)``: imports of a module that the file has imported before; all but the first by rank."""
-    rows = line_rows(files.withColumn("language", language_of(F.col("path"))).where(F.col("language").isin(*ALL)), "path")
-    rows = rows.select("file_id", "path", "line", F.regexp_extract("text", r"^\s*import\b.*['\"]([^'\"]+)['\"]", 1).alias("module")).where("module <> ''").distinct()
-    w = Window.partitionBy("file_id", "module").orderBy("line")
-    ranked = rows.withColumn("rank", F.row_number().over(w)).withColumn("first_line", F.min("line").over(Window.partitionBy("file_id", "module")))
-    return ranked.where("rank > 1").select("file_id", "path", "line", "module", "first_line")
 
+def _flat(full: Column) -> Column:
+    """Whether a line stands at the left margin."""
+    return ~_starts(full, "\t", "  ")
 
-def redeclared(files: DataFrame) -> DataFrame:
-    """``(file_id, path, line, name)``: names declared again at the left margin."""
-    rows = line_rows(files.withColumn("language", language_of(F.col("path"))).where(F.col("language").isin(*WEB)), "path")
-    rows = rows.select("file_id", "path", "line", F.regexp_extract("text", rf"^(?:export )?(?:const|let|var)\s+({_ID})", 1).alias("name")).where("name <> ''").distinct()
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("file_id", "name").orderBy("line")))
-    return ranked.where("rank > 1").drop("rank")
 
+def _unchecked_error(x: Line) -> Column:
+    checks = [_any(n, "if err", "err != nil") | (n.contains("err") & _any(n, "if", "check")) for n in x.after[:3]]
+    return _any(x.raw, "err :=", "err,", ", err") & ~_starts(x.raw, "//", "/*") & ~(x.raw.contains("if") & x.raw.contains("err")) & ~(checks[0] | checks[1] | checks[2])
 
-def never_reassigned(files: DataFrame) -> DataFrame:
-    """``(file_id, path, line, name)``: ``let`` names that no line of the file assigns again: declarations anti-joined with assignments."""
-    rows = _code_rows(files, ALL)
-    lets = rows.select("file_id", "path", "line", F.regexp_extract("code", rf"\blet\s+({_ID})", 1).alias("name")).where("name <> ''").distinct()
-    return lets.join(_assigned(rows), ["file_id", "name"], "left_anti").select("file_id", "path", "line", "name")
 
+def _python_global(x: Line) -> Column:
+    constant = x.raw.rlike(r"^\p{Lu}[\p{Lu}_0-9]*=")
+    passed = _starts(x.raw, "#", "def ", "class ", "@", "import ", "from ") | (x.raw.startswith("__") & x.raw.endswith("__")) | constant | _any(x.raw, "==", "!=", "<=", ">=")
+    return (x.raw.contains("= ") | x.raw.endswith("=")) & ~x.full.rlike(r"^\s") & ~passed & ~(x.raw.contains(": ") & ~x.raw.contains("= "))
 
-def _assigned(rows: DataFrame, *columns: str) -> DataFrame:
-    found = rows.select("file_id", *columns, F.explode(F.regexp_extract_all("code", F.lit(rf"(?:^|[;{{(,]\s*|\+\+|--)({_ID})\s*(?:[-+*/%&|^]?=[^=>]|\+\+|--|;|$|\))"), F.lit(0))).alias("m"))
-    assigned = found.where(F.col("m").rlike(r"=|\+\+|--")).select("file_id", *columns, F.regexp_extract("m", rf"({_ID})", 1).alias("name"))
-    return assigned.distinct()
 
+def _undocumented(x: Line) -> Column:
+    first = F.coalesce(*[F.when(n != "", n) for n in x.after[:3]], F.lit(""))
+    return ~_ends(x.path, "_test.py", "test_.py") & _starts(x.raw, "def ", "class ") & ~_any(x.raw, "def _", "class _") & ~_starts(first, '"""', "'''", 'r"""', "r'''")
 
-def reassigned_imports(files: DataFrame) -> DataFrame:
-    """``(file_id, path, line, name)``: assignments of names the file imports: a semi-join of assignments with imports."""
-    rows = _code_rows(files, ALL)
-    named = rows.where(F.col("code").rlike(r"^import\s")).select(
-        "file_id", F.explode(F.split(F.regexp_extract("code", r"\{([^}]*)\}", 1), ",")).alias("part")
-    )
-    names = named.select("file_id", F.regexp_extract(F.trim("part"), rf"({_ID})$", 1).alias("name")).where("name <> ''").distinct()
-    assigned = _assigned(rows.where(~F.col("code").rlike(r"^import\s")), "path", "line")
-    return assigned.join(names, ["file_id", "name"], "left_semi").select("file_id", "path", "line", "name")
+
+def _bare_container(x: Line) -> Column:
+    block = F.concat_ws(" ", x.raw, *x.after)
+    return x.raw.contains("Container(") & _any(x.raw, "width:", "height:") & ~_any(block, "child:", "decoration:", "color:")
 
 
-def misused_new(files: DataFrame) -> DataFrame:
-    """``(file_id, path, line, name)``: ``new`` on a name the file declares as an interface."""
-    rows = _code_rows(files, TS)
-    interfaces = rows.select("file_id", F.regexp_extract("code", r"\binterface\s+(\w+)", 1).alias("name")).where("name <> ''").distinct()
-    news = rows.select("file_id", "path", "line", F.explode(F.regexp_extract_all("code", F.lit(r"\bnew\s+(\w+)"), F.lit(1))).alias("name")).distinct()
-    return news.join(interfaces, ["file_id", "name"], "left_semi").select("file_id", "path", "line", "name")
+def _without_const(x: Line) -> Column:
+    names = ("EdgeInsets.", "TextStyle(", "Color(", "Size(")
+    found = [x.raw.contains(n) & ~F.substring_index(x.raw, n, 1).rlike("const[ \t]$") for n in names]
+    return ~x.raw.startswith("//") & reduce(or_, found)
+
+
+def _no_return_type(x: Line) -> Column:
+    block = F.concat_ws(" ", x.raw, *x.after[:3])
+    return x.raw.rlike(r"^pub (?:async fn |fn +[^(\s])") & block.contains("{") & ~block.contains("->")
+
+
+RULES: tuple[Rule, ...] = (
+    Rule("python/avoid-print", "minor", "python", lambda x: x.raw.contains("print(") & ~x.raw.startswith("#") & ~_in_tests(x.path, "py")),
+    Rule("python/avoid-bare-except", "major", "python", lambda x: x.raw.startswith("except:")),
+    Rule("python/avoid-mutable-default", "critical", "python", lambda x: x.raw.startswith("def ") & _any(x.raw, "=[]", "={}", "=set()", "=list()", "=dict()")),
+    Rule("python/avoid-global-var", "info", "python", _python_global),
+    Rule("python/avoid-todo", "info", "python", lambda x: _starts(x.raw, "#", '"""', "'''") & _any(F.upper(x.raw), "TODO", "FIXME", "HACK", "XXX")),
+    Rule("python/avoid-star-import", "major", "python", lambda x: x.raw.startswith("from ") & x.raw.contains(" import *")),
+    Rule("python/explicit-return-type", "info", "python", lambda x: x.raw.startswith("def ") & x.raw.contains("(") & x.raw.contains(":") & ~_any(x.raw, "->", "def _") & ~_ends(x.path, "_test.py", "test_.py", "__init__.py")),
+    Rule("python/docstring-required", "info", "python", _undocumented),
+    Rule("rust/avoid-println", "minor", "rust", lambda x: _any(x.raw, "println!(", "dbg!(") & ~x.raw.startswith("//") & ~_in_tests(x.path, "rs")),
+    Rule("rust/avoid-unwrap", "major", "rust", lambda x: x.raw.contains(".unwrap()") & ~x.raw.startswith("//") & ~_any(x.raw, "#[test]", "#[cfg(test)]") & ~_in_tests(x.path, "rs")),
+    Rule("rust/avoid-expect", "minor", "rust", lambda x: x.raw.contains(".expect(") & ~x.raw.startswith("//") & ~_in_tests(x.path, "rs")),
+    Rule("rust/avoid-todo", "major", "rust", lambda x: x.raw.contains("todo!(") & ~x.raw.startswith("//")),
+    Rule("rust/avoid-unimplemented", "major", "rust", lambda x: x.raw.contains("unimplemented!(") & ~x.raw.startswith("//")),
+    Rule("rust/explicit-return-type", "info", "rust", _no_return_type),
+    Rule("go/avoid-print", "minor", "go", lambda x: _any(x.raw, "fmt.Print", "log.Println") & ~x.raw.startswith("//") & ~x.path.endswith("_test.go")),
+    Rule("go/avoid-empty-block", "major", "go", lambda x: x.raw.endswith("{}")),
+    Rule("go/error-check", "critical", "go", _unchecked_error),
+    Rule("go/avoid-init", "minor", "go", lambda x: _starts(x.raw, "func init()", "func init (")),
+    Rule("go/avoid-global-var", "info", "go", lambda x: x.raw.startswith("var ") & ~_any(x.raw, ":= ", "const") & _flat(x.full) & ~x.raw.isin("var (", "var(")),
+    Rule("go/exported-comment", "info", "go", lambda x: x.raw.rlike("^(?:func|type|var|const) [A-Z]") & _flat(x.full) & ~_starts(x.before, "//", "/*")),
+    Rule("dart/avoid-print", "minor", "dart", lambda x: x.raw.contains("print(") & ~x.raw.startswith("//") & ~_any(x.raw, "blueprint", "sprintf")),
+    Rule("dart/avoid-unnecessary-containers", "minor", "dart", _bare_container),
+    Rule("dart/prefer-const-constructors", "minor", "dart", _without_const),
+    Rule("dart/prefer-async-await", "minor", "dart", lambda x: x.raw.contains(".then(") & ~_starts(x.raw, "//", "expect")),
+    Rule("dart/avoid-web-libraries-in-flutter", "major", "dart", lambda x: _starts(x.raw, "import ", "export ") & _any(x.raw, "dart:html", "dart:js", "dart:web_gl")),
+)
+LIMITS = {"max-function-lines": "major", "max-function-complexity": "major", "max-params": "major"}
+
+
+def issues(files: DataFrame, rules: tuple[Rule, ...] = RULES, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """``(file_id, path, line, rule_id, severity)`` of all line rules, each once.
+
+    One scan and one explode whatever the number of rules. The neighbours of a line are fields of its own row, so there is no window and
+    no shuffle but that of the issues. Which rules hold is one number a line; only lines with a rule are taken apart.
+    """
+    kept = [r for r in rules if r.id not in disabled]
+    by_language = {k: [r for r in kept if r.language == k] for k in dict.fromkeys(r.language for r in kept)}
+    texts = files.where("file_id is not null and text is not null").select("file_id", "path", language_of(F.col("path")).alias("language"), "text")
+    texts = spread(texts.where(F.col("language").isin(*by_language)))
+    lines = texts.select("file_id", "path", "language", T.lines(F.col("text")).alias("full"))
+    lines = lines.select("file_id", "path", "language", "full", F.transform("full", T.trim).alias("raw"))
+
+    def near(i: Column, k: int) -> Column:
+        return F.coalesce(F.get("raw", i + k), F.lit(""))
+
+    each = F.transform(
+        "full",
+        lambda x, i: F.struct((i + 1).alias("line"), x.alias("full"), near(i, 0).alias("raw"), near(i, -1).alias("before"), *(near(i, k).alias(f"n{k}") for k in range(1, 5))),
+    )
+    rows = lines.select("file_id", "path", "language", F.explode(each).alias("x")).select("file_id", "path", "language", "x.*").where("raw <> ''")
+    seen = Line(F.col("raw"), F.col("full"), F.col("before"), tuple(F.col(f"n{k}") for k in range(1, 5)), F.col("path"))
+    mask = F.lit(0).cast("long")
+    for language, some in by_language.items():
+        bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(r.holds(seen), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, r in enumerate(some)))
+        mask = F.when(F.col("language") == language, bits).otherwise(mask)
+    found = rows.select("file_id", "path", "line", "language", mask.alias("mask")).where("mask <> 0")
+    named = F.lit(None).cast("array<struct<rule_id string, severity string>>")
+    for language, some in by_language.items():
+        all_of = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"))) for k, r in enumerate(some)])
+        named = F.when(F.col("language") == language, F.array_compact(all_of)).otherwise(named)
+    return found.select("file_id", "path", "line", F.explode(named).alias("hit")).select("file_id", "path", "line", "hit.*").distinct()
 
 
 def function_limits(functions: DataFrame, files: DataFrame, max_lines: int = 50, max_complexity: int = 15, max_params: int = 5) -> DataFrame:
@@ -308,39 +171,46 @@ def _over_limits(functions: DataFrame, max_lines: int = 50, max_complexity: int
     return f.select("function_id", "file_id", "path", "start_line", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule_id"))
 
 
-def shaped_issues(files: DataFrame) -> DataFrame:
-    """``(file_id, path, line, rule_id, severity)`` of the rules in :data:`SHAPED` that read files, each once a line."""
-    named = {"no-duplicate-imports": duplicate_imports, "no-redeclare": redeclared, "prefer-const": never_reassigned, "no-import-assign": reassigned_imports, "no-misused-new": misused_new}
-    whole = (go_error_check, go_global_var, go_exported_comment, python_docstring, python_global_var, rust_return_type, self_compare, useless_rename, optional_chain)
-    return reduce(DataFrame.unionByName, [*(f(files) for f in whole), *(_issue(f(files), rule) for rule, f in named.items())])
-
-
 def limit_issues(functions: DataFrame) -> DataFrame:
     """``(file_id, path, line, rule_id, severity)``: :func:`function_limits` at the first line of each function, one for each function and rule."""
     over = _over_limits(functions).where("file_id is not null").groupBy("function_id", "file_id", "rule_id").agg(F.min("path").alias("path"), F.min("start_line").alias("line"))
-    severity = F.create_map(*[F.lit(x) for r in ("max-function-lines", "max-function-complexity", "max-params") for x in (r, SHAPED[r])])
+    severity = F.create_map(*[F.lit(x) for r in ("max-function-lines", "max-function-complexity", "max-params") for x in (r, LIMITS[r])])
     return over.select("file_id", "path", "line", "rule_id", F.element_at(severity, F.col("rule_id")).alias("severity"))
 
 
 def custom_issues(files: DataFrame, rules: DataFrame) -> DataFrame:
     """``(file_id, line, rule_id, severity, message, start_column)``: every match of user rules, line by line.
 
-    ``rules`` is ``(id, severity, languages array, pattern, message)``, a table of settings, broadcast. Lines
+    ``rules`` is ``(id, severity, languages array, pattern, message)``, a table of settings, read on the driver, so that each line is
+    tested against the patterns of its language as constants. Lines
     that begin as comments are passed over; an empty list of languages means all; ``$0`` in the message is the match; an
     unknown severity counts as major; of equal ids the first pattern in order counts. Columns are characters from 1. Patterns with lookaround or back references are rejected.
     """
     kept = rules.where("id is not null and pattern is not null").where(~F.col("pattern").rlike(r"\(\?[=!<]|\\[1-9]"))
-    kept = kept.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("pattern"))).where("n = 1").drop("n")
-    rows = line_rows(files.withColumn("language", language_of(F.col("path"))), "language")
-    rows = rows.where(~T.trim(F.col("text")).rlike(r"^(//|#|/\*|\*)"))
-    joined = rows.join(F.broadcast(kept), (F.size("languages") == 0) | F.array_contains("languages", F.col("language")))
-    hits = joined.where(F.expr("text rlike pattern")).select(
-        "file_id", "line", F.col("id").alias("rule_id"), "severity", "message", "text", "pattern",
-        F.posexplode(F.expr("regexp_extract_all(text, pattern, 0)")).alias("k", "m"),
+    first = kept.groupBy("id").agg(F.min(F.struct("pattern", "severity", "languages", "message")).alias("r")).select("id", "r.*").orderBy("id")
+    settings = [r.asDict() for r in first.collect()]
+    rows = line_rows(spread(files.select("file_id", "text", language_of(F.col("path")).alias("language"))), "language")
+    rows = rows.where(~_starts(T.trim(F.col("text")), "//", "#", "/*", "*"))
+    text = F.col("text")
+    tests = []
+    for k, r in enumerate(settings):
+        here = text.rlike(r["pattern"])
+        if r["languages"]:
+            here = F.col("language").isin(*r["languages"]) & here
+        tests.append(F.when(here, F.lit(k)))
+    if not tests:
+        tests = [F.lit(None).cast("int")]
+    rows = rows.select("file_id", "line", "text", F.explode(F.array_compact(F.array(*tests))).alias("k"))
+    chosen = lambda f: reduce(lambda a, kr: F.when(F.col("k") == kr[0], f(kr[1])).otherwise(a), enumerate(settings), F.lit(None))
+    severity = {k: r["severity"].lower() if (r["severity"] or "").lower() in T.SEVERITIES else "major" for k, r in enumerate(settings)}
+    matches = chosen(lambda r: F.regexp_extract_all(text, F.lit(r["pattern"]), F.lit(0)))
+    gaps = chosen(lambda r: F.split(text, r["pattern"], -1))
+    rows = rows.select(
+        "file_id", "line", "k", matches.cast("array<string>").alias("matches"), gaps.cast("array<string>").alias("gaps"),
+        chosen(lambda r: F.lit(r["id"])).cast("string").alias("rule_id"), chosen(lambda r: F.lit(r["message"] if r["message"] is not None else "Matched pattern: " + r["pattern"])).cast("string").alias("template"),
+        chosen(lambda r: F.lit(severity[settings.index(r)])).cast("string").alias("severity"),
     )
-    known = F.when(F.lower("severity").isin(*T.SEVERITIES), F.lower("severity")).otherwise("major")
-    template = F.coalesce(F.replace(F.col("message"), F.lit("$0"), F.col("m")), F.concat(F.lit("Matched pattern: "), F.col("pattern")))
-    before = F.expr("aggregate(slice(split(text, pattern, -1), 1, k + 1), 0, (a, x) -> a + length(x))") + F.expr(
-        "aggregate(slice(regexp_extract_all(text, pattern, 0), 1, k), 0, (a, x) -> a + length(x))"
-    )
-    return hits.select("file_id", "line", "rule_id", known.alias("severity"), template.alias("message"), (before + 1).alias("start_column")).distinct()
+    hits = rows.select("*", F.posexplode("matches").alias("n", "m"))
+    before = F.expr("aggregate(slice(gaps, 1, n + 1), 0, (a, x) -> a + length(x)) + aggregate(slice(matches, 1, n), 0, (a, x) -> a + length(x))")
+    message = F.replace("template", F.lit("$0"), F.col("m"))
+    return hits.select("file_id", "line", "rule_id", "severity", message.alias("message"), (before + 1).alias("start_column")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
+from codelode.session import spread
 
 # Languages with their extensions, in the order in which they are listed.
 LANGUAGES = {
@@ -83,39 +84,66 @@ def line_rows(files: DataFrame, *columns: str) -> DataFrame:
     ).withColumn("line", F.col("line") + 1)
 
 
-def line_metrics(text: Column) -> Column:
-    """``struct(loc, code, comment, blank)`` of a text.
+def nosonar_counts(files: DataFrame) -> DataFrame:
+    """``(file_id, markers)`` of the files with marked lines; a file delivered twice counts once."""
+    rows = line_rows(files.select("file_id", "text", language_of(F.col("path")).alias("language")), "language")
+    marked = rows.where(nosonar(F.col("text"), F.col("language"))).select("file_id", "line").distinct()
+    return marked.groupBy("file_id").agg(F.count(F.lit(1)).alias("markers"))
+
+
+def line_metrics(raw: Column) -> Column:
+    """``struct(loc, code, comment, blank)`` of the trimmed lines of a text.
 
     A line is a comment if ``#`` begins it, ``//`` stands in it outside a block comment, or it ends inside one; the line that
-    closes a block counts as code. What each line does to the open or closed state is
-    found by patterns, and the state is folded over the lines in place, without exploding them.
+    closes a block counts as code. What each line does to the open or closed state, and how it counts in either, is found first, by
+    plain searches for most lines; the fold over the lines then only looks these up.
     """
-    empty = F.struct(*[F.lit(0).alias(n) for n in ("inside", "loc", "code", "comment", "blank")])
 
-    def step(acc: Column, raw: Column) -> Column:
-        line = T.trim(raw)
-        blank = line == ""
-        hashed = (acc["inside"] == 0) & line.startswith("#")
-        closes = F.instr(line, "*/")
-        stays = (acc["inside"] == 1) & (closes == 0)
-        rest = F.regexp_replace(F.when(acc["inside"] == 1, F.substr(line, closes + 2)).otherwise(line), CLOSED_BLOCKS, "$1")
-        slash, star = F.instr(rest, "//"), F.instr(rest, "/*")
-        line_comment = ~stays & (slash > 0) & ((star == 0) | (slash < star))
-        opens = ~stays & (star > 0) & ~line_comment
-        inside = F.when(blank | hashed, acc["inside"]).otherwise((stays | opens).cast("int"))
-        comment = ~blank & (hashed | (inside == 1) | line_comment)
+    def effect(line: Column) -> Column:
+        slash, star, closes = F.instr(line, "//"), F.instr(line, "/*"), F.instr(line, "*/")
+        # Only a line with a block comment before any line comment needs its closed blocks taken out.
+        rest = F.when((star > 0) & ((slash == 0) | (star < slash)), F.regexp_replace(line, CLOSED_BLOCKS, "$1"))
+        inner = F.when(closes > 0, F.regexp_replace(F.substr(line, closes + 2), CLOSED_BLOCKS, "$1"))
+        hashed = line.startswith("#")
+        opens, noted = _opens(rest), F.when(rest.isNull(), slash > 0).otherwise(_line_comment(rest))
+        return (
+            F.when(line == "", F.lit(0))
+            # Bits: 1 not blank, 2 open after when closed before, 4 a comment then, 8 open after when open before, 16 a comment then.
+            .otherwise(
+                F.lit(1)
+                + F.when(hashed, 4).when(F.coalesce(opens, F.lit(False)), 2 + 4).when(noted, 4).otherwise(0)
+                + F.when(closes == 0, 8 + 16).when(_opens(inner), 8 + 16).when(_line_comment(inner), 16).otherwise(0)
+            )
+        )
+
+    def step(acc: Column, e: Column) -> Column:
+        opened = acc["inside"] == 1
+        comment = e.bitwiseAND(F.when(opened, 16).otherwise(4)) != 0
         return F.struct(
-            inside.alias("inside"), (acc["loc"] + 1).alias("loc"), (acc["code"] + (~blank & ~comment).cast("int")).alias("code"),
-            (acc["comment"] + comment.cast("int")).alias("comment"), (acc["blank"] + blank.cast("int")).alias("blank"),
+            F.when(e == 0, acc["inside"]).when(e.bitwiseAND(F.when(opened, 8).otherwise(2)) != 0, 1).otherwise(0).alias("inside"),
+            (acc["loc"] + 1).alias("loc"), (acc["code"] + F.when((e != 0) & ~comment, 1).otherwise(0)).alias("code"),
+            (acc["comment"] + F.when((e != 0) & comment, 1).otherwise(0)).alias("comment"), (acc["blank"] + F.when(e == 0, 1).otherwise(0)).alias("blank"),
         )
 
-    return F.aggregate(T.lines(text), empty, step)
+    empty = F.struct(*[F.lit(0).alias(n) for n in ("inside", "loc", "code", "comment", "blank")])
+    return F.aggregate(F.transform(raw, effect), empty, step)
+
+
+def _opens(rest: Column) -> Column:
+    slash, star = F.instr(rest, "//"), F.instr(rest, "/*")
+    return (star > 0) & ((slash == 0) | (star < slash))
+
+
+def _line_comment(rest: Column) -> Column:
+    slash, star = F.instr(rest, "//"), F.instr(rest, "/*")
+    return (slash > 0) & ((star == 0) | (slash < star))
 
 
 def metrics_by_file(files: DataFrame) -> DataFrame:
     """``(file_id, language, loc, code, comment, blank)`` of each file once."""
-    rows = files.where("file_id is not null and text is not null")
-    m = rows.select("file_id", language_of(F.col("path")).alias("language"), line_metrics(F.col("text")).alias("m"))
+    rows = spread(files.where("file_id is not null and text is not null").select("file_id", "path", "text"))
+    raw = rows.select("file_id", language_of(F.col("path")).alias("language"), F.transform(T.lines(F.col("text")), T.trim).alias("raw"))
+    m = raw.select("file_id", "language", line_metrics(F.col("raw")).alias("m"))
     return m.select("file_id", "language", "m.loc", "m.code", "m.comment", "m.blank").distinct()
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-from codelode.operators import complexity, coverage, dependencies, duplication, metrics, quality, rules, snapshots, taint, tokenize
+from codelode.operators import complexity, coverage, dependencies, duplication, metrics, quality, rules, snapshots, structure, tokenize, treerules
 from codelode.operators import sourcefiles as S
 from codelode.plans import oracles
+from codelode.plans.snippets import SNIPPETS
 from codelode.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,8 +90,7 @@ def language_histogram(spark, d):
 
 @query
 def nosonar_by_file(spark, d):
-    rows = S.line_rows(_files(spark, d).withColumn("language", S.language_of(F.col("path"))), "language").distinct()
-    return rows.where(S.nosonar(F.col("text"), F.col("language"))).groupBy("file_id").agg(F.count(F.lit(1)).alias("markers"))
+    return S.nosonar_counts(_files(spark, d))
 
 
 @query
@@ -104,7 +104,7 @@ def path_predicates(spark, d):
 
 @query
 def discovered_files(spark, d):
-    found = S.discover(_files(spark, d), ["src/**", "**/lib/**/*.{rs,go}", "pkg"], ["**/vendors/**", "**/*_generator.*"], 4096, tests=False)
+    found = S.discover(_files(spark, d), ["src/**", "**/lib/**/*.{rs,go}", "pkg"], ["**/vendors/**", "**/*_generator.*"], tests=False)
     return found.select("file_id", "path").distinct()
 
 
@@ -179,66 +179,6 @@ def custom_rule_issues(spark, d):
     return rules.custom_issues(_files(spark, d), table)
 
 
-@query
-def go_error_check(spark, d):
-    return rules.go_error_check(_files(spark, d))
-
-
-@query
-def go_global_var(spark, d):
-    return rules.go_global_var(_files(spark, d))
-
-
-@query
-def go_exported_comment(spark, d):
-    return rules.go_exported_comment(_files(spark, d))
-
-
-@query
-def python_docstring(spark, d):
-    return rules.python_docstring(_files(spark, d))
-
-
-@query
-def duplicate_imports(spark, d):
-    return rules.duplicate_imports(_files(spark, d))
-
-
-@query
-def redeclared_names(spark, d):
-    return rules.redeclared(_files(spark, d))
-
-
-@query
-def never_reassigned(spark, d):
-    return rules.never_reassigned(_files(spark, d))
-
-
-@query
-def self_compare(spark, d):
-    return rules.self_compare(_files(spark, d))
-
-
-@query
-def useless_rename(spark, d):
-    return rules.useless_rename(_files(spark, d))
-
-
-@query
-def optional_chain(spark, d):
-    return rules.optional_chain(_files(spark, d))
-
-
-@query
-def reassigned_imports(spark, d):
-    return rules.reassigned_imports(_files(spark, d))
-
-
-@query
-def misused_new(spark, d):
-    return rules.misused_new(_files(spark, d))
-
-
 @query
 def function_limits(spark, d):
     return rules.function_limits(load(spark, d, "functions"), _files(spark, d))
@@ -350,9 +290,8 @@ def package_vulnerabilities(spark, d):
     return dependencies.vulnerabilities(advisories.where("cvss >= 4").select("ecosystem", "name", "version"), advisories)
 
 
-@query
-def quality_gate(spark, d):
-    counts = quality.severity_counts(_issues(spark, d)).where("severity in ('blocker', 'critical')")
+def _gate(spark, d, issues):
+    counts = quality.severity_counts(issues).where("severity in ('blocker', 'critical')")
     values = counts.select(F.concat("severity", F.lit("_issues")).alias("check"), F.col("issues").cast("double").alias("value"))
     cov = coverage.totals(_coverage_lines(spark, d)).select(F.lit("coverage").alias("check"), F.col("percent").alias("value"))
     dup = duplication.duplication_totals(_tokens(spark, d)).select(F.lit("duplication").alias("check"), F.col("percent").alias("value"))
@@ -360,6 +299,56 @@ def quality_gate(spark, d):
     return quality.gate(values.unionByName(cov).unionByName(dup), limits)
 
 
+@query
+def quality_gate(spark, d):
+    return _gate(spark, d, _issues(spark, d))
+
+
+def _snippets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, path, text) for i, (path, text, _) in enumerate(SNIPPETS)], "file_id long, path string, text string")
+
+
+@query
+def rule_snippets(spark, d):
+    """All rules over texts whose issues are known by hand."""
+    return quality.all_issues(_snippets(spark))
+
+
+@query
+def snippet_rule_counts(spark, d):
+    return quality.all_issues(_snippets(spark)).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query
+def snippet_severity_counts(spark, d):
+    return quality.severity_counts(quality.all_issues(_snippets(spark)))
+
+
+@query
+def snippet_top_rules(spark, d):
+    return quality.top_rules(quality.all_issues(_snippets(spark)))
+
+
+@query
+def snippet_top_issues(spark, d):
+    return quality.top_issues(quality.all_issues(_snippets(spark)))
+
+
+@query
+def snippet_quality_ratings(spark, d):
+    return quality.ratings(quality.all_issues(_snippets(spark)), _snippets(spark))
+
+
+@query
+def snippet_sarif_rules(spark, d):
+    return quality.sarif_rules(quality.all_issues(_snippets(spark)))
+
+
+@query
+def snippet_quality_gate(spark, d):
+    return _gate(spark, d, quality.all_issues(_snippets(spark)))
+
+
 @query
 def event_bursts(spark, d):
     """Bursts of events per user with two hours of quiet around them: the batch form of the watch stream."""
@@ -424,7 +413,7 @@ def function_complexity(spark, d):
 
 @query
 def tainted_sinks(spark, d):
-    return taint.tainted_sinks(_files(spark, d))
+    return treerules.tainted_sinks(_files(spark, d))
 
 
 def queries() -> dict[str, Query]:

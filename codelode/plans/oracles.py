@@ -1,26 +1,23 @@
-"""The registered queries in the SQL of DuckDB, written apart from the Spark code."""
+"""The registered queries in the SQL of DuckDB, written apart from the Spark code: nothing here is taken from the operators."""
 
 from __future__ import annotations
 
-from codelode.operators import complexity as C
-from codelode.operators import rules as R
-from codelode.operators import sourcefiles as S
+from codelode.plans.snippets import SNIPPETS
 
 NL = "chr(10)"
 _LINES = f"string_split(regexp_replace(replace(text, chr(13) || chr(10), {NL}), '\\n$', ''), {NL})"
 _EXT = r"lower(regexp_extract(path, '\.([^./\\]+)$', 1))"
-_LANG = "CASE " + " ".join(
-    f"WHEN {_EXT} IN ({', '.join(repr(e) for e in exts)}) THEN '{lang}'" for lang, exts in S.LANGUAGES.items()
-) + " ELSE NULL END"
+_LANG = f"""CASE WHEN {_EXT} = 'rs' THEN 'rust' WHEN {_EXT} IN ('ts', 'mts', 'cts') THEN 'typescript' WHEN {_EXT} IN ('js', 'mjs', 'cjs') THEN 'javascript'
+  WHEN {_EXT} IN ('tsx', 'jsx', 'go', 'java', 'swift', 'dart', 'sql', 'css', 'json', 'toml', 'php') THEN {_EXT} WHEN {_EXT} IN ('py', 'pyi') THEN 'python'
+  WHEN {_EXT} IN ('c', 'h') THEN 'c' WHEN {_EXT} IN ('cpp', 'cc', 'cxx', 'hpp', 'hh', 'hxx') THEN 'cpp' WHEN {_EXT} = 'cs' THEN 'csharp' WHEN {_EXT} = 'rb' THEN 'ruby'
+  WHEN {_EXT} IN ('kt', 'kts') THEN 'kotlin' WHEN {_EXT} IN ('scala', 'sc') THEN 'scala' WHEN {_EXT} IN ('sh', 'bash', 'zsh') THEN 'bash' WHEN {_EXT} IN ('html', 'htm') THEN 'html'
+  WHEN {_EXT} IN ('scss', 'sass') THEN 'scss' WHEN {_EXT} IN ('yaml', 'yml') THEN 'yaml' WHEN {_EXT} IN ('md', 'markdown') THEN 'markdown' ELSE NULL END"""
+_WHITE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || " + " || ".join(f"chr({c})" for c in range(8192, 8203))
 _F = f"""files0 AS (SELECT DISTINCT file_id, path, text, {_LANG} AS language FROM files WHERE file_id IS NOT NULL),
 lines0 AS (
   SELECT file_id, path, language, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS text
   FROM (SELECT file_id, path, language, {_LINES} AS l FROM files0 WHERE text IS NOT NULL AND text <> '')
-), trimmed AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS raw FROM lines0)"""
-_STRINGS = R.STRINGS.replace("'", "''")
-_CODE = f"""coded AS (
-  SELECT *, regexp_replace(regexp_replace(raw, '{_STRINGS}', '""', 'g'), '/\\*.*?\\*/|//.*$', '', 'g') AS code FROM trimmed
-)"""
+), trimmed AS (SELECT *, trim(text, {_WHITE}) AS raw FROM lines0)"""
 
 
 def _q(pattern: str) -> str:
@@ -31,18 +28,68 @@ def _in(values) -> str:
     return "(" + ", ".join(_q(v) for v in values) + ")"
 
 
-def _rule_select(r: R.Rule) -> str:
-    where = [f"language IN {_in(r.languages)}", f"regexp_matches({r.scope}, {_q(r.pattern)})"]
-    if r.scope == "code":
-        where.append(r"NOT regexp_matches(raw, '^(\*|/\*)')")
-    if r.unless:
-        where.append(f"NOT regexp_matches({r.scope}, {_q(r.unless)})")
-    if r.skip_path:
-        where.append(f"NOT regexp_matches(path, {_q(r.skip_path)})")
-    return f"SELECT DISTINCT file_id, path, line, '{r.id}' AS rule_id, '{r.severity}' AS severity FROM coded WHERE " + " AND ".join(where)
+_PY_TEST = "(path LIKE '%\\_test.py' ESCAPE '\\' OR path LIKE '%test\\_.py' ESCAPE '\\')"
+_IN_TESTS = "(path LIKE '%/tests/%' OR contains(path, '\\tests\\'))"
+_RS_TEST = f"({_IN_TESTS} OR ends_with(path, '_test.rs') OR ends_with(path, 'test_.rs'))"
+_MARGIN = "NOT starts_with(text, chr(9)) AND NOT starts_with(text, '  ')"
+_CHECKED = " OR ".join(f"n{k} LIKE '%if err%' OR n{k} LIKE '%err != nil%' OR (n{k} LIKE '%err%' AND (n{k} LIKE '%if%' OR n{k} LIKE '%check%'))" for k in (1, 2, 3))
+_BLOCK = "concat_ws(' ', raw, n1, n2, n3, n4)"
+#: Id, severity, language and condition of each rule about a line and the lines around it.
+_LINE_RULES = [
+    ("python/avoid-print", "minor", "python", f"raw LIKE '%print(%' AND raw NOT LIKE '#%' AND NOT ({_PY_TEST} OR {_IN_TESTS})"),
+    ("python/avoid-bare-except", "major", "python", "raw LIKE 'except:%'"),
+    ("python/avoid-mutable-default", "critical", "python", "raw LIKE 'def %' AND regexp_matches(raw, '=(\\[\\]|\\{\\}|set\\(\\)|list\\(\\)|dict\\(\\))')"),
+    ("python/avoid-global-var", "info", "python", """NOT regexp_matches(text, '^\\s') AND (raw LIKE '%= %' OR raw LIKE '%=') AND NOT regexp_matches(raw, '^(#|@|def |class |import |from )')
+      AND NOT (starts_with(raw, '__') AND ends_with(raw, '__')) AND NOT regexp_matches(raw, '^\\p{Lu}[\\p{Lu}_0-9]*=') AND NOT regexp_matches(raw, '==|!=|<=|>=') AND NOT (raw LIKE '%: %' AND raw NOT LIKE '%= %')"""),
+    ("python/avoid-todo", "info", "python", "regexp_matches(raw, '^(#|\"\"\"|['']{3})') AND regexp_matches(raw, '(?i)todo|fixme|hack|xxx')"),
+    ("python/avoid-star-import", "major", "python", "raw LIKE 'from % import *%'"),
+    ("python/explicit-return-type", "info", "python", f"raw LIKE 'def %' AND raw LIKE '%(%' AND raw LIKE '%:%' AND raw NOT LIKE '%->%' AND NOT contains(raw, 'def _') AND NOT {_PY_TEST} AND NOT ends_with(path, '__init__.py')"),
+    ("python/docstring-required", "info", "python", f"regexp_matches(raw, '^(def|class) ') AND NOT regexp_matches(raw, 'def _|class _') AND NOT {_PY_TEST} AND NOT regexp_matches(coalesce(nullif(n1, ''), nullif(n2, ''), nullif(n3, ''), ''), '^r?(\"\"\"|['']{3})')"),
+    ("rust/avoid-println", "minor", "rust", f"(raw LIKE '%println!(%' OR raw LIKE '%dbg!(%') AND raw NOT LIKE '//%' AND NOT {_RS_TEST}"),
+    ("rust/avoid-unwrap", "major", "rust", f"raw LIKE '%.unwrap()%' AND raw NOT LIKE '//%' AND raw NOT LIKE '%#[test]%' AND raw NOT LIKE '%#[cfg(test)]%' AND NOT {_RS_TEST}"),
+    ("rust/avoid-expect", "minor", "rust", f"raw LIKE '%.expect(%' AND raw NOT LIKE '//%' AND NOT {_RS_TEST}"),
+    ("rust/avoid-todo", "major", "rust", "raw LIKE '%todo!(%' AND raw NOT LIKE '//%'"),
+    ("rust/avoid-unimplemented", "major", "rust", "raw LIKE '%unimplemented!(%' AND raw NOT LIKE '//%'"),
+    ("rust/explicit-return-type", "info", "rust", "(starts_with(raw, 'pub async fn ') OR regexp_matches(raw, '^pub fn +[^(\\s]')) AND contains(concat_ws(' ', raw, n1, n2, n3), '{') AND NOT contains(concat_ws(' ', raw, n1, n2, n3), '->')"),
+    ("go/avoid-print", "minor", "go", "(raw LIKE '%fmt.Print%' OR raw LIKE '%log.Println%') AND raw NOT LIKE '//%' AND NOT ends_with(path, '_test.go')"),
+    ("go/avoid-empty-block", "major", "go", "raw LIKE '%{}'"),
+    ("go/error-check", "critical", "go", f"regexp_matches(raw, 'err :=|err,|, err') AND NOT regexp_matches(raw, '^(//|/\\*)') AND NOT (raw LIKE '%if%' AND raw LIKE '%err%') AND NOT ({_CHECKED})"),
+    ("go/avoid-init", "minor", "go", "raw LIKE 'func init()%' OR raw LIKE 'func init (%'"),
+    ("go/avoid-global-var", "info", "go", f"raw LIKE 'var %' AND raw NOT LIKE '%:= %' AND raw NOT LIKE '%const%' AND raw NOT IN ('var (', 'var(') AND {_MARGIN}"),
+    ("go/exported-comment", "info", "go", f"regexp_matches(raw, '^(func|type|var|const) [A-Z]') AND {_MARGIN} AND p NOT LIKE '//%' AND p NOT LIKE '/*%'"),
+    ("dart/avoid-print", "minor", "dart", "raw LIKE '%print(%' AND raw NOT LIKE '//%' AND raw NOT LIKE '%blueprint%' AND raw NOT LIKE '%sprintf%'"),
+    ("dart/avoid-unnecessary-containers", "minor", "dart", f"raw LIKE '%Container(%' AND (raw LIKE '%width:%' OR raw LIKE '%height:%') AND NOT regexp_matches({_BLOCK}, 'child:|decoration:|color:')"),
+    ("dart/prefer-const-constructors", "minor", "dart", "raw NOT LIKE '//%' AND (" + " OR ".join(f"(contains(raw, '{n}') AND NOT regexp_matches(string_split(raw, '{n}')[1], 'const[ \\t]$'))" for n in ("EdgeInsets.", "TextStyle(", "Color(", "Size(")) + ")"),
+    ("dart/prefer-async-await", "minor", "dart", "raw LIKE '%.then(%' AND NOT starts_with(raw, '//') AND NOT starts_with(raw, 'expect')"),
+    ("dart/avoid-web-libraries-in-flutter", "major", "dart", "regexp_matches(raw, '^(import|export) ') AND regexp_matches(raw, 'dart:(html|js|web_gl)')"),
+]
+_ISSUES = f"""WITH {_F}, near AS (
+  SELECT file_id, path, language, line, text, raw, coalesce(lag(raw) OVER w, '') AS p, {", ".join(f"coalesce(lead(raw, {k}) OVER w, '') AS n{k}" for k in (1, 2, 3, 4))}
+  FROM trimmed WINDOW w AS (PARTITION BY file_id ORDER BY line)
+), issues AS (""" + "\nUNION ALL ".join(
+    f"SELECT DISTINCT file_id, path, line, '{rule}' AS rule_id, '{severity}' AS severity FROM near WHERE language = '{language}' AND ({holds})" for rule, severity, language, holds in _LINE_RULES
+) + ")\n"
+_SEVERITY_OF = {
+    "blocker": "no-buffer-constructor no-eval no-new-func security/sql-injection security/command-injection security/flutter-sql-injection",
+    "critical": "no-async-promise-executor no-constant-condition no-delete-var no-dupe-keys no-empty-pattern no-fallthrough no-html-link no-implied-eval no-new-require no-obj-calls no-octal"
+    " no-prototype-builtins no-redeclare no-script-url no-unreachable no-unsafe-finally no-unsafe-negation no-with security/xss security/ssrf security/path-traversal security/flutter-path-traversal"
+    " python/avoid-mutable-default go/error-check",
+    "info": "no-magic-numbers no-warning-comments python/avoid-global-var python/avoid-todo python/explicit-return-type python/docstring-required rust/explicit-return-type go/avoid-global-var go/exported-comment",
+    "major": "dart/avoid-empty-catch dart/avoid-web-libraries-in-flutter default-case no-bitwise no-compare-neg-zero no-control-regex no-duplicate-imports no-empty-interface no-eqeqeq no-explicit-any"
+    " no-import-assign no-misused-new no-new-buffer no-new-symbol no-param-reassign no-proto no-self-compare no-sparse-arrays no-throw-literal no-unused-vars no-var prefer-promise-reject-errors require-await"
+    " python/avoid-bare-except python/avoid-star-import rust/avoid-unwrap rust/avoid-todo rust/avoid-unimplemented go/avoid-empty-block security/prototype-pollution security/open-redirect security/flutter-http-injection",
+}
+
+
+def _severity(rule: str) -> str:
+    return next((s for s, rules in _SEVERITY_OF.items() if rule in rules.split()), "minor")
+
+
+def _snippet_issues() -> str:
+    rows = ", ".join(f"({i}, {_q(path)}, {line}, {_q(rule)}, '{_severity(rule)}')" for i, (path, _, some) in enumerate(SNIPPETS) for line, rule in some)
+    return f"WITH issues AS (SELECT * FROM (VALUES {rows}) v(file_id, path, line, rule_id, severity))\n"
 
 
-_ISSUES = f"WITH {_F}, {_CODE}, issues AS (" + "\nUNION ALL ".join(_rule_select(r) for r in R.RULES) + ")\n"
 _RANK = "CASE severity WHEN 'blocker' THEN 0 WHEN 'critical' THEN 1 WHEN 'major' THEN 2 WHEN 'minor' THEN 3 ELSE 4 END"
 _LEVEL = "CASE WHEN severity IN ('blocker', 'critical') THEN 'error' WHEN severity = 'major' THEN 'warning' ELSE 'note' END"
 
@@ -170,21 +217,8 @@ FROM (SELECT file_id, line, ms, gaps, unnest(range(1, len(ms) + 1)) AS k, unnest
     return f"WITH {_F} SELECT DISTINCT * FROM (" + "\nUNION ALL ".join(parts) + ")"
 
 
-def _next(table: str, language: str, names: str) -> str:
-    return f"{_F}, near AS (SELECT *, {names} FROM (SELECT * FROM {table} WHERE language = '{language}') WINDOW w AS (PARTITION BY file_id ORDER BY line))"
-
-
-def _near(rule: str, where: str) -> str:
-    return f"SELECT DISTINCT file_id, path, line, '{rule}' AS rule_id, '{R.SHAPED[rule]}' AS severity FROM near WHERE {where}"
-
-
 def sql(custom: list[tuple]) -> dict[str, str]:
-    ident = r"[A-Za-z_$][A-Za-z0-9_$]*"
-    web, every = _in(R.WEB), _in(R.ALL)
-    checks = " OR ".join(
-        f"regexp_matches(n{k}, 'if err|err != nil') OR (contains(n{k}, 'err') AND (contains(n{k}, 'if') OR contains(n{k}, 'check')))" for k in (1, 2, 3)
-    )
-    leads = ", ".join(f"coalesce(lead(raw, {k}) OVER w, '') AS n{k}" for k in (1, 2, 3))
+    snippets = _snippet_issues()
     slash = r"regexp_matches(text, '(?i)(?:^|\s)(?://[!/]?|--)\s*NOSONAR\b')"
     hashed = r"regexp_matches(text, '(?i)(?:^|\s)#\s*NOSONAR\b')"
     block = r"regexp_matches(text, '(?i)(?:/\*|<!--)\s*NOSONAR\b')"
@@ -201,11 +235,11 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) A
         "file_line_metrics": f"WITH {_METRICS} SELECT * FROM metrics0",
         "language_histogram": f"SELECT language, count(*) AS files FROM (SELECT DISTINCT file_id, {_LANG} AS language FROM files WHERE file_id IS NOT NULL) GROUP BY language",
         "nosonar_by_file": f"""WITH {_F} SELECT file_id, count(*) AS markers FROM lines0 WHERE CASE WHEN language IS NULL THEN {hashed} WHEN language = 'php' THEN {hashed} OR {block}
-  WHEN language IN {_in(S.HASH_STYLE)} THEN {hashed} WHEN language IN {_in(S.BLOCK_STYLE)} THEN {block} WHEN language IN {_in(S.NO_STYLE)} THEN false ELSE {slash} END GROUP BY file_id""",
+  WHEN language IN ('python', 'ruby', 'bash', 'yaml', 'toml', 'php') THEN {hashed} WHEN language IN ('html', 'css', 'scss', 'php') THEN {block} WHEN language IN ('json', 'markdown') THEN false ELSE {slash} END GROUP BY file_id""",
         "path_predicates": f"SELECT DISTINCT file_id, {_LANG} AS language, {_EXT} AS ext, {_EXCLUDED} AS excluded, {_ELIGIBLE} AS eligible FROM files WHERE file_id IS NOT NULL",
         "discovered_files": rf"""SELECT DISTINCT file_id, path FROM files WHERE (starts_with(path, 'src/') OR regexp_matches(path, '^(.*/)?lib/(.*/)?[^/]*\.(rs|go)$') OR regexp_matches(path, '(^|/)pkg'))
   AND NOT regexp_matches(path, '(^|/)vendors/') AND NOT regexp_matches(path, '_generator\.[^/]*$') AND NOT regexp_matches(path, '(^|/)\.git/')
-  AND {_LANG} IS NOT NULL AND NOT {_EXCLUDED} AND strlen(text) <= 4096""",
+  AND {_LANG} IS NOT NULL AND NOT {_EXCLUDED} AND strlen(text) <= 1048576""",
         "project_metrics": """WITH f AS (SELECT DISTINCT file_id, repo, loc, code_lines, comment_lines, blank_lines, class_count FROM files WHERE file_id IS NOT NULL),
 g AS (SELECT DISTINCT function_id, repo, path, start_line, complexity FROM functions WHERE function_id IS NOT NULL),
 a AS (SELECT repo, count(*) AS files, coalesce(sum(loc), 0) AS loc, coalesce(sum(code_lines), 0) AS code_lines, coalesce(sum(comment_lines), 0) AS comment_lines,
@@ -223,37 +257,16 @@ WHERE CAST(modified_at AS TIMESTAMP) BETWEEN TIMESTAMP '2031-06-30 00:00:00' - I
   coalesce(min_lines, 10) AS min_lines, coalesce(normalize_identifiers, false) AS normalize_identifiers
 FROM scans WHERE scan_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY ingested_at DESC, coalesce(total_files, -1) DESC) = 1""",
         "line_rule_issues": _ISSUES + "SELECT * FROM issues",
-        "rule_counts": _ISSUES + "SELECT rule_id, severity, count(*) AS issues FROM issues GROUP BY ALL",
-        "severity_counts": _ISSUES + "SELECT s AS severity, (SELECT count(*) FROM issues WHERE severity = s) AS issues FROM (VALUES ('blocker'), ('critical'), ('major'), ('minor'), ('info')) v(s)",
-        "top_rules": _ISSUES + "SELECT rule_id, count(*) AS issues FROM issues GROUP BY rule_id ORDER BY issues DESC, rule_id LIMIT 5",
-        "top_issues": _ISSUES + f"SELECT severity, path, line, rule_id FROM issues ORDER BY {_RANK}, path, line, rule_id, file_id LIMIT 10",
-        "quality_ratings": _ISSUES + f""", worst AS (SELECT file_id, min({_RANK}) AS w FROM issues GROUP BY file_id), t AS (SELECT count(DISTINCT file_id) AS n FROM files WHERE file_id IS NOT NULL),
-r AS (SELECT kind, CASE WHEN n > 0 THEN (SELECT count(*) FROM worst WHERE w <= k) * 100.0::DOUBLE / n ELSE 0 END AS share FROM t, (VALUES ('reliability', 0), ('security', 1), ('maintainability', 2)) v(kind, k))
+        "rule_snippets": snippets + "SELECT * FROM issues",
+        "snippet_rule_counts": snippets + "SELECT rule_id, severity, count(*) AS issues FROM issues GROUP BY ALL",
+        "snippet_severity_counts": snippets + "SELECT s AS severity, (SELECT count(*) FROM issues WHERE severity = s) AS issues FROM (VALUES ('blocker'), ('critical'), ('major'), ('minor'), ('info')) v(s)",
+        "snippet_top_rules": snippets + "SELECT rule_id, count(*) AS issues FROM issues GROUP BY rule_id ORDER BY issues DESC, rule_id LIMIT 5",
+        "snippet_top_issues": snippets + f"SELECT severity, path, line, rule_id FROM issues ORDER BY {_RANK}, path, line, rule_id, file_id LIMIT 10",
+        "snippet_quality_ratings": snippets + f""", worst AS (SELECT file_id, min({_RANK}) AS w FROM issues GROUP BY file_id), t AS (SELECT {len(SNIPPETS)} AS n),
+r AS (SELECT kind, (SELECT count(*) FROM worst WHERE w <= k) * 100.0::DOUBLE / n AS share FROM t, (VALUES ('reliability', 0), ('security', 1), ('maintainability', 2)) v(kind, k))
 SELECT kind, round(share, 4) AS share, {rating} AS rating FROM r""",
-        "sarif_rules": _ISSUES + f"SELECT rule_id, min({_LEVEL}) AS level, count(*) AS results FROM issues GROUP BY rule_id",
+        "snippet_sarif_rules": snippets + f"SELECT rule_id, min({_LEVEL}) AS level, count(*) AS results FROM issues GROUP BY rule_id",
         "custom_rule_issues": _custom(custom),
-        "go_error_check": f"WITH {_next('trimmed', 'go', leads)} "
-        + _near("go/error-check", f"regexp_matches(raw, 'err :=|err,|, err') AND NOT regexp_matches(raw, '^(//|/\\*)') AND NOT (contains(raw, 'if') AND contains(raw, 'err')) AND NOT ({checks})"),
-        "go_global_var": f"WITH {_next('trimmed', 'go', 'line AS l')} "
-        + _near("go/avoid-global-var", "starts_with(raw, 'var ') AND NOT contains(raw, ':= ') AND NOT regexp_matches(text, '^(\\t|  )') AND raw NOT IN ('var (', 'var(') AND NOT contains(raw, 'const')"),
-        "go_exported_comment": f"WITH {_next('trimmed', 'go', 'lag(raw) OVER w AS p')} "
-        + _near("go/exported-comment", "regexp_matches(raw, '^(func|type|var|const) [A-Z]') AND NOT regexp_matches(text, '^(\\t|  )') AND NOT regexp_matches(coalesce(p, ''), '^(//|/\\*)')"),
-        "python_docstring": f"WITH {_next('trimmed', 'python', leads)} "
-        + _near("python/docstring-required", "NOT regexp_matches(path, '_test\\.py$|test_\\.py$') AND regexp_matches(raw, '^(def|class) ') AND NOT regexp_matches(raw, 'def _|class _') AND NOT regexp_matches(coalesce(nullif(n1, ''), nullif(n2, ''), nullif(n3, ''), ''), '^r?(\"\"\"|'''''')')"),
-        "duplicate_imports": f"""WITH {_F}, m AS (
-  SELECT DISTINCT file_id, path, line, regexp_extract(text, '^\\s*import\\b.*[''"]([^''"]+)[''"]', 1) AS module FROM lines0 WHERE language IN {every})
-SELECT file_id, path, line, module, min(line) OVER (PARTITION BY file_id, module) AS first_line FROM m WHERE module <> ''
-QUALIFY row_number() OVER (PARTITION BY file_id, module ORDER BY line) > 1""",
-        "redeclared_names": f"""WITH {_F}, m AS (
-  SELECT DISTINCT file_id, path, line, regexp_extract(text, '^(?:export )?(?:const|let|var)\\s+({ident})', 1) AS name FROM lines0 WHERE language IN {web})
-SELECT * FROM m WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY file_id, name ORDER BY line) > 1""",
-        "never_reassigned": f"""WITH {_F}, {_CODE}, lets AS (
-  SELECT DISTINCT file_id, path, line, regexp_extract(code, '\\blet\\s+({ident})', 1) AS name FROM coded WHERE language IN {every}
-), sets AS (
-  SELECT DISTINCT file_id, regexp_extract(m, '({ident})', 1) AS name FROM (
-    SELECT file_id, unnest(regexp_extract_all(code, '(?:^|[;{{(,]\\s*|\\+\\+|--)({ident})\\s*(?:[-+*/%&|^]?=[^=>]|\\+\\+|--|;|$|\\))')) AS m FROM coded WHERE language IN {every})
-  WHERE regexp_matches(m, '=|\\+\\+|--')
-) SELECT * FROM lets l WHERE name <> '' AND NOT EXISTS (SELECT 1 FROM sets s WHERE s.file_id = l.file_id AND s.name = l.name)""",
         "function_limits": rf"""WITH f AS (SELECT DISTINCT function_id, file_id, {_LANG} AS language, start_line, end_line, complexity, parameter_count FROM functions WHERE function_id IS NOT NULL)
 SELECT function_id, file_id, 'max-function-lines' AS rule_id FROM f WHERE language IN ('typescript', 'tsx') AND end_line - start_line + 1 > 50
 UNION SELECT function_id, file_id, 'max-function-complexity' FROM f WHERE complexity > 15
@@ -295,16 +308,16 @@ SELECT ecosystem, {_NAMES}[r + 1] AS severity, count(*) AS advisories FROM w GRO
 FROM adv GROUP BY ecosystem, name ORDER BY advisories DESC, ecosystem, name LIMIT 20""",
         "package_vulnerabilities": f"""WITH {_ADV}, p AS (SELECT DISTINCT lower(ecosystem) AS ecosystem, name, version FROM advisories WHERE cvss >= 4)
 SELECT ecosystem, name, version, osv_id, {_NAMES}[min(rank) + 1] AS severity FROM p JOIN adv USING (ecosystem, name, version) GROUP BY ALL""",
-        "quality_gate": _ISSUES.rstrip() + f", {_COV}, {_DUP_TOTALS}, v AS (" + f"""
-  SELECT severity || '_issues' AS "check", n AS value, 0.0 AS threshold, n <= 0 AS passed FROM (SELECT s AS severity, (SELECT count(*) FROM issues WHERE severity = s)::DOUBLE AS n FROM (VALUES ('blocker'), ('critical')) x(s))
+        "snippet_quality_gate": snippets.rstrip() + f", {_COV}, {_DUP_TOTALS}, v AS (" + f"""
+  SELECT severity || '_issues' AS "check", n AS value, 0.0::DOUBLE AS threshold, n <= 0 AS passed FROM (SELECT s AS severity, (SELECT count(*) FROM issues WHERE severity = s)::DOUBLE AS n FROM (VALUES ('blocker'), ('critical')) x(s))
   UNION ALL SELECT 'coverage', p, 80.0, p >= 80 FROM (SELECT {pct("sum(covered)", "sum(total)")} AS p FROM cf)
   UNION ALL SELECT 'duplication', p, 3.0, p <= 3 FROM (SELECT {pct("duplicated", "tokens")} AS p FROM dup0)) SELECT * FROM v""",
         "file_complexity": f"""WITH {_ALL_TOKENS}, d AS (
   SELECT file_id, text, sum(CASE text WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY unit ROWS UNBOUNDED PRECEDING) AS depth FROM tok
-) SELECT file_id, count(*) FILTER (text IN {_in(C.DECISIONS)}) + 1 AS cyclomatic, coalesce(sum(1 + greatest(depth, 0)) FILTER (text IN {_in(C.NESTING)}), 0) AS nested, greatest(max(depth), 0) AS depth
+) SELECT file_id, count(*) FILTER (text IN ('if', 'elif', 'for', 'while', 'do', 'case', 'catch', 'except', '&&', '||', '??', 'and', 'or', '?')) + 1 AS cyclomatic, coalesce(sum(1 + greatest(depth, 0)) FILTER (text IN ('if', 'elif', 'for', 'while', 'do', 'catch', 'except', 'switch', 'match')), 0) AS nested, greatest(max(depth), 0) AS depth
 FROM d GROUP BY file_id""",
         "function_complexity": f"""WITH {_ALL_TOKENS}, f AS (SELECT DISTINCT function_id, file_id, start_line, end_line FROM functions WHERE function_id IS NOT NULL AND file_id IS NOT NULL)
-SELECT function_id, count(t.text) AS tokens, count(*) FILTER (t.text IN {_in(C.DECISIONS)}) + 1 AS cyclomatic
+SELECT function_id, count(t.text) AS tokens, count(*) FILTER (t.text IN ('if', 'elif', 'for', 'while', 'do', 'case', 'catch', 'except', '&&', '||', '??', 'and', 'or', '?')) + 1 AS cyclomatic
 FROM f LEFT JOIN tok t ON t.file_id = f.file_id AND t.line BETWEEN f.start_line AND f.end_line GROUP BY function_id""",
         "event_bursts": bursts,
         "event_bursts_streamed": bursts,

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codelode.operators import complexity, coverage, dependencies, diffs, duplication, metrics, quality, rules, snapshots, sourcefiles, taint, tokenize
+from codelode.operators import complexity, coverage, dependencies, diffs, duplication, metrics, quality, rules, snapshots, sourcefiles, structure, tokenize, treerules
 
 FILES = "file_id long, path string, text string, repo string, loc int, code_lines int, comment_lines int, blank_lines int, class_count int"
 
@@ -47,11 +47,11 @@ RULE_CASES = [
 
 def test_rules_on_snippets(spark):
     df = files(spark, [(p, t) for _, p, t, _ in RULE_CASES])
-    found = {(r["file_id"], r["rule_id"]) for r in rules.issues(df).collect()}
+    found = {(r["file_id"], r["rule_id"]) for r in quality.all_issues(df).collect()}
     wrong = [c for i, c in enumerate(RULE_CASES) if ((i, c[0]) in found) != c[3]]
     assert not wrong
-    assert len({r.id for r in rules.RULES}) == len(rules.RULES) and not {r.id for r in rules.RULES} & set(rules.SHAPED)
-    assert rules.issues(df, disabled=("no-eval",)).where("rule_id = 'no-eval'").count() == 0
+    assert len({r.id for r in rules.RULES}) == len(rules.RULES) and not {r.id for r in rules.RULES} & set(treerules.SEVERITIES)
+    assert quality.all_issues(df, disabled=("no-eval", "python/avoid-print")).where("rule_id in ('no-eval', 'python/avoid-print')").count() == 0
 
 
 def test_rules_of_neighbours_and_names(spark, collect):
@@ -59,19 +59,21 @@ def test_rules_of_neighbours_and_names(spark, collect):
     ts = "import { a } from 'm';\nimport { b as b } from 'm';\nlet q = 1;\nlet w = 2;\nw = 3;\na = 4;\nconst q = 5;\nlet q = 6;\ninterface I {}\nnew I();\nif (s.t === s.t && u && u.v) {}\n"
     py = 'def f():\n\n    """doc"""\nclass A:\n    x = 1\ndef _g():\n    pass\n'
     df = files(spark, [("a.go", go), ("b.ts", ts), ("c.py", py)])
-    line = lambda x: sorted(r["line"] for r in x.collect())
-    assert line(rules.go_error_check(df)) == [8] and line(rules.go_global_var(df)) == [2] and line(rules.go_exported_comment(df)) == [2, 13]
-    assert line(rules.python_docstring(df)) == [4] and line(rules.duplicate_imports(df)) == [2] and line(rules.redeclared(df)) == [7, 8]
-    assert sorted(r["name"] for r in rules.never_reassigned(df).collect()) == ["q", "q"] and [r["name"] for r in rules.reassigned_imports(df).collect()] == ["a"]
-    assert line(rules.misused_new(df)) == [10] and line(rules.self_compare(df)) == [11] and line(rules.useless_rename(df)) == [2] and line(rules.optional_chain(df)) == [11]
+    found = quality.all_issues(df).collect()
+    line = lambda rule: sorted(r["line"] for r in found if r["rule_id"] == rule)
+    assert line("go/error-check") == [8] and line("go/avoid-global-var") == [2] and line("go/exported-comment") == [2, 13]
+    assert line("python/docstring-required") == [4] and line("no-duplicate-imports") == [2] and line("no-redeclare") == [7, 8]
+    assert line("prefer-const") == [3, 8] and line("no-import-assign") == [6]
+    assert line("no-misused-new") == [10] and line("no-self-compare") == [11] and line("no-useless-rename") == [2] and line("prefer-optional-chain") == [11]
 
 
 def test_globals_and_return_types(spark):
     py = "import a\nx = 1\nA=1\nA = 1\n__all__ = 1\nif x == 1:\n    y = 2\ndef f(a=1):\n    b = 1\nz: int = 3\n@d(a= 1)\n"
     rs = "pub fn a() {\n}\n\n\npub fn b(\n  x: u8,\n) -> u8 {\n}\nfn c() {\n}\npub async fn d() {\n}\npub fn e();\n"
     df = files(spark, [("a.py", py), ("b.rs", rs)])
-    assert sorted(r["line"] for r in rules.python_global_var(df).collect()) == [2, 4, 5, 10]
-    assert sorted(r["line"] for r in rules.rust_return_type(df).collect()) == [1, 11]
+    found = rules.issues(df).collect()
+    assert sorted(r["line"] for r in found if r["rule_id"] == "python/avoid-global-var") == [2, 4, 5, 10]
+    assert sorted(r["line"] for r in found if r["rule_id"] == "rust/explicit-return-type") == [1, 11]
 
 
 def test_all_issues_reach_the_roll_ups(spark, collect, tmp_path):
@@ -85,14 +87,42 @@ def test_all_issues_reach_the_roll_ups(spark, collect, tmp_path):
         "function_id long, file_id long, path string, start_line int, end_line int, complexity int, parameter_count int",
     )
     found = collect(quality.all_issues(df, functions).select("file_id", "rule_id", "severity", "line"))
-    assert {r[1] for r in found if r[1] in rules.SHAPED} == set(rules.SHAPED) - {"security/taint-analysis"}
+    assert {"no-duplicate-imports", "no-import-assign", "no-misused-new", "no-self-compare", "no-useless-rename", "prefer-optional-chain", "python/docstring-required", "rust/explicit-return-type"} <= {r[1] for r in found}
     assert {(0, "security/sql-injection", "blocker", 2), (1, "no-import-assign", "major", 3), (2, "go/error-check", "critical", 4)} <= set(found)
     assert [r[1] for r in found if r[1].startswith("max-")].count("max-function-complexity") == 2 and len(found) == len([*set(found)]) + 1
     df.write.parquet(f"{tmp_path}/files.parquet")
     functions.write.parquet(f"{tmp_path}/functions.parquet")
     counts = {r["severity"]: r["issues"] for r in catalog.queries()["severity_counts"](spark, str(tmp_path)).collect()}
     assert counts["blocker"] == 1 and sum(counts.values()) == len(found)
-    assert {"all_issues", "self_compare", "useless_rename", "optional_chain", "reassigned_imports", "misused_new"} <= set(catalog.queries())
+    assert {"all_issues", "rule_snippets", "line_rule_issues"} <= set(catalog.queries())
+
+
+def test_snippets_have_their_issues(spark, collect):
+    from codelode.plans.snippets import SNIPPETS
+
+    df = spark.createDataFrame([(i, p, t, x) for i, (p, t, _) in enumerate(SNIPPETS) for x in "ab"] + [(900, "x.ts", None, "a"), (901, None, "a == b", "a"), (None, "x.ts", "a == b", "a"), (902, "x.ts", "", "a")], "file_id long, path string, text string, line string")
+    found = {(r["file_id"], r["line"], r["rule_id"]) for r in quality.all_issues(df).collect()}
+    assert found == {(i, line, rule) for i, (_, _, some) in enumerate(SNIPPETS) for line, rule in some}
+    known = {r.id for r in rules.RULES} | set(treerules.SEVERITIES)
+    assert {rule for _, _, rule in found} == known
+    assert collect(quality.all_issues(df.where("false"))) == []
+
+
+def test_structure_of_texts():
+    ts = "class A extends B {\n  constructor(private x: number, y?: string) { super(); }\n  async m(a: T): Promise<void> { if (a && b) { for (const q of w) { x = y ? 1 : 2; } } else { return; } }\n}\nconst h = (a, b) => a + b;\nlist.map((x) => x);\ninterface I { m(x: number): void }\ntype T = { a: (x: number) => void };\nenum E { A }\n"
+    shape = structure.shape_of(ts, "typescript")
+    assert [(f[0], f[1], f[3], f[4], f[5]) for f in shape.functions] == [("constructor", 2, 1, 0, 2), ("m", 3, 5, 7, 1), ("h", 5, 1, 0, 2)]
+    assert (shape.classes, shape.interfaces, shape.aliases, shape.enums, shape.complexity) == (1, 1, 1, 1, 7)
+    go = structure.shape_of("package a\nfunc (t *T) F(x, y int) (int, error) { if a && b { return } ; g(func(q int) { for {} }) }\ntype S struct { A int }\n", "go")
+    assert [(f[0], f[3], f[5]) for f in go.functions] == [("F", 4, 2), ("<anonymous>", 2, 1)] and go.classes == 1
+    rust = structure.shape_of("pub fn f<'a>(&self, x: Vec<u8>) -> Result<(), E> { let c = |a: u32, b| a + b; match x { _ => if y {} } }\nstruct S;\ntrait T {}\n", "rust")
+    assert [(f[0], f[3], f[5]) for f in rust.functions] == [("f", 2, 1), ("<closure>", 1, 2)] and (rust.classes, rust.interfaces) == (1, 1)
+    dart = structure.shape_of("class A {\n Future<void> f(int a, [String b]) async { if (a) { } }\n int g(x) => x + 1;\n}\nvoid main() { l.map((e) { return e; }); }\n", "dart")
+    assert [(f[0], f[5]) for f in dart.functions] == [("f", 2), ("g", 1), ("main", 0), ("<anonymous>", 1)]
+    py = structure.shape_of("class A:\n    def f(self, a, *b, c=1, **d):\n        return [x for x in a if x and y]\ng = lambda x: x or 1\n", "python")
+    assert [(f[0], f[3], f[5]) for f in py.functions] == [("f", 4, 4), ("<lambda>", 2, 1)] and py.classes == 1
+    assert structure.shape_of("def f(:", "python") is None and structure.shape_of("x", "yaml") is None and structure.shape_of("", "typescript").functions == []
+    assert structure.shape_of("}){]((" * 50, "typescript").complexity == 1
 
 
 def test_custom_rules(spark, collect):
@@ -196,7 +226,7 @@ def test_taint_follows_names_to_calls(spark, collect):
     good = "function f(req) {\n  const a = escape(req.query.id);\n  db.query(a);\n}\nfunction g(x) {\n  redirect(x);\n}\n"
     far = "function f(req) {\n  const a = req.body;\n}\nfunction g(a) {\n  exec(a);\n}\n"
     df = files(spark, [("a.ts", bad), ("b.ts", good), ("c.ts", far), ("d.py", bad)])
-    assert [(r[0], r[2], r[3]) for r in collect(taint.tainted_sinks(df))] == [(0, 5, "security/sql-injection")]
+    assert [(r[0], r[2], r[3]) for r in collect(treerules.tainted_sinks(df))] == [(0, 5, "security/sql-injection")]
 
 
 def test_roll_ups_take_each_record_once(spark, collect):
