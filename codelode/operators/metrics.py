@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.operators.sourcefiles import language_of, once
+from codelode.operators.sourcefiles import LANGUAGES, language_of, once
+from codelode.operators.structure import shape_of
+from codelode.session import spread
+
+_FUNCTION = ("name", "start_line", "end_line", "cyclomatic", "cognitive", "parameters")
 
 
 def project_metrics(files: DataFrame, functions: DataFrame) -> DataFrame:
@@ -60,3 +67,50 @@ def scan_settings(scans: DataFrame) -> DataFrame:
         "scan_id", mode.alias("mode"), F.coalesce("s.min_tokens", F.lit(100)).alias("min_tokens"), F.coalesce("s.min_lines", F.lit(10)).alias("min_lines"),
         F.coalesce("s.normalize_identifiers", F.lit(False)).alias("normalize_identifiers"),
     )
+
+
+def _shape_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        at, rows = [], []
+        for n, (language, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            shape = shape_of(text, language)
+            if shape is not None:
+                at.append(n)
+                rows.append((shape.classes, shape.interfaces, shape.aliases, shape.enums, shape.complexity, [dict(zip(_FUNCTION, f, strict=True)) for f in shape.functions]))
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = [*[pa.int32()] * 5, pa.list_(pa.struct([(k, pa.string() if k == "name" else pa.int32()) for k in _FUNCTION]))]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(at, pa.int64())), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))],
+            names=["file_id", "classes", "interfaces", "aliases", "enums", "complexity", "functions"],
+        )
+
+
+def file_shapes(files: DataFrame) -> DataFrame:
+    """``(file_id, classes, interfaces, aliases, enums, complexity, functions)`` of each source file once.
+
+    ``functions`` has name, first and last line, cyclomatic and cognitive complexity and parameters of each. Null texts, languages without a
+    structure here and Python that does not parse give no row.
+    """
+    rows = files.where("file_id is not null and text is not null").select("file_id", language_of(F.col("path")).alias("language"), "text")
+    rows = spread(rows.where(F.col("language").isin("typescript", "tsx", "javascript", "jsx", "dart", "go", "rust", "python")))
+    fields = ", ".join(f"{k}: {'string' if k == 'name' else 'int'}" for k in _FUNCTION)
+    schema = f"file_id long, classes int, interfaces int, aliases int, enums int, complexity int, functions array<struct<{fields}>>"
+    return rows.mapInArrow(_shape_rows, schema).dropDuplicates(["file_id"])
+
+
+def function_shapes(files: DataFrame) -> DataFrame:
+    """``(file_id, name, start_line, end_line, cyclomatic, cognitive, parameters)`` of each function of :func:`file_shapes`."""
+    return file_shapes(files).select("file_id", F.inline("functions"))
+
+
+# The short forms of languages' names; a name stands for itself.
+SHORT_NAMES = {
+    "rs": "rust", "ts": "typescript", "js": "javascript", "py": "python", "golang": "go", "c++": "cpp", "cxx": "cpp", "cs": "csharp", "c#": "csharp", "rb": "ruby",
+    "kt": "kotlin", "sh": "bash", "shell": "bash", "sass": "scss", "yml": "yaml", "md": "markdown",
+}
+
+
+def language_of_name(name: Column) -> Column:
+    """The language that a user's word for it means, in any case; ``other`` for none."""
+    table = F.create_map(*[F.lit(x) for pair in ({k: k for k in LANGUAGES} | SHORT_NAMES).items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(name)), F.lit("other"))
