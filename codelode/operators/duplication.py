@@ -67,16 +67,23 @@ def shared_fingerprints(tokens: DataFrame) -> DataFrame:
     return joined.groupBy("file_id").agg(F.count(F.lit(1)).alias("fingerprints"), F.count("common").alias("shared"))
 
 
-def token_lines(tokens: DataFrame) -> DataFrame:
-    """``(file_id, line, value, start_unit, end_unit)``: the tokens of each line as one value."""
+def token_lines(tokens: DataFrame, normalize_identifiers: bool = False) -> DataFrame:
+    """``(file_id, line, value, start_unit, end_unit)``: the tokens of each line as one value, words as one placeholder if they are to be alike."""
+    if normalize_identifiers:
+        tokens = tokens.withColumn("text", F.when(F.col("text").rlike("^[A-Za-z_][A-Za-z0-9_]*$"), F.lit("$id")).otherwise(F.col("text")))
     rows = tokens.groupBy("file_id", "line").agg(
         F.array_sort(F.collect_list(F.struct("unit", "text"))).alias("t"), F.min("unit").alias("start_unit"), F.max("unit").alias("end_unit")
     )
     return rows.select("file_id", "line", F.concat_ws("", F.transform("t", lambda x: x["text"])).alias("value"), "start_unit", "end_unit")
 
 
-def collapse_runs(lines: DataFrame) -> DataFrame:
-    """Of consecutive equal lines of a file only the first and the last are kept."""
+def collapse_runs(lines: DataFrame, keep_pairs: bool = True) -> DataFrame:
+    """Of consecutive equal lines of a file only the first and the last are kept; without ``keep_pairs`` of two equal lines only the first."""
+    if not keep_pairs:
+        w = Window.partitionBy("file_id").orderBy("line")
+        twice = F.coalesce(F.lag("value").over(w) == F.col("value"), F.lit(False)) & F.coalesce(F.lag("value", 2).over(w) != F.col("value"), F.lit(True))
+        lone = twice & F.coalesce(F.lead("value").over(w) != F.col("value"), F.lit(True))
+        lines = lines.withColumn("lone", lone).where("not lone").drop("lone")
     w = Window.partitionBy("file_id").orderBy("line")
     before, after = F.lag("value").over(w), F.lead("value").over(w)
     rows = lines.withColumn("keep", before.isNull() | after.isNull() | (before != F.col("value")) | (after != F.col("value")))
@@ -95,13 +102,13 @@ def line_blocks(lines: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
     return rows.where("end_line is not null")
 
 
-def duplicated_runs(tokens: DataFrame, size: int = BLOCK_LINES, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def duplicated_runs(tokens: DataFrame, size: int = BLOCK_LINES, min_tokens: int = MIN_TOKENS, normalize_identifiers: bool = False) -> DataFrame:
     """``(file_id, start_line, end_line, tokens)``: unbroken runs of blocks that stand elsewhere too, of ``min_tokens`` at least.
 
     A block is repeated if its hash occurs twice, in whatever files. Runs are islands of
     consecutive repeated blocks in a file, so no pair of occurrences is ever built, however often a block is repeated.
     """
-    blocks = line_blocks(collapse_runs(token_lines(tokens)), size)
+    blocks = line_blocks(collapse_runs(token_lines(tokens, normalize_identifiers)), size)
     common = blocks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
     hit = blocks.join(common, "hash", "left_semi")
     island = F.col("idx") - F.row_number().over(Window.partitionBy("file_id").orderBy("idx"))
@@ -111,15 +118,25 @@ def duplicated_runs(tokens: DataFrame, size: int = BLOCK_LINES, min_tokens: int
     return runs.where(F.col("tokens") >= min_tokens).select("file_id", "start_line", "end_line", "tokens")
 
 
-def duplication_density(tokens: DataFrame) -> DataFrame:
+def duplication_density(tokens: DataFrame, normalize_identifiers: bool = False) -> DataFrame:
     """``(file_id, lines, duplicated_lines, density)``: the lines of each file that lie in duplicated runs."""
     lines = tokens.groupBy("file_id").agg(F.max("line").alias("lines"))
-    covered = duplicated_runs(tokens).select("file_id", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    covered = duplicated_runs(tokens, normalize_identifiers=normalize_identifiers).select("file_id", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
     counted = covered.groupBy("file_id").agg(F.count(F.lit(1)).alias("duplicated_lines"))
     rows = lines.join(counted, "file_id", "left").select("file_id", "lines", F.coalesce("duplicated_lines", F.lit(0)).alias("duplicated_lines"))
     return rows.withColumn("density", F.round(T.percent(F.col("duplicated_lines"), F.col("lines")), 4))
 
 
+def duplication_report(tokens: DataFrame, mode: str, min_tokens: int = MIN_TOKENS, normalize_identifiers: bool = False) -> DataFrame:
+    """One row ``(mode, total, duplicated, percent)``: tokens in the modes ``token``, ``tokens`` and ``shingle``, else the lines of duplicated runs."""
+    if mode.lower() in ("token", "tokens", "shingle"):
+        one = duplication_totals(tokens, min_tokens=min_tokens)
+        return one.select(F.lit("token").alias("mode"), F.col("tokens").alias("total"), "duplicated", "percent")
+    density = duplication_density(tokens, normalize_identifiers)
+    one = density.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("total"), F.coalesce(F.sum("duplicated_lines"), F.lit(0)).alias("duplicated"))
+    return one.select(F.lit("sonar").alias("mode"), "total", "duplicated", F.round(T.percent(F.col("duplicated"), F.col("total")), 4).alias("percent"))
+
+
 def reported_blocks(blocks: DataFrame) -> DataFrame:
     """``(block_id, token_count, occurrences, files)`` of blocks as an earlier run reported them, each once; occurrences with paths in one spelling."""
     rows = blocks.where("block_id is not null").select("block_id", "token_count", F.explode_outer("occurrences").alias("o"))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-from codelode.operators import complexity, coverage, dependencies, duplication, metrics, quality, rules, snapshots, structure, tokenize, treerules
+from codelode.operators import clones, complexity, coverage, dependencies, duplication, metrics, quality, rules, snapshots, tokenize, treerules
 from codelode.operators import sourcefiles as S
 from codelode.plans import oracles
 from codelode.plans.snippets import SNIPPETS
-from codelode.session import load
+from codelode.session import cut, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,6 +227,71 @@ def duplication_density(spark, d):
     return duplication.duplication_density(_tokens(spark, d))
 
 
+@query
+def clone_groups(spark, d):
+    """Clone groups with their parts, named by their first place, as group ids are hashes."""
+    parts = clones.clone_parts(_tokens(spark, d))
+    first = parts.groupBy("group_id").agg(F.min(F.struct("file_id", "start_line")).alias("f"))
+    groups = clones.clone_groups(parts).join(first, "group_id")
+    return groups.select(F.col("f.file_id").alias("first_file"), F.col("f.start_line").alias("first_line"), "parts", "files", "blocks", "lines")
+
+
+@query
+def normalized_clone_groups(spark, d):
+    """The same with identifiers taken as alike."""
+    parts = clones.clone_parts(_tokens(spark, d), normalize_identifiers=True)
+    return clones.clone_groups(parts).groupBy("parts", "files", "blocks", "lines").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query
+def top_blocks(spark, d):
+    return clones.top_blocks(clones.clone_parts(_tokens(spark, d)))
+
+
+@query
+def file_pairs(spark, d):
+    return clones.file_pairs(clones.fingerprints(_tokens(spark, d)))
+
+
+@query
+def fingerprint_blocks(spark, d):
+    prints = cut(clones.fingerprints(_tokens(spark, d)), "prints")
+    return clones.undominated(clones.fingerprint_blocks(prints, _tokens(spark, d), clones.file_pairs(prints)))
+
+
+@query
+def fingerprint_runs(spark, d):
+    prints = cut(clones.fingerprints(_tokens(spark, d)), "prints")
+    return clones.fingerprint_blocks(prints, _tokens(spark, d), clones.file_pairs(prints))
+
+
+@query
+def legacy_pairs(spark, d):
+    tokens = _tokens(spark, d)
+    return clones.legacy_pairs(tokens, clones.file_pairs(clones.fingerprints(tokens)))
+
+
+@query
+def duplication_report(spark, d):
+    """Both modes, and lines with identifiers taken as alike."""
+    tokens = _tokens(spark, d)
+    alike = duplication.duplication_report(tokens, "line", normalize_identifiers=True).withColumn("mode", F.lit("sonar-normalized"))
+    return duplication.duplication_report(tokens, "token").unionByName(duplication.duplication_report(tokens, "sonar-compat")).unionByName(alike)
+
+
+@query
+def function_shapes(spark, d):
+    """Functions read from the texts, as far as the scan lists them with a complexity."""
+    listed = load(spark, d, "functions").where("complexity is not null").select("file_id", "name", "start_line").distinct()
+    found = metrics.function_shapes(_files(spark, d)).join(listed, ["file_id", "name", "start_line"], "left_semi")
+    return found.select("file_id", "name", "start_line", "end_line", "cyclomatic", "parameters")
+
+
+@query
+def file_shapes(spark, d):
+    return metrics.file_shapes(_files(spark, d)).select("file_id", F.size("functions").alias("functions"), "classes", "interfaces", "aliases", "enums", "complexity")
+
+
 @query
 def reported_blocks(spark, d):
     return duplication.reported_blocks(load(spark, d, "duplicate_blocks"))

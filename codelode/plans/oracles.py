@@ -171,6 +171,48 @@ _RUNS = _BLOCKS + """, hit AS (
   SELECT file_id, min(start_line) AS start_line, max(end_line) AS end_line, max(end_unit) - min(start_unit) + 1 AS tokens
   FROM hit GROUP BY file_id, island HAVING max(end_unit) - min(start_unit) + 1 >= 100
 )"""
+_ALIKE = ("min(text) AS text", "CASE WHEN regexp_full_match(min(text), '[A-Za-z_][A-Za-z0-9_]*') THEN '$id' ELSE min(text) END AS text")
+_GROUPS = """, pr AS (
+  SELECT a.file_id AS fa, a.idx AS ia, b.file_id AS fb, b.idx - a.idx AS d FROM bl a JOIN bl b ON a.hash = b.hash AND (a.file_id <> b.file_id OR a.idx <> b.idx)
+), isl AS (
+  SELECT *, ia - row_number() OVER (PARTITION BY fa, fb, d ORDER BY ia) AS g FROM pr
+), pair_runs AS (SELECT fa, fb, d, min(ia) AS s, max(ia) AS e FROM isl GROUP BY fa, fb, d, g
+), keys AS (
+  SELECT i.file_id, s, e, md5(string_agg(bl.hash, '|' ORDER BY bl.idx)) AS k FROM (SELECT DISTINCT fa AS file_id, s, e FROM pair_runs) i
+  JOIN bl ON bl.file_id = i.file_id AND bl.idx BETWEEN s AND e GROUP BY i.file_id, s, e
+), members AS (
+  SELECT DISTINCT k, r.fb AS file_id, x.s + r.d AS s, x.e + r.d AS e FROM keys x JOIN pair_runs r ON r.fa = x.file_id AND r.s <= x.s AND r.e >= x.e
+  UNION SELECT k, file_id, s, e FROM keys
+), placed AS (
+  SELECT m.*, a.start_line, b.end_line, b.end_unit - a.start_unit + 1 AS tokens FROM members m
+  JOIN bl a ON a.file_id = m.file_id AND a.idx = m.s JOIN bl b ON b.file_id = m.file_id AND b.idx = m.e
+), large AS (SELECT * FROM placed WHERE k IN (SELECT k FROM placed GROUP BY k HAVING max(tokens) >= 100)
+), sizes AS (SELECT k, count(*) AS parts, count(DISTINCT file_id) AS files, max(e - s) + 1 AS blocks, max(end_line - start_line + 1) AS lines, min(file_id) AS f FROM large GROUP BY k
+), held AS (
+  SELECT DISTINCT g FROM (
+    SELECT a.k AS g, b.k AS h, count(DISTINCT (a.file_id, a.s)) AS n, count(DISTINCT a.file_id) AS nf FROM large a
+    JOIN large b ON a.file_id = b.file_id AND a.k <> b.k AND b.s <= a.s AND b.e >= a.e AND b.e - b.s > a.e - a.s GROUP BY 1, 2)
+  JOIN sizes x ON x.k = g JOIN sizes y ON y.k = h WHERE n = x.parts AND nf = y.files
+), groups0 AS (
+  SELECT z.k, z.parts, z.files, z.blocks, z.lines, f AS first_file, (SELECT min(start_line) FROM large l WHERE l.k = z.k AND l.file_id = f) AS first_line
+  FROM sizes z WHERE z.k NOT IN (SELECT g FROM held)
+)"""
+_PAIRS = """, ph AS (SELECT DISTINCT file_id, hash FROM fp), cls AS (
+  SELECT min(file_id) AS rep, count(*) AS copies FROM (SELECT file_id, list_sort(list(hash)) AS h FROM ph GROUP BY file_id) GROUP BY h
+), pairs0 AS (
+  SELECT a.file_id AS file_a, b.file_id AS file_b, count(*) AS shared FROM (SELECT * FROM ph SEMI JOIN cls ON rep = file_id) a JOIN (SELECT * FROM ph SEMI JOIN cls ON rep = file_id) b
+  ON a.hash = b.hash AND a.file_id < b.file_id GROUP BY 1, 2 ORDER BY shared DESC, file_a, file_b LIMIT 500
+)"""
+_LEGACY = """, leg AS (
+  SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line) AS o, sum(fresh) OVER (PARTITION BY file_id ORDER BY line) AS r FROM (
+    SELECT *, CASE WHEN lag(value) OVER (PARTITION BY file_id ORDER BY line) = value THEN 0 ELSE 1 END AS fresh FROM tl)
+), legk AS (
+  SELECT file_id, line, value, row_number() OVER (PARTITION BY file_id ORDER BY line) - 1 AS idx FROM (
+    SELECT *, count(*) OVER (PARTITION BY file_id, r) AS n, row_number() OVER (PARTITION BY file_id, r ORDER BY line) AS i FROM leg) WHERE i = 1 OR (i = n AND n >= 3)
+), lb AS (
+  SELECT a.file_id, md5(string_agg(b.value, chr(10) ORDER BY b.idx)) AS hash, min(b.line) AS s, max(b.line) AS e
+  FROM legk a JOIN legk b ON a.file_id = b.file_id AND b.idx BETWEEN a.idx AND a.idx + 9 GROUP BY a.file_id, a.idx HAVING count(*) = 10
+)"""
 _COV = """cov AS (
   SELECT 'src/' || CAST(l_orderkey AS VARCHAR) || '.ts' AS path, l_linenumber AS line, CAST(l_quantity >= 25 AS BIGINT) AS hits, l_returnflag AS category, l_suppkey AS commit
   FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
@@ -282,6 +324,30 @@ SELECT file_id, count(*) AS fingerprints, count(c.hash) AS shared FROM d LEFT JO
         "duplication_density": f"""WITH {_RUNS}, l AS (SELECT file_id, max(line) AS lines FROM tok GROUP BY file_id),
 d AS (SELECT file_id, count(DISTINCT line) AS n FROM (SELECT file_id, unnest(range(start_line, end_line + 1)) AS line FROM runs) GROUP BY file_id)
 SELECT l.file_id, lines, coalesce(n, 0) AS duplicated_lines, {pct("coalesce(n, 0)", "lines")} AS density FROM l LEFT JOIN d USING (file_id)""",
+        "clone_groups": f"WITH {_BLOCKS}{_GROUPS} SELECT first_file, first_line, parts, files, blocks, lines FROM groups0",
+        "normalized_clone_groups": f"WITH {_BLOCKS.replace(*_ALIKE)}{_GROUPS} SELECT parts, files, blocks, lines, count(*) AS groups FROM groups0 GROUP BY ALL",
+        "top_blocks": f"WITH {_BLOCKS}{_GROUPS} SELECT lines, parts, first_file AS file_id, first_line AS start_line FROM groups0 ORDER BY lines DESC, file_id, start_line, parts LIMIT 20",
+        "file_pairs": f"WITH {_WINNOW}{_PAIRS} SELECT p.*, a.copies AS copies_a, b.copies AS copies_b FROM pairs0 p JOIN cls a ON a.rep = file_a JOIN cls b ON b.rep = file_b",
+        "fingerprint_runs": f"""WITH {_WINNOW}{_PAIRS}, q AS (
+  SELECT file_id, pos, hash, row_number() OVER (PARTITION BY file_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY file_id) AS m FROM fp
+), met AS (
+  SELECT file_a, file_b, x.i AS ia, x.pos AS pa, y.pos AS pb, y.i - x.i AS d FROM pairs0 JOIN q x ON x.file_id = file_a JOIN q y ON y.file_id = file_b AND y.hash = x.hash WHERE x.m * y.m <= 4000000
+), runs0 AS (
+  SELECT file_a, file_b, d, count(*) AS n, min(ia) AS i, min(pa) AS fa, max(pa) + 4 AS ta, min(pb) AS fb, max(pb) + 4 AS tb
+  FROM (SELECT *, ia - row_number() OVER (PARTITION BY file_a, file_b, d ORDER BY ia) AS g FROM met) GROUP BY file_a, file_b, d, g
+), best AS (SELECT * FROM runs0 QUALIFY row_number() OVER (PARTITION BY file_a, file_b ORDER BY n DESC, i + n, d) = 1
+), pl AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY unit) - 1 AS pos, line FROM tok)
+SELECT file_a, w.line AS start_a, x.line AS end_a, file_b, y.line AS start_b, z.line AS end_b, greatest(ta - fa, tb - fb) + 1 AS tokens FROM best
+JOIN pl w ON w.file_id = file_a AND w.pos = fa JOIN pl x ON x.file_id = file_a AND x.pos = ta JOIN pl y ON y.file_id = file_b AND y.pos = fb JOIN pl z ON z.file_id = file_b AND z.pos = tb
+WHERE n >= 10""",
+        "legacy_pairs": f"""WITH {_WINNOW}{_PAIRS}, {_COLLAPSED[len(_TOKENS) + 2:]}{_LEGACY}
+SELECT file_a, file_b, count(DISTINCT x.hash) AS blocks, min(x.s) AS start_a, max(x.e) AS end_a, min(y.s) AS start_b, max(y.e) AS end_b
+FROM pairs0 JOIN lb x ON x.file_id = file_a JOIN lb y ON y.file_id = file_b AND y.hash = x.hash GROUP BY file_a, file_b HAVING count(DISTINCT x.hash) >= 2""",
+        "duplication_report": f"""SELECT 'token' AS mode, tokens AS total, duplicated, {pct('duplicated', 'tokens')} AS percent FROM (WITH {_DUP_TOTALS} SELECT * FROM dup0)
+""" + "".join(f"""UNION ALL SELECT '{mode}', total, duplicated, {pct('duplicated', 'total')} FROM (WITH {runs} SELECT (SELECT sum(l) FROM (SELECT max(line) AS l FROM tok GROUP BY file_id)) AS total,
+  (SELECT count(DISTINCT (file_id, line)) FROM (SELECT file_id, unnest(range(start_line, end_line + 1)) AS line FROM runs)) AS duplicated)
+""" for mode, runs in (("sonar", _RUNS), ("sonar-normalized", _RUNS.replace(*_ALIKE)))),
+        "function_shapes": "SELECT DISTINCT file_id, name, start_line, end_line, complexity AS cyclomatic, parameter_count AS parameters FROM functions WHERE complexity IS NOT NULL",
         "reported_blocks": r"""WITH o AS (SELECT block_id, token_count, unnest(occurrences) AS o FROM duplicate_blocks WHERE block_id IS NOT NULL),
 b AS (SELECT DISTINCT block_id, token_count FROM duplicate_blocks WHERE block_id IS NOT NULL),
 d AS (SELECT DISTINCT block_id, token_count, replace(o.file, '\', '/') AS file, o.start_line AS s, o.end_line AS e FROM o)
