@@ -101,6 +101,34 @@ def matches_any(path: Column, patterns: list[str]) -> Column:
     return path.rlike("|".join(f"(?:{glob_regex(p)})" for p in patterns)) if patterns else F.lit(False)
 
 
+def loose_glob_regex(pattern: str) -> str:
+    """A glob for significant code: a star stands for anything, folders too, and all else for itself."""
+    return "^" + ".*".join(re.escape(x) for x in re.split(r"\*\*/|\*", pattern.replace("\\", "/"))) + "$"
+
+
+def significant(path: Column, patterns: tuple[str, ...] = (), tests: tuple[str, ...] = (), generated: tuple[str, ...] = ()) -> Column:
+    """Whether a path is no test, is not generated, and matches a pattern if there are any."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    some = lambda globs: plain.rlike("|".join(f"(?:{loose_glob_regex(g)})" for g in globs)) if globs else F.lit(False)
+    return ~some((*tests, *generated)) & (some(patterns) if patterns else F.lit(True))
+
+
+def is_identifier(text: Column) -> Column:
+    return text.rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+
+
+def first_code_block(text: Column) -> Column:
+    """The inside of the first fenced block of a markdown text, null without one."""
+    found = F.regexp_extract(text, r"(?s)```[^\n]*\n(.*?)```", 1)
+    return F.when(text.contains("```") & text.rlike(r"(?s)```[^\n]*\n.*?```"), found)
+
+
+def file_sections(text: Column) -> Column:
+    """``array<struct<path, text>>`` of a text cut by lines ``=== FILE: path ===``."""
+    parts = F.slice(F.split(text, r"(?m)^=== FILE:[ \t]*"), 2, 1 << 30)
+    return F.transform(parts, lambda p: F.struct(trim(F.regexp_extract(p, r"^([^\n=]*)", 1)).alias("path"), F.regexp_replace(p, r"^[^\n]*\n?", "").alias("text")))
+
+
 def humanize_ms(ms: Column) -> Column:
     """A duration: ``42ms``, ``1.5s`` or ``2m 3s``."""
     seconds = F.floor(ms / 1000)

@@ -46,3 +46,11 @@ def new_code(lines: DataFrame, blame: DataFrame, new_commits: DataFrame) -> Data
 def excluding(lines: DataFrame, globs: list[str]) -> DataFrame:
     """Lines of files that match none of the globs; totals follow from what is left."""
     return lines.where(~T.matches_any(F.col("path"), globs))
+
+
+def new_code_by_file(totals_: DataFrame, status: DataFrame) -> DataFrame:
+    """One row of coverage over files that ``status(path, status)`` calls added or changed: what is left to count where lines have no commits."""
+    fresh = status.where("status in ('added', 'changed')").select("path").distinct()
+    return totals_.join(fresh, "path", "left_semi").agg(
+        F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered")
+    ).withColumn("percent", F.round(T.percent(F.col("covered"), F.col("total")), 4))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
@@ -41,6 +41,23 @@ def packages_at_risk(advisories: DataFrame, n: int = 20) -> DataFrame:
     return rows.orderBy(F.desc("advisories"), "ecosystem", "name").limit(n)
 
 
+def by_severity(found: DataFrame) -> DataFrame:
+    """``(severity, issues)`` of vulnerabilities or alerts, a row for each of the five severities."""
+    every = found.sparkSession.createDataFrame([(s,) for s in T.SEVERITIES], "severity string")
+    return every.join(found.groupBy("severity").agg(F.count(F.lit(1)).alias("issues")), "severity", "left").select("severity", F.coalesce("issues", F.lit(0)).alias("issues"))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """Vulnerabilities in the order of a report: the least severe first, then by name; ``position`` from 1 within an ecosystem."""
+    w = Window.partitionBy("ecosystem").orderBy(T.severity_rank(F.col("severity")).desc(), "name", "version", "osv_id")
+    return found.withColumn("position", F.row_number().over(w))
+
+
+def lock_files(packages: DataFrame) -> DataFrame:
+    """One row: distinct lock files and packages."""
+    return packages.agg(F.countDistinct("source_file").alias("lock_files"), F.countDistinct("ecosystem", "name", "version").alias("packages"))
+
+
 def cvss_number(vector: Column) -> Column:
     """The first decimal in a score text."""
     return F.try_to_number(F.regexp_extract(vector, r"(\d+\.\d+)", 1), F.lit("99.9")).cast("double")

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def diff_lines(pairs: DataFrame, context: int = 3) -> DataFrame:
@@ -45,3 +46,12 @@ def _rows(context: int):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["path", "seq", "op", "line"])
 
     return run
+
+
+def unified(pairs: DataFrame, context: int = 3) -> DataFrame:
+    """``(path, diff)``: the changes of each pair as text, a sign before each line; a pair without changes gives none."""
+    sign = F.create_map(F.lit("equal"), F.lit(" "), F.lit("delete"), F.lit("-"), F.lit("insert"), F.lit("+"))
+    rows = diff_lines(pairs, context)
+    text = F.when(F.col("op") == "gap", F.concat(F.lit("@@ "), F.col("line"), F.lit(" lines @@"))).otherwise(F.concat(F.element_at(sign, F.col("op")), F.col("line")))
+    whole = rows.groupBy("path").agg(F.bool_or(F.col("op").isin("insert", "delete")).alias("changed"), F.array_sort(F.collect_list(F.struct("seq", text.alias("t")))).alias("l"))
+    return whole.where("changed").select("path", F.concat(F.lit("--- "), "path", F.lit("\n+++ "), "path", F.lit("\n"), F.array_join(F.transform("l", lambda x: x["t"]), "\n")).alias("diff"))

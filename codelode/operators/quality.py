@@ -70,16 +70,72 @@ def gate(values: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
     return rows.select("check", "value", "threshold", F.coalesce(passed, F.lit(True)).alias("passed"))
 
 
+RATINGS = ("A", "B", "C", "D", "E")
+
+
+def rating_rank(letter: Column) -> Column:
+    """0 for ``A`` to 4 for ``E``, so that ratings compare."""
+    return F.array_position(F.array(*[F.lit(x) for x in RATINGS]), letter) - 1
+
+
+def rating_checks(ratings_: DataFrame, most: str) -> DataFrame:
+    """``(check, value, threshold, passed)``: whether each rating is ``most`` or better."""
+    worst = RATINGS.index(most)
+    rank = rating_rank(F.col("rating")).cast("double")
+    return ratings_.select(F.concat("kind", F.lit("_rating")).alias("check"), rank.alias("value"), F.lit(float(worst)).alias("threshold"), (rank <= worst).alias("passed"))
+
+
+def severity_checks(counts: DataFrame, prefix: str = "") -> DataFrame:
+    """The checks that no blocker and no critical is left, over ``(severity, issues)``: issues, dependencies or alerts."""
+    rows = counts.where("severity in ('blocker', 'critical')")
+    return rows.select(F.concat(F.lit(prefix), "severity", F.lit("_issues")).alias("check"), F.col("issues").cast("double").alias("value"), F.lit(0.0).alias("threshold"), (F.col("issues") <= 0).alias("passed"))
+
+
+def coverage_check(name: str, totals_: DataFrame, least: float) -> DataFrame:
+    """The check of a coverage ``(total, percent)``; without lines there is none."""
+    rows = totals_.where("total > 0")
+    return rows.select(F.lit(name).alias("check"), F.col("percent").alias("value"), F.lit(least).alias("threshold"), (F.col("percent") >= least).alias("passed"))
+
+
+def verdict(checks: DataFrame) -> DataFrame:
+    """The checks and a last row ``gate``: passed if all of them are; its value is the number that failed. No checks pass."""
+    one = checks.agg(F.lit("gate").alias("check"), F.count_if(~F.col("passed")).cast("double").alias("value"), F.lit(0.0).alias("threshold"), F.coalesce(F.bool_and("passed"), F.lit(True)).alias("passed"))
+    return checks.unionByName(one)
+
+
+def selected(issues: DataFrame, new_keys: DataFrame | None = None, modified: DataFrame | None = None) -> DataFrame:
+    """Issues of new code: those ``new_keys(path, key)`` has, those of files in ``modified(path)``, of either if both are given, all without them."""
+    if new_keys is None and modified is None:
+        return issues
+    marked = issues
+    for table, keys, name in ((new_keys, ["path", "key"], "_new"), (modified, ["path"], "_recent")):
+        if table is not None:
+            marked = marked.join(table.select(*keys).distinct().withColumn(name, F.lit(True)), keys, "left")
+        else:
+            marked = marked.withColumn(name, F.lit(False))
+    return marked.where("coalesce(_new, false) or coalesce(_recent, false)").drop("_new", "_recent")
+
+
+def significant_split(issues: DataFrame, significant: Column) -> DataFrame:
+    """``(significant, other)``: how many issues lie in significant code and how many do not."""
+    return issues.agg(F.count_if(significant).alias("significant"), F.count_if(~significant).alias("other"))
+
+
 def sarif_level(severity: Column) -> Column:
     return F.when(severity.isin("blocker", "critical"), "error").when(severity == "major", "warning").otherwise("note")
 
 
 def sarif_results(issues: DataFrame) -> DataFrame:
-    """One JSON result per issue, ``(file_id, line, rule_id, result)``, as SARIF 2.1.0 has them."""
+    """One JSON result per issue, ``(file_id, line, rule_id, result)``, as SARIF 2.1.0 has them.
+
+    ``end_line`` and ``start_column`` (from 1) of the issues are used where there are such columns; a line is an issue of its own otherwise.
+    """
+    column = F.coalesce("start_column", F.lit(1)) if "start_column" in issues.columns else F.lit(1)
+    end = F.greatest("line", "end_line") if "end_line" in issues.columns else F.col("line")
     location = F.struct(
         F.struct(
             F.struct(F.col("path").alias("uri")).alias("artifactLocation"),
-            F.struct(F.col("line").alias("startLine"), F.col("line").alias("endLine"), F.lit(1).alias("startColumn")).alias("region"),
+            F.struct(F.col("line").alias("startLine"), end.alias("endLine"), column.alias("startColumn")).alias("region"),
         ).alias("physicalLocation")
     )
     body = F.struct(F.col("rule_id").alias("ruleId"), sarif_level(F.col("severity")).alias("level"), F.array(location).alias("locations"))

@@ -52,14 +52,19 @@ def duplication_eligible(path: Column) -> Column:
     return ~is_test_or_generated(path) & T.extension(path).isin("ts", "tsx", "js", "jsx", "dart", "py")
 
 
-def discover(files: DataFrame, include: list[str] = (), exclude: list[str] = (), max_bytes: int = 1 << 20, tests: bool = True) -> DataFrame:
-    """Files to scan: include, exclude, repository folder, size and known language in this order, by path; predicates that need no text come first."""
+def discover(files: DataFrame, include: list[str] = (), exclude: list[str] = (), max_bytes: int = 1 << 20, tests: bool = True, ignored: list[str] = ()) -> DataFrame:
+    """Files to scan: include, exclude, repository folder, patterns of ignore files, size and known language, in order of path; predicates that need no text come first."""
     path = F.col("path")
     kept = files.where(T.matches_any(path, list(include))) if include else files
-    kept = kept.where(~T.matches_any(path, [*exclude, ".git/**", "**/.git/**"])).where(language_of(path).isNotNull())
+    kept = kept.where(~T.matches_any(path, [*exclude, *ignored, ".git/**", "**/.git/**"])).where(language_of(path).isNotNull())
     if not tests:
         kept = kept.where(~is_test_or_generated(path))
-    return kept.where(F.octet_length("text") <= max_bytes)
+    return kept.where(F.octet_length("text") <= max_bytes).orderBy("path")
+
+
+def single_file(files: DataFrame, path: str) -> DataFrame:
+    """The one file that was asked for, however else its folder is filtered."""
+    return files.where(T.normalize_path(F.col("path")) == path.replace("\\", "/"))
 
 
 def nosonar(line: Column, language: Column) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as T
-from codelode.operators import clones, complexity, coverage, dependencies, duplication, metrics, quality, rules, snapshots, tokenize, treerules
+from codelode.operators import clones, complexity, coverage, dependencies, diffs, duplication, metrics, quality, rules, snapshots, tokenize, treerules
 from codelode.operators import sourcefiles as S
-from codelode.plans import oracles
+from codelode.plans import oracles, samples
 from codelode.plans.snippets import SNIPPETS
 from codelode.session import cut, load
+from codelode.sources import reports, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,6 +415,166 @@ def snippet_quality_gate(spark, d):
     return _gate(spark, d, quality.all_issues(_snippets(spark)))
 
 
+def _texts(spark: SparkSession, *names: str) -> DataFrame:
+    rows = [(p, t) for p, t in samples.TEXTS if not names or p in names]
+    return spark.createDataFrame(rows, "path string, text string")
+
+
+@query
+def read_lcov(spark, d):
+    return reports.lcov(_texts(spark, "unit/lcov.info"))
+
+
+@query
+def read_cobertura(spark, d):
+    return reports.cobertura(_texts(spark, "it/cobertura.xml", "it/broken.xml"))
+
+
+@query
+def read_jacoco(spark, d):
+    return reports.jacoco(_texts(spark, "it/jacoco.xml"))
+
+
+@query
+def read_coverage(spark, d):
+    """All reports of whatever format, by kind and file."""
+    return reports.coverage_totals_by_file(_texts(spark), samples.CATEGORIES)
+
+
+@query
+def read_coverage_kept(spark, d):
+    """Line coverage without test files."""
+    lines = reports.lcov(_texts(spark, "unit/lcov.info"))
+    return coverage.totals(coverage.excluding(lines, ["**/*.spec.ts"]))
+
+
+@query
+def coverage_formats(spark, d):
+    return _texts(spark).select("path", reports.coverage_format(F.col("text")).alias("format"))
+
+
+@query
+def read_locks(spark, d):
+    return reports.lock_packages(_texts(spark))
+
+
+@query
+def read_lock_files(spark, d):
+    return dependencies.lock_files(reports.lock_packages(_texts(spark)))
+
+
+@query
+def read_test_cases(spark, d):
+    return reports.test_cases(_texts(spark, "out/jest.txt"))
+
+
+@query
+def read_test_summary(spark, d):
+    return reports.test_summary(_texts(spark, "out/jest.txt"))
+
+
+@query
+def read_alerts(spark, d):
+    return reports.alerts(_texts(spark, "zap.json"))
+
+
+@query
+def alert_gate(spark, d):
+    return quality.verdict(quality.severity_checks(dependencies.by_severity(reports.alerts(_texts(spark, "zap.json"))), "alert_"))
+
+
+@query
+def read_sarif(spark, d):
+    return reports.sarif_issues(_texts(spark, "report.sarif"))
+
+
+@query
+def significant_paths(spark, d):
+    rows = spark.createDataFrame([(p,) for p in samples.PATHS], "path string")
+    return rows.select("path", T.significant(F.col("path"), ("src/**/*.ts", "*.go"), ("tests/*", "*_test.ts"), ("**/gen/*",)).alias("significant"))
+
+
+@query
+def language_names(spark, d):
+    rows = spark.createDataFrame([(n,) for n in samples.NAMES], "name string")
+    return rows.select("name", metrics.language_of_name(F.col("name")).alias("language"))
+
+
+@query
+def unified_diff(spark, d):
+    return diffs.unified(spark.createDataFrame([("a.txt", samples.OLD, samples.NEW), ("same.txt", "x", "x")], "path string, old string, new string"))
+
+
+@query
+def rules_listing(spark, d):
+    return sinks.rules_listing(spark, "go").select("rule_id", "severity")
+
+
+@query
+def vulnerability_list(spark, d):
+    advisories = load(spark, d, "advisories")
+    found = dependencies.vulnerabilities(advisories.where("cvss >= 4").select("ecosystem", "name", "version"), advisories)
+    return dependencies.listed(found).where("position <= 20")
+
+
+@query
+def vulnerability_counts(spark, d):
+    advisories = load(spark, d, "advisories")
+    return dependencies.by_severity(dependencies.vulnerabilities(advisories.select("ecosystem", "name", "version"), advisories))
+
+
+@query
+def dependency_gate(spark, d):
+    advisories = load(spark, d, "advisories")
+    return quality.verdict(quality.severity_checks(dependencies.by_severity(dependencies.vulnerabilities(advisories.select("ecosystem", "name", "version"), advisories)), "dependency_"))
+
+
+@query
+def full_gate(spark, d):
+    """All conditions over the known issues: ratings, duplication, coverage, coverage of new code, blockers and criticals, and the verdict."""
+    issues = quality.all_issues(_snippets(spark))
+    lines = _coverage_lines(spark, d)
+    recent = load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("commit"))
+    fresh = coverage.new_code(lines, lines.select("path", "line", "commit"), recent)
+    dup = duplication.duplication_totals(_tokens(spark, d)).select(F.lit("duplication").alias("check"), F.col("percent").alias("value"))
+    checks = quality.rating_checks(quality.ratings(issues, _snippets(spark)), "C").unionByName(quality.gate(dup, {"duplication": ("max", 3)}))
+    checks = checks.unionByName(quality.coverage_check("coverage", coverage.totals(lines), 50.0)).unionByName(quality.coverage_check("new_coverage", fresh, 80.0))
+    return quality.verdict(checks.unionByName(quality.severity_checks(quality.severity_counts(issues))))
+
+
+@query
+def new_code_issues(spark, d):
+    """Issues of events that are new, or of users seen in the last tenth of the stream; both, as new or recent."""
+    previous, current = _event_issues(spark, d)
+    fresh = snapshots.issue_lifecycle(previous, current).where("status in ('new', 'regressed')").select("path", "key")
+    recent = load(spark, d, "events").where("event_type = 'error' and user_id is not null").select(F.concat(F.lit("u/"), F.col("user_id").cast("string")).alias("path"))
+    kept = quality.selected(current.distinct(), fresh, recent)
+    return kept.groupBy("path").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query
+def significant_issues(spark, d):
+    return quality.significant_split(rules.issues(_files(spark, d)), T.significant(F.col("path"), ("src/*",), ("*test*",)))
+
+
+@query
+def new_coverage_by_file(spark, d):
+    """Coverage of files that a snapshot calls added or changed: the way without commits."""
+    lines = _coverage_lines(spark, d)
+    half = lines.where("line <= 3")
+    digest = lambda x: x.groupBy("path").agg(F.sum("line").alias("hash"))
+    return coverage.new_code_by_file(coverage.by_file(lines), snapshots.file_status(digest(half), digest(lines)))
+
+
+@query
+def merged_snapshot(spark, d):
+    """The next snapshot: users of the second half, and those of the first that did not come back; by status of their content."""
+    previous, current = _event_snapshots(spark, d)
+    kept = snapshots.merge(previous, current.where("hash <> 'error'"))
+    todo, same = snapshots.unchanged_split(current, previous)
+    return kept.agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("hash").alias("hashes")).crossJoin(todo.agg(F.count(F.lit(1)).alias("todo"))).crossJoin(same.agg(F.count(F.lit(1)).alias("unchanged")))  # one row each
+
+
 @query
 def event_bursts(spark, d):
     """Bursts of events per user with two hours of quiet around them: the batch form of the watch stream."""

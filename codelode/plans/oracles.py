@@ -234,12 +234,18 @@ _SEV = "CASE WHEN cvss >= 9 THEN 0 WHEN cvss >= 7 THEN 1 WHEN cvss >= 4 THEN 2 W
 _NAMES = "(['blocker', 'critical', 'major', 'minor', 'info'])"
 _ADV = f"""adv AS (
   SELECT *, {_SEV} AS rank FROM (
-    SELECT DISTINCT lower(ecosystem) AS ecosystem, name, version, upper(regexp_replace(osv_id, '^\\s+|\\s+$', '', 'g')) AS osv_id,
+    SELECT DISTINCT lower(ecosystem) AS ecosystem, name, version, upper(trim(osv_id, {_WHITE})) AS osv_id,
       CASE WHEN isnan(cvss) THEN NULL ELSE cvss END AS cvss
     FROM advisories WHERE osv_id IS NOT NULL AND name IS NOT NULL)
 )"""
 
 
+def _rows(columns: str, *rows: tuple) -> str:
+    """Rows that are known by hand."""
+    value = lambda v: "NULL" if v is None else str(v) if isinstance(v, bool | int) else f"{v}::DOUBLE" if isinstance(v, float) else _q(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) v({columns})"
+
+
 def _custom(rules: list[tuple]) -> str:
     parts, seen = [], set()
     for i, severity, languages, pattern, message in sorted(rules, key=lambda r: (r[0], r[3])):
@@ -385,6 +391,49 @@ FROM d GROUP BY file_id""",
         "function_complexity": f"""WITH {_ALL_TOKENS}, f AS (SELECT DISTINCT function_id, file_id, start_line, end_line FROM functions WHERE function_id IS NOT NULL AND file_id IS NOT NULL)
 SELECT function_id, count(t.text) AS tokens, count(*) FILTER (t.text IN ('if', 'elif', 'for', 'while', 'do', 'case', 'catch', 'except', '&&', '||', '??', 'and', 'or', '?')) + 1 AS cyclomatic
 FROM f LEFT JOIN tok t ON t.file_id = f.file_id AND t.line BETWEEN f.start_line AND f.end_line GROUP BY function_id""",
+        "read_lcov": _rows("report, path, line, hits", *(("unit/lcov.info", "src/core/a.ts", i, h) for i, h in ((1, 1), (2, 5), (3, 0), (4, 1), (5, 0))), ("unit/lcov.info", "src/b.spec.ts", 1, 2), ("unit/lcov.info", "src/b.spec.ts", 2, 2), ("unit/lcov.info", "src/open.ts", 7, 0)),
+        "read_cobertura": _rows("report, path, line, hits", ("it/cobertura.xml", "src/core/a.ts", 1, 3), ("it/cobertura.xml", "src/core/a.ts", 9, 0), ("it/cobertura.xml", "src/c.ts", 2, 1)),
+        "read_jacoco": _rows("report, path, total, covered", ("it/jacoco.xml", "A.java", 8, 6), ("it/jacoco.xml", "x/B", 1, 0)),
+        "read_coverage": _rows("category, path, total, covered", ("unit", "src/core/a.ts", 5, 3), ("unit", "src/b.spec.ts", 2, 2), ("unit", "src/open.ts", 1, 0), ("integration", "src/core/a.ts", 2, 1), ("integration", "src/c.ts", 1, 1), ("integration", "A.java", 8, 6), ("integration", "x/B", 1, 0)),
+        "read_coverage_kept": _rows("files, total, covered, percent", (2, 6, 3, 50.0)),
+        "coverage_formats": _rows("path, format", ("unit/lcov.info", "lcov"), ("it/cobertura.xml", "cobertura"), ("it/jacoco.xml", "jacoco"), ("it/broken.xml", "cobertura"), *((p, None) for p in ("notes.txt", "p/package-lock.json", "q/package-lock.json", "Cargo.lock", "go.sum", "app/pubspec.lock", "out/jest.txt", "zap.json", "report.sarif"))),
+        "read_locks": _rows("name, version, ecosystem, source_file", ("left", "1.2.0", "npm", "p/package-lock.json"), ("right", "3.0.1", "npm", "p/package-lock.json"), ("top", "2.0.0", "npm", "q/package-lock.json"), ("deep", "0.1.0", "npm", "q/package-lock.json"),
+          ("quartz-core", "0.4.2", "crates.io", "Cargo.lock"), ("closed-by-section", "0.2.0", "crates.io", "Cargo.lock"), ("last-one", "0.5.0", "crates.io", "Cargo.lock"), ("mod.example/a", "1.2.3", "Go", "go.sum"), ("mod.example/b", "0.9.0+incompatible", "Go", "go.sum"),
+          ("collect", "1.18.0", "Pub", "app/pubspec.lock"), ("paths", "1.8.3", "Pub", "app/pubspec.lock")),
+        "read_lock_files": _rows("lock_files, packages", (5, 11)),
+        "read_test_cases": _rows("report, file, name, status, duration_ms", ("out/jest.txt", "unit/a.spec.ts", "adds two numbers", "passed", 3), ("out/jest.txt", "unit/a.spec.ts", "fails slowly", "failed", 1500), ("out/jest.txt", "unit/a.spec.ts", "skipped for now", "skipped", None),
+          ("out/jest.txt", "unit/b.spec.ts", "breaks", "failed", None), ("out/jest.txt", "unit/b.spec.ts", "still works", "passed", None)),
+        "read_test_summary": _rows("path, passed, failed, skipped, total", ("out/jest.txt", 2, 2, 1, 5)),
+        "read_alerts": _rows("alert, severity, risk, cweid, instances", ("Header missing", "major", 1, 693, 2), ("Script injection", "blocker", 3, 79, 1), ("Odd", "minor", 7, 0, 0), ("Note", "info", 0, 0, 0), ("Redirect", "critical", 2, 0, 0)),
+        "alert_gate": _rows('"check", value, threshold, passed', ("alert_blocker_issues", 1.0, 0.0, False), ("alert_critical_issues", 1.0, 0.0, False), ("gate", 2.0, 0.0, False)),
+        "read_sarif": _rows("path, line, rule_id, level, message", ("src/a.ts", 3, "no-eval", "error", "eval"), (None, None, "no-var", "warning", "var")),
+        "significant_paths": _rows("path, significant", ("src/core/a.ts", True), ("src\\core\\b.ts", True), ("lib/x/gen/c.ts", False), ("src/core/a_test.ts", False), ("tests/d.ts", False), ("main.go", True), ("srcX/e.ts", False)),
+        "language_names": _rows("name, language", ("TS", "typescript"), ("golang", "go"), ("C++", "cpp"), ("c#", "csharp"), ("Shell", "bash"), ("md", "markdown"), ("rust", "rust"), ("cobol", "other"), ("", "other")),
+        "unified_diff": "SELECT 'a.txt' AS path, '--- a.txt' || chr(10) || '+++ a.txt' || chr(10) || '@@ 1 lines @@' || chr(10) || ' b' || chr(10) || ' c' || chr(10) || ' d' || chr(10) || '-e' || chr(10) || '+E' || chr(10) || ' f' || chr(10) || ' g' || chr(10) || ' h' AS diff",
+        "rules_listing": _rows("rule_id, severity", ("go/avoid-print", "minor"), ("go/avoid-empty-block", "major"), ("go/error-check", "critical"), ("go/avoid-init", "minor"), ("go/avoid-global-var", "info"), ("go/exported-comment", "info")),
+        "vulnerability_list": f"""WITH {_ADV}, p AS (SELECT DISTINCT lower(ecosystem) AS ecosystem, name, version FROM advisories WHERE cvss >= 4),
+v AS (SELECT ecosystem, name, version, osv_id, min(rank) AS r FROM p JOIN adv USING (ecosystem, name, version) GROUP BY ALL)
+SELECT ecosystem, name, version, osv_id, {_NAMES}[r + 1] AS severity, row_number() OVER (PARTITION BY ecosystem ORDER BY r DESC, name, version, osv_id) AS position FROM v QUALIFY position <= 20""",
+        "vulnerability_counts": f"WITH {_ADV}, v AS (SELECT ecosystem, name, version, osv_id, min(rank) AS r FROM adv WHERE ecosystem IS NOT NULL AND version IS NOT NULL GROUP BY ALL) SELECT {_NAMES}[i + 1] AS severity, (SELECT count(*) FROM v WHERE r = i) AS issues FROM range(5) t(i)",
+        "dependency_gate": f"""WITH {_ADV}, v AS (SELECT ecosystem, name, version, osv_id, min(rank) AS r FROM adv WHERE ecosystem IS NOT NULL AND version IS NOT NULL GROUP BY ALL),
+c AS (SELECT 'dependency_' || {_NAMES}[i + 1] || '_issues' AS "check", (SELECT count(*) FROM v WHERE r = i)::DOUBLE AS value FROM range(2) t(i))
+SELECT "check", value, 0.0::DOUBLE AS threshold, value <= 0 AS passed FROM c UNION ALL SELECT 'gate', (count(*) FILTER (value > 0))::DOUBLE, 0.0, bool_and(value <= 0) FROM c""",
+        "full_gate": snippets.rstrip() + f""", worst AS (SELECT file_id, min({_RANK}) AS w FROM issues GROUP BY file_id),
+ra AS (SELECT kind || '_rating' AS c, (SELECT count(*) FROM worst WHERE w <= k) * 100.0::DOUBLE / {len(SNIPPETS)} AS share FROM (VALUES ('reliability', 0), ('security', 1), ('maintainability', 2)) v(kind, k)), {_COV}, {_DUP_TOTALS},
+sx AS (SELECT path, line, max(hits) AS hits FROM cov GROUP BY path, line), nx AS (SELECT DISTINCT path, line FROM cov WHERE commit IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)), checks AS (
+  SELECT c AS "check", CASE WHEN share < 5 THEN 0 WHEN share < 10 THEN 1 WHEN share < 20 THEN 2 WHEN share < 50 THEN 3 ELSE 4 END::DOUBLE AS value, 2.0::DOUBLE AS threshold, share < 20 AS passed FROM ra
+  UNION ALL SELECT 'duplication', p, 3.0, p <= 3 FROM (SELECT {pct("duplicated", "tokens")} AS p FROM dup0)
+  UNION ALL SELECT 'coverage', p, 50.0, p >= 50 FROM (SELECT {pct("sum(covered)", "sum(total)")} AS p FROM cf)
+  UNION ALL SELECT 'new_coverage', p, 80.0, p >= 80 FROM (SELECT {pct("count(*) FILTER (hits > 0)", "count(*)")} AS p FROM sx SEMI JOIN nx USING (path, line))
+  UNION ALL SELECT s || '_issues', (SELECT count(*) FROM issues WHERE severity = s)::DOUBLE, 0.0, NOT EXISTS (SELECT 1 FROM issues WHERE severity = s) FROM (VALUES ('blocker'), ('critical')) x(s))
+SELECT * FROM checks UNION ALL SELECT 'gate', (count(*) FILTER (NOT passed))::DOUBLE, 0.0, bool_and(passed) FROM checks""",
+        "new_code_issues": f"""WITH {_LIFE} SELECT path, count(*) AS issues FROM life WHERE status <> 'fixed' AND (status IN ('new', 'regressed') OR path IN (SELECT 'u/' || CAST(user_id AS VARCHAR) FROM events WHERE event_type = 'error' AND user_id IS NOT NULL)) GROUP BY path""",
+        "significant_issues": _ISSUES + r"SELECT count(*) FILTER (s) AS significant, count(*) FILTER (NOT s) AS other FROM (SELECT replace(path, '\', '/') LIKE 'src/%' AND NOT contains(path, 'test') AS s FROM issues)",
+        "new_coverage_by_file": f"WITH {_COV}, o AS (SELECT path, sum(line) AS h FROM cov WHERE line <= 3 GROUP BY path), n AS (SELECT path, sum(line) AS h FROM cov GROUP BY path) SELECT sum(total) AS total, sum(covered) AS covered, {pct('sum(covered)', 'sum(total)')} AS percent FROM cf JOIN n USING (path) LEFT JOIN o USING (path) WHERE o.h IS DISTINCT FROM n.h",
+        "merged_snapshot": f"""WITH {_HALVES}, p AS (SELECT user_id, event_type AS h FROM marked WHERE early QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+c AS (SELECT user_id, event_type AS h FROM marked QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+m AS (SELECT * FROM c WHERE h <> 'error' UNION ALL SELECT * FROM p WHERE user_id NOT IN (SELECT user_id FROM c WHERE h <> 'error')), j AS (SELECT c.h IS NOT DISTINCT FROM p.h AND p.h IS NOT NULL AS same FROM c LEFT JOIN p USING (user_id))
+SELECT (SELECT count(*) FROM m) AS paths, (SELECT count(DISTINCT h) FROM m) AS hashes, (SELECT count(*) FROM j WHERE NOT same) AS todo, (SELECT count(*) FROM j WHERE same) AS unchanged""",
         "event_bursts": bursts,
         "event_bursts_streamed": bursts,
         "test_cases": """SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS file, count(*) FILTER (event_type IS DISTINCT FROM 'error') AS passed, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1""",

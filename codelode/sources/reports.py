@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,34 +35,65 @@ def lcov(reports: DataFrame) -> DataFrame:
     return da.select("report", "path", part[0].try_cast("int").alias("line"), part[1].try_cast("bigint").alias("hits")).where("line > 0")
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    found = F.regexp_extract(tag, rf"\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    return F.when(found != "", found)
+def _xml_rows(rows: Callable[[ElementTree.Element], Iterator[tuple]], kinds: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for report, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    root = ElementTree.fromstring(text or "")
+                except ElementTree.ParseError:
+                    continue
+                out += ((report, *r) for r in rows(root))
+            columns = list(zip(*out, strict=True)) or [()] * (len(kinds) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, [pa.string(), *kinds], strict=True)], names=[f"c{i}" for i in range(len(kinds) + 1)])
+
+    return run
+
+
+def _number(text: str | None, default: int | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"\d{1,18}", text.strip()) else default
 
 
-def _classes(reports: DataFrame) -> DataFrame:
-    chunks = F.transform(F.slice(F.split("text", r"<class\b"), 2, 1 << 30), lambda c: F.get(F.split(c, "</class>"), F.lit(0)))
-    return reports.select(F.col("path").alias("report"), F.explode(chunks).alias("chunk"))
+def _cobertura_lines(root: ElementTree.Element) -> Iterator[tuple]:
+    for c in root.iter("class"):
+        for line in c.iter("line") if c.get("filename") else ():
+            if number := _number(line.get("number"), None):
+                yield c.get("filename"), number, _number(line.get("hits"), 0)
+
+
+def _jacoco_counters(root: ElementTree.Element) -> Iterator[tuple]:
+    for c in root.iter("class"):
+        counters = [x for x in c.iter("counter") if x.get("type") == "LINE"]
+        if counters:
+            missed, covered = (_number(counters[-1].get(k), 0) for k in ("missed", "covered"))
+            yield c.get("sourcefilename") or c.get("name"), missed + covered, covered
 
 
 def cobertura(reports: DataFrame) -> DataFrame:
-    """``(report, path, line, hits)`` of the lines of each class."""
-    rows = _classes(reports).withColumn("head", F.regexp_extract("chunk", r"^([^>]*)", 1))
-    tags = rows.select("report", T.normalize_path(_attribute(F.col("head"), "filename")).alias("path"), F.explode(F.regexp_extract_all("chunk", F.lit(r"<line\b[^>]*>"), F.lit(0))).alias("tag"))
-    found = tags.select("report", "path", _attribute(F.col("tag"), "number").try_cast("int").alias("line"), F.coalesce(_attribute(F.col("tag"), "hits").try_cast("bigint"), F.lit(0)).alias("hits"))
-    return found.where("path is not null and line > 0").distinct()
+    """``(report, path, line, hits)`` of the lines of each class, each once; a text that is no XML gives none."""
+    rows = reports.select("path", "text").mapInArrow(_xml_rows(_cobertura_lines, [pa.string(), pa.int64(), pa.int64()]), "c0 string, c1 string, c2 long, c3 long")
+    return rows.select(F.col("c0").alias("report"), T.normalize_path(F.col("c1")).alias("path"), F.col("c2").cast("int").alias("line"), F.col("c3").alias("hits")).distinct()
 
 
 def jacoco(reports: DataFrame) -> DataFrame:
     """``(report, path, total, covered)``: the last line counter of each class; no line numbers are made up."""
-    rows = _classes(reports).withColumn("head", F.regexp_extract("chunk", r"^([^>]*)", 1))
-    counters = F.filter(F.regexp_extract_all("chunk", F.lit(r"<counter\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"type\s*=\s*[\"']LINE[\"']"))
-    last = F.element_at(counters, -1)
-    found = rows.where(F.size(counters) > 0).select(
-        "report", F.coalesce(_attribute(F.col("head"), "sourcefilename"), _attribute(F.col("head"), "name")).alias("path"),
-        F.coalesce(_attribute(last, "missed").try_cast("bigint"), F.lit(0)).alias("missed"), F.coalesce(_attribute(last, "covered").try_cast("bigint"), F.lit(0)).alias("covered"),
-    )
-    return found.select("report", "path", (F.col("missed") + F.col("covered")).alias("total"), "covered")
+    rows = reports.select("path", "text").mapInArrow(_xml_rows(_jacoco_counters, [pa.string(), pa.int64(), pa.int64()]), "c0 string, c1 string, c2 long, c3 long")
+    return rows.select(F.col("c0").alias("report"), F.col("c1").alias("path"), F.col("c2").alias("total"), F.col("c3").alias("covered"))
+
+
+def coverage_totals_by_file(reports: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
+    """``(category, path, total, covered)`` of all reports of whatever format, added up by file; a report of none is passed over.
+
+    ``categories`` gives the kind of a report by its path (unit or integration tests, say).
+    """
+    kinds = reports.withColumn("format", coverage_format(F.col("text")))
+    of = lambda name: kinds.where(F.col("format") == name)
+    lines = lcov(of("lcov")).unionByName(cobertura(of("cobertura")))
+    counted = lines.groupBy("report", "path").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("hits") > 0).alias("covered"))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in categories.items() for x in pair]), F.col("report")) if categories else F.lit(None).cast("string")
+    every = counted.unionByName(jacoco(of("jacoco"))).withColumn("category", named)
+    return every.groupBy("category", "path").agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
 
 
 def npm_packages(locks: DataFrame) -> DataFrame:
@@ -72,12 +108,14 @@ def npm_packages(locks: DataFrame) -> DataFrame:
 
 
 def cargo_packages(locks: DataFrame) -> DataFrame:
-    """Packages of ``[[package]]`` blocks that come from the public registry, or whose block is the last before another section."""
-    block = F.explode(F.slice(F.split("text", r"(?m)^\s*\[\[package\]\]\s*$"), 2, 1 << 30))
-    rows = locks.select("path", block.alias("b"))
-    value = lambda key: F.regexp_extract("b", rf"(?m)^\s*{key} = \"([^\"]*)\"", 1)
-    found = rows.select(value("name").alias("name"), value("version").alias("version"), F.lit("crates.io").alias("ecosystem"), F.col("path").alias("source_file"), value("source").alias("s"))
-    return found.where("name <> '' and version <> '' and s like '%crates.io%'").drop("s")
+    """Packages of ``[[package]]`` blocks that come from the public registry, and whatever their source those that another section or the end of the file closes."""
+    blocks = F.slice(F.split("text", r"(?m)^[ \t]*\[\[package\]\][ \t]*\r?$"), 2, 1 << 30)
+    rows = locks.select("path", F.size(blocks).alias("n"), F.posexplode(blocks).alias("i", "b"))
+    value = lambda key: F.regexp_extract("own", rf"(?m)^\s*{key} = \"([^\"]*)\"", 1)
+    section = F.col("b").rlike(r"(?m)^[ \t]*\[(?!\[)")
+    rows = rows.withColumn("own", F.get(F.split("b", r"(?m)^[ \t]*\[(?!\[)"), F.lit(0))).withColumn("closed", section | (F.col("i") == F.col("n") - 1))
+    found = rows.select(value("name").alias("name"), value("version").alias("version"), F.lit("crates.io").alias("ecosystem"), F.col("path").alias("source_file"), value("source").alias("s"), "closed")
+    return found.where("name <> '' and version <> '' and (closed or s like '%crates.io%')").drop("s", "closed")
 
 
 def go_packages(locks: DataFrame) -> DataFrame:
@@ -120,3 +158,48 @@ def test_summary(outputs: DataFrame) -> DataFrame:
     skipped = F.when(jest, n(F.col("line"), "skipped")).otherwise(F.lit(0))
     total = F.when(jest & (n(F.col("line"), "total") > 0), n(F.col("line"), "total")).otherwise(passed + failed)
     return rows.select("path", passed.alias("passed"), failed.alias("failed"), skipped.alias("skipped"), total.alias("total"))
+
+
+def test_cases(outputs: DataFrame) -> DataFrame:
+    """``(report, file, name, status, duration_ms)`` of each test a text output names, with the file whose heading stands above it.
+
+    The heading of a line is the last one before it, by position in the array of lines.
+    """
+    lines = F.transform(T.lines(F.col("text")), T.trim)
+    rows = outputs.select(F.col("path").alias("report"), lines.alias("all"))
+    headed = F.aggregate(
+        "all", F.struct(F.lit(None).cast("string").alias("file"), F.array().cast("array<struct<file string, line string>>").alias("out")),
+        lambda acc, x: F.when(x.rlike("^(?:PASS|FAIL) "), F.struct(T.trim(F.regexp_replace(F.substr(x, F.lit(6)), r" \(.*", "")).alias("file"), acc["out"].alias("out")))
+        .when(x.rlike(_MARKS), F.struct(acc["file"].alias("file"), F.array_append(acc["out"], F.struct(acc["file"].alias("file"), x.alias("line"))).alias("out"))).otherwise(acc),
+    )
+    found = rows.select("report", F.explode(headed["out"]).alias("c")).select("report", "c.file", "c.line")
+    mark, rest = F.regexp_extract("line", _MARKS, 1), T.trim(F.regexp_replace("line", _MARKS, ""))
+    status = F.when(mark.isin("✓", "✅"), "passed").when(mark.isin("○", "◌", "SKIP"), "skipped").otherwise("failed")
+    amount, unit = F.regexp_extract(rest, _TOOK, 1).try_cast("double"), F.regexp_extract(rest, _TOOK, 2)
+    took = F.when(unit == "ms", amount).when(unit == "s", amount * 1000)
+    return found.select("report", "file", F.regexp_replace(rest, r"\s*" + _TOOK, "").alias("name"), status.alias("status"), took.cast("long").alias("duration_ms"))
+
+
+# The marks of passed, failed and skipped tests.
+_MARKS = r"^(✓|✅|✕|✗|✘|●|○|◌|SKIP)"
+_TOOK = r"\((\d+(?:\.\d+)?)\s*(ms|s)\)$"
+
+
+def alerts(texts: DataFrame) -> DataFrame:
+    """``(alert, severity, risk, cweid, instances)`` of the alerts of a web scan in JSON, each name once; the highest risk counts."""
+    schema = "alerts array<struct<alert: string, riskcode: string, cweid: string, instances: array<struct<uri: string, method: string>>>>"
+    rows = texts.select(F.explode(F.from_json("text", schema)["alerts"]).alias("a")).where("a.alert is not null")
+    risk = F.coalesce(F.col("a.riskcode").try_cast("int"), F.lit(0))
+    one = rows.select("a.alert", risk.alias("risk"), F.coalesce(F.col("a.cweid").try_cast("int"), F.lit(0)).alias("cweid"), F.coalesce(F.size("a.instances"), F.lit(0)).alias("instances"))
+    one = one.groupBy("alert").agg(F.max(F.struct("risk", "cweid", "instances")).alias("m")).select("alert", "m.*")
+    severity = F.when(F.col("risk") == 3, "blocker").when(F.col("risk") == 2, "critical").when(F.col("risk") == 1, "major").when(F.col("risk") == 0, "info").otherwise("minor")
+    return one.select("alert", severity.alias("severity"), "risk", "cweid", "instances")
+
+
+def sarif_issues(texts: DataFrame) -> DataFrame:
+    """``(path, line, rule_id, level, message)`` of the results of SARIF documents: of their first run."""
+    place = "physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>"
+    schema = f"runs array<struct<results: array<struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<{place}>>>>>>"
+    rows = texts.select(F.explode(F.from_json("text", schema)["runs"][0]["results"]).alias("r"))
+    at = F.get("r.locations", F.lit(0))["physicalLocation"]
+    return rows.select(at["artifactLocation"]["uri"].alias("path"), at["region"]["startLine"].alias("line"), F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("message"))

@@ -5,7 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-from codelode.operators import quality, rules, sourcefiles
+from codelode.operators import quality, sourcefiles
 from codelode.sources import reports, settings, sinks
 from codelode.streaming import watch
 
@@ -32,11 +32,11 @@ def test_xml_reports(spark, collect):
 
 def test_lock_files(spark, collect):
     npm = json.dumps({"dependencies": {}, "packages": {"": {"version": "0"}, "node_modules/a": {"version": "1.0.0"}, "node_modules/b": {"version": "file:../b"}}})
-    cargo = '[[package]]\nname = "serde"\nversion = "1.0.1"\nsource = "registry+https://github.com/rust-lang/crates.io-index"\n\n[[package]]\nname = "own"\nversion = "0.1.0"\n'
+    cargo = '[[package]]\nname = "quartz"\nversion = "1.0.1"\nsource = "registry+https://registry.example/crates.io-index"\n\n[[package]]\nname = "tree"\nversion = "0.2.0"\n\n[[package]]\nname = "own"\nversion = "0.1.0"\n'
     go = "x.example/m v1.2.3 h1:a=\nx.example/m v1.2.3/go.mod h1:b=\n"
     pub = "packages:\n  http:\n    dependency: direct\n    version: \"0.13.4\"\n  path:\n    version: \"1.8.0\"\nsdks:\n  dart: x\n"
     df = texts(spark, ("p/package-lock.json", npm), ("Cargo.lock", cargo), ("go.sum", go), ("pubspec.lock", pub), ("other", npm))
-    assert [r[:3] for r in collect(reports.lock_packages(df))] == [("a", "1.0.0", "npm"), ("http", "0.13.4", "Pub"), ("path", "1.8.0", "Pub"), ("serde", "1.0.1", "crates.io"), ("x.example/m", "1.2.3", "Go")]
+    assert [r[:3] for r in collect(reports.lock_packages(df))] == [("a", "1.0.0", "npm"), ("http", "0.13.4", "Pub"), ("own", "0.1.0", "crates.io"), ("path", "1.8.0", "Pub"), ("quartz", "1.0.1", "crates.io"), ("x.example/m", "1.2.3", "Go")]
 
 
 def test_test_output(spark, collect):
@@ -60,7 +60,7 @@ def test_settings():
 
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([(1, "a.ts", 'eval(x) // <"&>\n')], "file_id long, path string, text string")
-    found = rules.issues(df)
+    found = quality.all_issues(df)
     document = json.loads(sinks.sarif(found, "codelode"))
     assert document["version"] == "2.1.0" and document["runs"][0]["results"][0]["level"] == "error"
     assert "no-eval" in sinks.markdown_comment(found, False) and json.loads(sinks.json_report(found, sourcefiles.metrics_by_language(df)))["issues"]["blocker"] == 1
