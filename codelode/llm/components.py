@@ -10,8 +10,8 @@ from codelode.session import cut, drop_cut
 #: The dashes that stand for a hyphen, and entries that name no advisory.
 DASHES = "‐‑‒–—―⁃−﹘﹣－"
 NO_ADVISORY = ("N/A", "NA", "NONE", "NULL", "NIL", "UNKNOWN", "PENDING", "TBD", "TBA", "TODO", "-", "SEE URL")
-#: An identifier of any series whose year and number are zeros is a stand-in as well.
-ZERO_ID = r"^[^-]+(-0+){2,}$"
+#: An identifier of any series whose parts are all zeros is a stand-in as well.
+ZERO_ID = r"^[^-]+(-0+)+$"
 
 
 def advisory_id(raw: Column) -> Column:

@@ -129,18 +129,23 @@ SELECT list_name, scan_id, CAST(pos AS INTEGER) AS pos, item_id FROM r WHERE pos
 """
 
 P4_SQL = r"""
-WITH RECURSIVE norm AS (
-  SELECT upper(regexp_replace(translate(osv_id, '‐‑‒–—―⁃−﹘﹣－', '-----------'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS a,
-         upper(regexp_replace(translate(x, '‐‑‒–—―⁃−﹘﹣－', '-----------'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS b
-  FROM (SELECT osv_id, unnest(aliases) AS x FROM advisories)
+WITH RECURSIVE blanks AS (
+  SELECT chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(65279) || chr(8203)
+    || string_agg(chr(c), '') AS w FROM range(8192, 8203) t(c)
+), spelled AS (
+  SELECT upper(trim(translate(osv_id, '‐‑‒–—―⁃−﹘﹣－', '-----------'), w)) AS a, upper(trim(translate(x, '‐‑‒–—―⁃−﹘﹣－', '-----------'), w)) AS b
+  FROM (SELECT osv_id, unnest(list_append(coalesce(aliases, []), osv_id)) AS x FROM advisories), blanks
+), named AS (
+  -- A series and its parts, with a digit other than zero or a part of letters among them.
+  SELECT DISTINCT b AS id FROM spelled
+  WHERE len(string_split(b, '-')) >= 2 AND NOT list_contains(string_split(b, '-'), '') AND NOT regexp_matches(b, '\s')
+    AND replace(array_to_string(string_split(b, '-')[2:], ''), '0', '') <> ''
+    AND (len(string_split(b, '-')) > 2 OR length(translate(b, '0123456789', '')) < length(b))
 ), e AS (
-  SELECT DISTINCT a, b FROM norm
-  WHERE a <> b AND regexp_matches(b, '^[^\s-]+(-[^\s-]+)+$') AND (regexp_matches(b, '[0-9]') OR regexp_matches(b, '-[^-]+-'))
+  SELECT DISTINCT a, b FROM spelled WHERE a <> b AND a IN (SELECT id FROM named) AND b IN (SELECT id FROM named)
 ), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (
   SELECT a AS s, a AS n FROM g UNION SELECT r.s, g.b FROM reach r JOIN g ON r.n = g.a
 ), comp AS (SELECT s, min(n) AS group_id FROM reach GROUP BY s)
-SELECT DISTINCT o.osv_id, c.group_id FROM (
-  SELECT upper(regexp_replace(translate(osv_id, '‐‑‒–—―⁃−﹘﹣－', '-----------'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS osv_id
-  FROM advisories) o JOIN comp c ON o.osv_id = c.s
+SELECT DISTINCT a AS osv_id, group_id FROM spelled JOIN comp ON a = s
 """
