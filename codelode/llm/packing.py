@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: Containers a shard is meant to fill. A shard leaves about one container open, so some 0.02 % stays unused by sharding.
 SHARD_CONTAINERS = 4096
-#: Distinct lengths looked at for one container before the best sum so far is taken.
-WINDOW = 256
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_containers: int = SHARD_CONTAINERS) -> DataFrame:
@@ -56,12 +54,12 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def fill(counts: dict[int, int], capacity: int, window: int = WINDOW) -> Iterator[dict[int, int]]:
+def fill(counts: dict[int, int], capacity: int) -> Iterator[dict[int, int]]:
     """Containers as counts by length, until ``counts`` (by length, all within ``capacity``) is used up.
 
     Each starts with the largest length left. Which sums the next lengths can reach is a
     bitset in one integer, to which a length adds itself by a shift, its count by doubling
-    steps. When the room left can be filled exactly, or ``window`` lengths have been looked at, the largest sum is backtracked to counts.
+    steps. When the room left can be filled exactly, or all lengths have been looked at, the largest sum is backtracked to counts.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     lengths = sorted(left, reverse=True)
@@ -75,7 +73,6 @@ def fill(counts: dict[int, int], capacity: int, window: int = WINDOW) -> Iterato
         taken = {seed: 1}
         steps: list[tuple[int, int, int]] = []
         reach, mask, goal = 1, (1 << (room + 1)) - 1, 1 << room
-        seen = 0
         for n in lengths:
             if n > room or n not in left:
                 continue
@@ -87,8 +84,7 @@ def fill(counts: dict[int, int], capacity: int, window: int = WINDOW) -> Iterato
                 reach |= reach << (n * now) & mask
                 have -= now
                 part *= 2
-            seen += 1
-            if reach & goal or seen >= window:
+            if reach & goal:
                 break
         at = reach.bit_length() - 1
         for n, now, before in reversed(steps):

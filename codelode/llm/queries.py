@@ -131,7 +131,7 @@ SELECT list_name, scan_id, CAST(pos AS INTEGER) AS pos, item_id FROM r WHERE pos
 P4_SQL = r"""
 WITH RECURSIVE blanks AS (
   SELECT chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(133) || chr(160) || chr(5760) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288) || chr(65279) || chr(8203)
-    || string_agg(chr(c), '') AS w FROM range(8192, 8203) t(c)
+    || string_agg(chr(CAST(c AS INTEGER)), '') AS w FROM range(8192, 8203) t(c)
 ), spelled AS (
   SELECT upper(trim(translate(osv_id, '‐‑‒–—―⁃−﹘﹣－', '-----------'), w)) AS a, upper(trim(translate(x, '‐‑‒–—―⁃−﹘﹣－', '-----------'), w)) AS b
   FROM (SELECT osv_id, unnest(list_append(coalesce(aliases, []), osv_id)) AS x FROM advisories), blanks
