@@ -54,7 +54,7 @@ importattrs : ('with'|ID) object ;
 importclause : id | id ',' named | id ',' '*' 'as' id | named | '*' 'as' id ;
 named : '{' (spec (',' spec)* ','?)? '}' ;
 spec : %TYPEWORD% (name | STR) ('as' (name | STR))? ;
-export_ : 'export' decl | 'export' 'default' (function | class | expr_S 'SEMI' %EXPORTDEF%) | 'export' %TYPEWORD% named ('from' STR importattrs?)? 'SEMI'
+export_ : 'export' decl | 'export' 'default' (function | class | expr_S 'SEMI' | object suffix* %ASSERT% 'SEMI' %EXPORTDEF%) | 'export' %TYPEWORD% named ('from' STR importattrs?)? 'SEMI'
         | 'export' %TYPEWORD% '*' ('as' (name|STR))? 'from' STR 'SEMI' %EXPORTEQ% ;
 exprs : expr (',' expr)* ;
 exprs_S : expr_S (',' expr)* ;

@@ -52,6 +52,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return syntax.parse_files(load(spark, d, "files")).where("error_line > 0").select("file_id").distinct()
 
 
+def p5_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The first error of each invalid file."""
+    return syntax.parse_files(load(spark, d, "files")).where("error_line > 0").select("file_id", F.col("claimed").alias("language"), "error_line").distinct()
+
+
 def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid_rates(load(spark, d, "files"))
 
@@ -105,7 +110,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = (
-        p1_found, p2_found, p2_scores, p3_found, p4_found, p5_found, p5_rates, p6_found, p6_groups, p7_found, p7_redacted,
+        p1_found, p2_found, p2_scores, p3_found, p4_found, p5_found, p5_errors, p5_rates, p6_found, p6_groups, p7_found, p7_redacted,
         p8_containers, p8_report, p9_mixture, p9_shares, p10_found, p10_restored,
     )
     return {q.__name__: q for q in found}

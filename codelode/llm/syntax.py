@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.llm import grammars
+from codelode.llm import early, grammars
 from codelode.llm.lalr import Tables, build, first_error, starts_badly
 
 BAD = "\x01"
@@ -123,7 +123,7 @@ class Kinds(dict):
                 at += 2
                 continue
             m = re.compile(_SUBST).match(token, at)
-            if not m or parser(self.language).error_line("(" + m[0][2:-1] + ");"):
+            if not m or parser(self.language).error_line("(" + m[0][2:-1] + ");", True):
                 return False
             at = m.end()
         return True
@@ -162,8 +162,8 @@ class Parser:
             ends = ["ID", "NUM", "STR", "RUNE", "INCDEC", "break", "continue", "fallthrough", "return", ")", "]", "}"]
             self.ends = {t[x] for x in ends}
 
-    def error_line(self, text: str) -> int:
-        """The line of the first error that no derivation gets past; 0 if the text is valid."""
+    def error_line(self, text: str, inner: bool = False) -> int:
+        """The line of the first error that no derivation gets past, or of what rules beside the grammar forbid; 0 if the text is valid. An inner text is one expression of another."""
         text = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿")
         tokens = self.lexer.findall(text)
         parts = "".join(map(self.kinds.__getitem__, tokens)).split("\n")
@@ -179,7 +179,7 @@ class Parser:
                     origin.append(i)
         bad = first_error(self.tables, lines, self.semi, self.closers)
         if bad < 0:
-            return 0
+            return early.python(tokens) if self.language == "python" else early.javascript(tokens) if self.semi and not inner else 0
         part = origin[bad] if bad < len(origin) else len(parts) - 1
         breaks = [m.start() for m in self.lexer.finditer(text) if self.kinds[m[0]] == "\n"]
         return text.count("\n", 0, breaks[part - 1] + 1) + 1 if part else 1
