@@ -17,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.components import connected_components
@@ -28,6 +28,8 @@ SYMBOLS, HALF, TABLES = 5, 2, 5
 SHINGLE = 5
 #: Of all SYMBOLS * TABLES values, verified pairs must agree in this many at least; at similarity 0.7 fewer have a chance of 1e-5.
 AGREE = 8
+#: Classes that may meet in one variant. More are paired by the rarest of their runs of tokens, exactly.
+CROWD = 1000
 _SEEDS = mix(np.arange(1, SYMBOLS * TABLES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _KEPT = list(combinations(range(SYMBOLS), SYMBOLS - HALF))
 
@@ -40,13 +42,14 @@ def miss_rate(similarity: float) -> float:
     return (1 - kept) ** TABLES
 
 
-def similar_classes(streams: DataFrame, threshold: float = 0.7, min_tokens: int = 50) -> tuple[DataFrame, DataFrame]:
+def similar_classes(streams: DataFrame, threshold: float = 0.7, min_tokens: int = 50, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Members ``(file_id, rep)`` of classes of equal streams, and pairs ``(rep_a, rep_b)`` of similar classes.
 
     ``streams`` is ``(file_id, hashes)``, one row per file, read more than once. Similarity is the
     Jaccard similarity of the sets of runs of five tokens; files below ``min_tokens`` take
     no part. Equal streams are grouped first by a 128-bit hash, so however many copies a
-    file has, one of them is fingerprinted. The collisions are an equi-join on the variant, which splits hot variants.
+    file has, one of them is fingerprinted. The collisions are an equi-join on the variant. Where more than ``crowd`` classes share a
+    variant, as a common header brings about, they are not paired in it: :func:`crowded_pairs` finds all similar pairs among them.
     """
     marks = cut(
         streams.mapInArrow(_fingerprints(min_tokens), "file_id long, c1 long, c2 long, signature binary"), "marks"
@@ -58,12 +61,19 @@ def similar_classes(streams: DataFrame, threshold: float = 0.7, min_tokens: int
         "kept",
     )
     variants = kept.mapInArrow(_variants, "variant long, rep long")
+    hot = cut(variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("variant"), "hot")
+    crowded = None
+    if not hot.isEmpty():
+        crowded = crowded_pairs(streams, variants.join(hot, "variant", "left_semi").select("rep").distinct(), threshold)
+        variants = variants.join(hot, "variant", "left_anti")
     pairs = (
         variants.alias("x")
         .join(variants.alias("y"), (F.col("x.variant") == F.col("y.variant")) & (F.col("x.rep") < F.col("y.rep")))
         .select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b"))
         .distinct()
     )
+    if crowded is not None:
+        pairs = pairs.unionByName(crowded).distinct()
     side = lambda p: kept.select(F.col("rep").alias(f"rep_{p}"), F.col("signature").alias(f"signature_{p}"))
     likely = cut(
         pairs.join(side("a"), "rep_a").join(side("b"), "rep_b").mapInArrow(_agreeing, "rep_a long, rep_b long"), "likely"
@@ -75,9 +85,36 @@ def similar_classes(streams: DataFrame, threshold: float = 0.7, min_tokens: int
     return members, cut(checked, "similar")
 
 
-def similar_pairs(streams: DataFrame, threshold: float = 0.7, min_tokens: int = 50) -> DataFrame:
+def crowded_pairs(streams: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """``(rep_a, rep_b)``: candidates among ``reps`` that hold every pair of at least ``threshold`` similarity.
+
+    Two sets so similar share one of the rarest runs of tokens of each, as many as may be missing from the other and one more; what
+    all of them have in common is not among these, so a frequent header pairs nothing.
+    """
+    sets = reps.join(streams, F.col("rep") == F.col("file_id")).select("rep", "hashes").mapInArrow(_gram_rows, "rep long, gram long, size int")
+    sets = cut(sets, "grams")
+    frequent = sets.groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("freq", "gram"))
+    needed = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - 1e-9) + 1
+    rare = cut(sets.join(frequent, "gram").withColumn("rank", rank).where((F.col("rank") <= needed) & (F.col("freq") > 1)).select("rep", "gram", "size"), "rare")
+    one, two = rare.alias("x"), rare.alias("y")
+    near = F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size") - 1e-9
+    return one.join(two, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.rep") < F.col("y.rep")) & near).select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hashes, bounds = unpack_binary(b.column("hashes"), np.int64)
+        for rep, a, z in zip(b.column("rep").to_pylist(), bounds[:-1], bounds[1:], strict=True):
+            found = np.unique(grams(hashes[a:z], SHINGLE)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), rep, np.int64)), pa.array(found), pa.array(np.full(len(found), len(found), np.int32))], names=["rep", "gram", "size"]
+            )
+
+
+def similar_pairs(streams: DataFrame, threshold: float = 0.7, min_tokens: int = 50, crowd: int = CROWD) -> DataFrame:
     """All pairs ``(file_a, file_b)``, ``file_a < file_b``, of similar or equal files."""
-    members, pairs = similar_classes(streams, threshold, min_tokens)
+    members, pairs = similar_classes(streams, threshold, min_tokens, crowd)
     a, b = (members.select(F.col("rep").alias(f"rep_{p}"), F.col("file_id").alias(p)) for p in "ab")
     across = pairs.join(a, "rep_a").join(b, "rep_b").select("a", "b")
     within = a.join(b, F.col("rep_a") == F.col("rep_b")).where("a < b").select("a", "b")

@@ -204,6 +204,18 @@ def test_near_duplicates_match_brute_force(spark, collect):
     assert {0, 500} <= linked[0]
 
 
+def test_crowded_variants_lose_and_add_nothing(spark, collect):
+    rng = random.Random(8)
+    header = [f"h{i}" for i in range(150)]
+    files = {k: header + [f"w{k}_{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))] for k in range(40)}
+    for k in range(5):
+        files[100 + k] = edited(rng, files[k], 0.01)
+    packed = cut(streams.file_streams(spark.createDataFrame(token_rows(files), TOKENS).repartition(3)), "t")
+    assert collect(balls.similar_pairs(packed, crowd=3)) == collect(balls.similar_pairs(packed)) == brute_pairs(files)
+    reps = packed.select("file_id").withColumnRenamed("file_id", "rep")
+    assert 5 <= balls.crowded_pairs(packed, reps, 0.7).count() < 60
+
+
 def test_near_duplicates_of_nothing(spark, collect):
     empty = cut(streams.file_streams(spark.createDataFrame([], TOKENS)), "t")
     assert collect(balls.similar_pairs(empty)) == [] and balls.miss_rate(0.7) < 2e-4
