@@ -17,7 +17,8 @@ def clean_tokens(tokens: DataFrame, files: DataFrame | None = None) -> DataFrame
     once = tokens.where("file_id is not null and unit is not null and text is not null").select("file_id", "unit", "line", "text")
     if files is not None:
         once = once.join(files.where(duplication_eligible(F.col("path"))).select("file_id").distinct(), "file_id", "left_semi")
-    return once.groupBy("file_id", "unit").agg(F.min("line").alias("line"), F.min("text").alias("text"))
+    # One exchange by file serves the copies here and all that follows by file: shingles, windows, lines.
+    return once.repartition("file_id").groupBy("file_id", "unit").agg(F.min("line").alias("line"), F.min("text").alias("text"))
 
 
 def shingles(tokens: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -34,17 +35,18 @@ def winnow(hashes: DataFrame, window: int = WINDOW) -> DataFrame:
     The least hash of every ``window`` consecutive ones, the rightmost of equals; then one more, the least after the last of these (the leftmost
     of equals). A file of up to ``window`` hashes gives its leftmost least one.
     """
-    w = Window.partitionBy("file_id").orderBy("pos")
+    w, whole = Window.partitionBy("file_id").orderBy("pos"), Window.partitionBy("file_id")
     least = F.min(F.struct("hash", (-F.col("pos")).alias("neg"))).over(w.rowsBetween(0, window - 1))
-    rows = hashes.select("file_id", "pos", "hash", least.alias("m"), F.count(F.lit(1)).over(Window.partitionBy("file_id")).alias("n"))
-    short = rows.where(F.col("n") <= window).groupBy("file_id").agg(F.min(F.struct("hash", "pos")).alias("m")).select("file_id", "m.pos", "m.hash")
-    long = rows.where(F.col("n") > window)
-    picked = long.where(F.col("pos") + window <= F.col("n")).select("file_id", (-F.col("m.neg")).alias("pos"), F.col("m.hash").alias("hash")).distinct()
-    last = picked.groupBy("file_id").agg(F.max("pos").alias("last"))
-    tail = (
-        long.join(last, "file_id").where("pos > last").groupBy("file_id").agg(F.min(F.struct("hash", "pos")).alias("m")).select("file_id", "m.pos", "m.hash")
-    )
-    return short.unionByName(picked).unionByName(tail)
+    rows = hashes.select("file_id", "pos", "hash", least.alias("m"), F.count(F.lit(1)).over(whole).alias("n"))
+    # The place of the least hash never moves back, so a window gives a new one where it differs from that of the window before.
+    at = F.when(F.col("pos") + window <= F.col("n"), -F.col("m.neg"))
+    rows = rows.select("file_id", "pos", "hash", "n", at.alias("at"), F.col("m.hash").alias("picked"))
+    rows = rows.select("*", F.lag("at").over(w).alias("before"), F.max("at").over(whole).alias("last"))
+    rest = F.when((F.col("n") <= window) | (F.col("pos") > F.col("last")), F.struct("hash", "pos"))
+    rows = rows.select("*", F.min(rest).over(whole).alias("tail"))
+    fresh = F.when(F.col("at").isNotNull() & ~F.col("at").eqNullSafe(F.col("before")), F.struct(F.col("at").alias("pos"), F.col("picked").alias("hash")))
+    ending = F.when((F.col("pos") == 0) & F.col("tail").isNotNull(), F.struct(F.col("tail.pos").alias("pos"), F.col("tail.hash").alias("hash")))
+    return rows.where(fresh.isNotNull() | ending.isNotNull()).select("file_id", F.explode(F.array_compact(F.array(fresh, ending))).alias("f")).select("file_id", "f.pos", "f.hash")
 
 
 def duplication_totals(tokens: DataFrame, k: int = SHINGLE, window: int = WINDOW, min_tokens: int = 100) -> DataFrame:

@@ -24,6 +24,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from codelode.session import drop_cuts
+
+    drop_cuts()
     session.stop()
 
 
