@@ -2,17 +2,23 @@
 
 Places of a line block whose copies all go on alike are one *stretch*; the stretches of a file are a short sequence of classes. Clone
 groups are the maximal repeats of these sequences: runs of classes that cannot be made longer, to the left or to the right, without
-losing a place. They are found level by level, each level one grouped count over the places still repeated.
+losing a place.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.operators.duplication import BLOCK_LINES, MIN_TOKENS, SHINGLE, WINDOW, collapse_runs, line_blocks, shingles, token_lines, winnow
 from codelode.session import cut, drop_cut
 
+#: Different continuations of one class that one task looks at.
+MANY = 20_000
+
 
 def stretches(blocks: DataFrame) -> DataFrame:
     """``(file_id, seq, class, start_idx, end_idx, start_line, end_line, start_unit, end_unit)``: runs of repeated blocks with one set of places.
@@ -32,53 +38,97 @@ def stretches(blocks: DataFrame) -> DataFrame:
     )
 
 
-def clone_parts(tokens: DataFrame, size: int = BLOCK_LINES, min_tokens: int = MIN_TOKENS, normalize_identifiers: bool = False, max_levels: int = 1000) -> DataFrame:
+def clone_parts(tokens: DataFrame, size: int = BLOCK_LINES, min_tokens: int = MIN_TOKENS, normalize_identifiers: bool = False, many: int = MANY) -> DataFrame:
     """``(group_id, file_id, start_line, end_line, blocks, tokens)``: the parts of each clone group.
 
     A group is a longest run of lines, of ``size`` lines at least, that stands in two places or more; places may lie in one file. A group
     all of whose parts lie within parts of one other group of the same files is left out, and so is one without a part of
-    ``min_tokens``. A level looks at the places whose run of classes is still repeated, so work falls from level to level; raises after ``max_levels``.
+    ``min_tokens``. All places of a run begin with one class, so each class is looked at by itself, with what follows its places; places that go
+    on alike count as one. A class with more than ``many`` different continuations is taken level by level instead.
     """
     blocks = line_blocks(collapse_runs(token_lines(tokens, normalize_identifiers)), size)
     base = cut(stretches(blocks), "stretches")
     w = Window.partitionBy("file_id").orderBy("seq")
-    linked = base.withColumn("joined", F.coalesce(F.lag("end_idx").over(w) == F.col("start_idx") - 1, F.lit(False)))
-    # A run is named by its classes in order; "before" is the name of the run that ends one class earlier and has the same length.
-    now = cut(linked.select("file_id", "seq", F.col("seq").alias("last"), F.col("class").alias("run"), "joined"), "runs")
+    joined = F.coalesce(F.lag("end_idx").over(w) == F.col("start_idx") - 1, F.lit(False))
+    linked = base.withColumn("joined", joined).withColumn("chain", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(w))
+    chains = linked.groupBy("file_id", "chain").agg(F.min("seq").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "class"))), lambda x: x["class"]).alias("all"))
+    each = chains.select("file_id", "first", "all", F.posexplode("all").alias("i", "class"))
+    following = F.slice("all", F.col("i") + 1, F.size("all"))
+    rows = each.select("file_id", (F.col("first") + F.col("i")).alias("seq"), "class", F.get("all", F.col("i") - 1).alias("prev"), following.alias("after"))
+    rows = cut(rows.withColumn("key", F.md5(F.concat_ws("|", "after"))), "places")
+    kinds = cut(rows.groupBy("class", "key", "prev").agg(F.count(F.lit(1)).alias("n"), F.first("after").alias("after")), "kinds")
+    classes = kinds.groupBy("class").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("places")).where("places > 1")
+    small = kinds.join(classes.where(F.col("kinds") <= many), "class", "left_semi")
+    runs = small.groupBy("class").applyInArrow(_repeats, "class string, key string, length int, group_id string, n long")
+    found = rows.join(runs, ["class", "key"]).select("file_id", F.col("seq").alias("a"), (F.col("seq") + F.col("length") - 1).alias("b"), "group_id", "n")
+    large = classes.where(F.col("kinds") > many).select("class")
+    if not large.isEmpty():
+        found = found.unionByName(_by_levels(linked, large))
+    first = base.select("file_id", F.col("seq").alias("a"), "start_idx", "start_line", "start_unit")
+    last = base.select("file_id", F.col("seq").alias("b"), "end_idx", "end_line", "end_unit")
+    parts = found.join(first, ["file_id", "a"]).join(last, ["file_id", "b"]).select(
+        "group_id", "n", "file_id", "start_line", "end_line", "start_idx", "end_idx", (F.col("end_idx") - F.col("start_idx") + 1).alias("blocks"), (F.col("end_unit") - F.col("start_unit") + 1).alias("tokens")
+    )
+    wide = parts.groupBy("group_id").agg(F.max("tokens").alias("most")).where(F.col("most") >= min_tokens).select("group_id")
+    return without_contained(cut(parts.join(wide, "group_id", "left_semi"), "parts")).select("group_id", "file_id", "start_line", "end_line", "blocks", "tokens")
+
+
+def _repeats(table: pa.Table) -> pa.Table:
+    """The maximal repeats that begin with one class, given by length for each continuation that has them."""
+    name = table["class"][0].as_py()
+    rows = list(zip(*(table[c].to_pylist() for c in ("key", "prev", "n", "after")), strict=True))
+    out: dict[tuple[str, int], tuple[str, int]] = {}
+    level, depth = {name: rows}, 1
+    while level:
+        deeper: dict[str, list] = {}
+        for run, some in level.items():
+            total = sum(r[2] for r in some)
+            if total < 2:
+                continue
+            nexts: dict[str, list] = {}
+            for r in some:
+                if len(r[3]) > depth:
+                    nexts.setdefault(r[3][depth], []).append(r)
+            left = {r[1] for r in some}
+            if (None in left or len(left) > 1) and not any(sum(r[2] for r in more) == total for more in nexts.values()):
+                for r in some:
+                    out[(r[0], depth)] = (run, total)
+            for c, more in nexts.items():
+                deeper[md5(f"{run}|{c}".encode()).hexdigest()] = more
+        level, depth = deeper, depth + 1
+    return pa.table(
+        {
+            "class": pa.array([name] * len(out), pa.string()), "key": pa.array([k for k, _ in out], pa.string()), "length": pa.array([d for _, d in out], pa.int32()),
+            "group_id": pa.array([g for g, _ in out.values()], pa.string()), "n": pa.array([n for _, n in out.values()], pa.int64()),
+        }
+    )
+
+
+def _by_levels(linked: DataFrame, classes: DataFrame, max_levels: int = 1000) -> DataFrame:
+    """The same for classes of any size: each level is one grouped count over the places whose run is still repeated. Raises after ``max_levels``."""
+    now = cut(linked.join(classes, "class", "left_semi").select("file_id", "seq", F.col("seq").alias("last"), F.col("class").alias("run"), "joined"), "runs")
+    nxt = linked.select("file_id", F.col("seq").alias("to"), F.col("class").alias("next")).where("joined")
+    prev = linked.select("file_id", (F.col("seq") + 1).alias("seq"), F.col("class").alias("prev"))
     done: DataFrame | None = None
-    level = 0
-    while True:
-        level += 1
+    for _ in range(max_levels):
         counts = now.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         alive = cut(now.join(counts, "run"), "alive")
         drop_cut(now)
-        nxt = linked.select("file_id", F.col("seq").alias("to"), F.col("class").alias("next"), F.col("joined").alias("next_joined"))
-        grown = alive.join(nxt, (alive["file_id"] == nxt["file_id"]) & (nxt["to"] == alive["last"] + 1) & nxt["next_joined"]).select(
-            alive["file_id"], "seq", F.col("to").alias("last"), F.md5(F.concat_ws("|", "run", "next")).alias("run"), "joined", F.col("run").alias("short"), F.col("n").alias("short_n"), "next"
+        grown = alive.withColumn("to", F.col("last") + 1).join(nxt, ["file_id", "to"]).select(
+            "file_id", "seq", F.col("to").alias("last"), F.md5(F.concat_ws("|", "run", "next")).alias("run"), "joined", F.col("run").alias("short"), F.col("n").alias("short_n")
         )
         grown = cut(grown, "grown")
-        wider = grown.groupBy("run", "short", "short_n").agg(F.count(F.lit(1)).alias("m"))
-        not_right = wider.where("m = short_n").select(F.col("short").alias("run")).distinct()
+        not_right = grown.groupBy("run", "short", "short_n").agg(F.count(F.lit(1)).alias("m")).where("m = short_n").select(F.col("short").alias("run")).distinct()
         # To the left: all places go back to one and the same class.
-        prev = linked.select("file_id", (F.col("seq") + 1).alias("seq"), F.col("class").alias("prev"))
-        back = alive.where("joined").join(prev, ["file_id", "seq"]).groupBy("run", "n", "prev").agg(F.count(F.lit(1)).alias("m"))
-        not_left = back.where("m = n").select("run").distinct()
+        not_left = alive.where("joined").join(prev, ["file_id", "seq"]).groupBy("run", "n", "prev").agg(F.count(F.lit(1)).alias("m")).where("m = n").select("run").distinct()
         found = cut(alive.join(not_right, "run", "left_anti").join(not_left, "run", "left_anti").select("file_id", F.col("seq").alias("a"), F.col("last").alias("b"), F.col("run").alias("group_id"), "n"), "found")
         done = found if done is None else done.unionByName(found)
         now = cut(grown.select("file_id", "seq", "last", "run", "joined"), "runs")
         drop_cut(grown)
         drop_cut(alive)
         if now.isEmpty():
-            break
-        if level >= max_levels:
-            raise RuntimeError(f"runs still grow after {max_levels} levels")
-    first = base.select("file_id", F.col("seq").alias("a"), "start_idx", "start_line", "start_unit")
-    last = base.select("file_id", F.col("seq").alias("b"), "end_idx", "end_line", "end_unit")
-    parts = done.join(first, ["file_id", "a"]).join(last, ["file_id", "b"]).select(
-        "group_id", "n", "file_id", "start_line", "end_line", "start_idx", "end_idx", (F.col("end_idx") - F.col("start_idx") + 1).alias("blocks"), (F.col("end_unit") - F.col("start_unit") + 1).alias("tokens")
-    )
-    large = parts.groupBy("group_id").agg(F.max("tokens").alias("most")).where(F.col("most") >= min_tokens).select("group_id")
-    return without_contained(cut(parts.join(large, "group_id", "left_semi"), "parts")).select("group_id", "file_id", "start_line", "end_line", "blocks", "tokens")
+            return done
+    raise RuntimeError(f"runs still grow after {max_levels} levels")
 
 
 def without_contained(parts: DataFrame) -> DataFrame:

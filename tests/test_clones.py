@@ -45,8 +45,9 @@ def test_clone_parts_are_the_maximal_repeats(spark, collect):
                 ts[at : at + 12 - 2 * f] = shared[f : 12 - f]
             # Equal lines in a row are collapsed before, which brute force does not do.
             files[f] = [t for i, t in enumerate(ts) if not i or t != ts[i - 1]]
-        found = collect(clones.clone_parts(table(spark, files), size=3, min_tokens=1).select("file_id", "start_line", "end_line"))
-        assert found == sorted(maximal_repeats(files, 3), key=repr)
+        for many in (clones.MANY, 1):
+            found = collect(clones.clone_parts(table(spark, files), size=3, min_tokens=1, many=many).select("file_id", "start_line", "end_line"))
+            assert found == sorted(maximal_repeats(files, 3), key=repr)
 
 
 def test_clones_of_little(spark, collect):
