@@ -12,20 +12,27 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from math import log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import cut
+
 #: Labelled rows the forest is trained on at most, taken by hash of the id; the measures cover all files.
 TRAINING_ROWS = 20_000
 #: The probability from which the forest, which weighs both labels alike, takes a file.
 SURE = 0.5
+#: The first forests' probability from which a file that teaches 0 does not teach again.
+DOUBTFUL = 0.8
 TREES, DEPTH, SEED = 40, 8, 7
+#: A file is judged by a forest that was taught by the files of the other folds.
+FOLDS = 2
 FEATURES = (
     "compression", "token_entropy", "char_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line",
     "white_space", "digits", "longest_literal", "number_tokens", "shape_repetition", "numbered_names", "log_lines", "code_share",
@@ -174,13 +181,41 @@ def measure_files(files: DataFrame) -> DataFrame:
     return measured.dropDuplicates(["file_id"])
 
 
-def train(measured: DataFrame, rows: int = TRAINING_ROWS) -> RandomForestClassificationModel | None:
-    """The forest over at most ``rows`` taught rows; None where they don't have both labels.
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("file_id", F.lit(FOLDS)), F.lit(FOLDS))
+
+
+def train(measured: DataFrame, rows: int = TRAINING_ROWS) -> list[RandomForestClassificationModel] | None:
+    """Forests over at most ``rows`` taught rows, one for each fold of the files, which it has not seen; one for all where a fold's others don't have both
+    labels, and None where not even all have. A file without a notice teaches 0, so a forest that has seen it may only repeat that.
 
-    Of each label it takes up to half, in order of a hash of the id, and weighs the two alike: the rows that teach 0 are many, and
+    Of each label a forest takes up to half, in order of a hash of the id, and weighs the two alike: the rows that teach 0 are many, and
     some of them are cases without a notice, which the weight keeps from deciding.
     """
     taught = measured.where("taught is not null").select("file_id", F.col("taught").alias("label"), array_to_vector("features").alias("features"))
+    forests = _forests(taught, rows)
+    if forests is None:
+        return None
+    # Cases without a notice teach the wrong label; those the first forests take for such are left out of the second teaching.
+    doubtful = cut(_judged(taught.where("label = 0"), forests).where(F.col("probability") >= DOUBTFUL).select("file_id"), "doubtful")
+    return _forests(taught.join(doubtful, "file_id", "left_anti"), rows) or forests
+
+
+def _forests(taught: DataFrame, rows: int) -> list[RandomForestClassificationModel] | None:
+    forests = [_forest(taught.where(_fold() != k), rows) for k in range(FOLDS)]
+    if all(forests):
+        return forests
+    one = _forest(taught, rows)
+    return [one] * FOLDS if one else None
+
+
+def _judged(rows: DataFrame, forests: list[RandomForestClassificationModel]) -> DataFrame:
+    """``rows`` with the ``probability`` of the forest that has not seen each."""
+    parts = [forest.transform(rows.where(_fold() == k)).withColumn("probability", vector_to_array("probability")[1]) for k, forest in enumerate(forests)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _forest(taught: DataFrame, rows: int) -> RandomForestClassificationModel | None:
     halves = [taught.where(F.col("label") == k).orderBy(F.xxhash64("file_id"), "file_id").limit(rows // 2) for k in (0, 1)]
     sample = halves[0].unionByName(halves[1]).withColumn("label", F.col("label").cast("double"))
     counts = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
@@ -191,16 +226,14 @@ def train(measured: DataFrame, rows: int = TRAINING_ROWS) -> RandomForestClassif
     return forest.fit(weighed)
 
 
-def find_not_handwritten(measured: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """``(file_id, evidence, probability)`` of the files the forest takes for not hand-written, and of those a notice or a path states to be so.
+def find_not_handwritten(measured: DataFrame, forests: list[RandomForestClassificationModel] | None) -> DataFrame:
+    """``(file_id, evidence, probability)`` of the files a forest takes for not hand-written, and of those a notice or a path states to be so.
 
     ``evidence`` is ``forest`` where the forest is sure, whatever the notice says, else ``notice`` or ``path``; the probability is the forest's for
-    every row. ``measured`` is read again: pass a written table. Without a model (nothing to learn from) notices and paths decide alone.
+    every row, of the one that has not seen the file. ``measured`` is read again: pass a written table. Without forests (nothing to learn from) notices and paths decide alone.
     """
-    if model is None:
+    if forests is None:
         return measured.where("evidence is not null").select("file_id", "evidence", F.lit(None).cast("double").alias("probability"))
-    judged = model.transform(measured.withColumn("features", array_to_vector("features"))).withColumn(
-        "probability", vector_to_array("probability")[1]
-    )
+    judged = _judged(measured.withColumn("features", array_to_vector("features")), forests)
     why = F.when(F.col("probability") >= SURE, F.lit("forest")).otherwise(F.col("evidence"))
     return judged.select("file_id", why.alias("evidence"), "probability").where("evidence is not null")
