@@ -193,7 +193,7 @@ def train(measured: DataFrame, rows: int = TRAINING_ROWS) -> list[RandomForestCl
     some of them are cases without a notice, which the weight keeps from deciding.
     """
     taught = measured.where("taught is not null").select("file_id", F.col("taught").alias("label"), array_to_vector("features").alias("features"))
-    forests = _forests(taught, rows)
+    forests = _forests(taught, rows, TREES // 2)
     if forests is None:
         return None
     # Cases without a notice teach the wrong label; those the first forests take for such are left out of the second teaching.
@@ -201,11 +201,11 @@ def train(measured: DataFrame, rows: int = TRAINING_ROWS) -> list[RandomForestCl
     return _forests(taught.join(doubtful, "file_id", "left_anti"), rows) or forests
 
 
-def _forests(taught: DataFrame, rows: int) -> list[RandomForestClassificationModel] | None:
-    forests = [_forest(taught.where(_fold() != k), rows) for k in range(FOLDS)]
+def _forests(taught: DataFrame, rows: int, trees: int = TREES) -> list[RandomForestClassificationModel] | None:
+    forests = [_forest(taught.where(_fold() != k), rows, trees) for k in range(FOLDS)]
     if all(forests):
         return forests
-    one = _forest(taught, rows)
+    one = _forest(taught, rows, trees)
     return [one] * FOLDS if one else None
 
 
@@ -215,14 +215,15 @@ def _judged(rows: DataFrame, forests: list[RandomForestClassificationModel]) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def _forest(taught: DataFrame, rows: int) -> RandomForestClassificationModel | None:
+def _forest(taught: DataFrame, rows: int, trees: int) -> RandomForestClassificationModel | None:
     halves = [taught.where(F.col("label") == k).orderBy(F.xxhash64("file_id"), "file_id").limit(rows // 2) for k in (0, 1)]
-    sample = halves[0].unionByName(halves[1]).withColumn("label", F.col("label").cast("double"))
+    # Read many times in fitting, and no larger than ``rows``.
+    sample = cut(halves[0].unionByName(halves[1]).withColumn("label", F.col("label").cast("double")), "sample")
     counts = {int(r["label"]): r["count"] for r in sample.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
     weighed = sample.withColumn("weight", F.when(F.col("label") == 1, counts[0] / counts[1]).otherwise(1.0))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, weightCol="weight")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, weightCol="weight")
     return forest.fit(weighed)
 
 
