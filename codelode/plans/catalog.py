@@ -293,6 +293,14 @@ def file_shapes(spark, d):
     return metrics.file_shapes(_files(spark, d)).select("file_id", F.size("functions").alias("functions"), "classes", "interfaces", "aliases", "enums", "complexity")
 
 
+@query
+def file_counts(spark, d):
+    """Functions, classes and complexity read from the texts, of the files for which the scan counts functions."""
+    counted = load(spark, d, "files").where("function_count > 0 and class_count is not null and cyclomatic_complexity is not null").select("file_id").distinct()
+    found = metrics.file_shapes(_files(spark, d)).join(counted, "file_id", "left_semi")
+    return found.select("file_id", F.size("functions").alias("functions"), "classes", "complexity")
+
+
 @query
 def reported_blocks(spark, d):
     return duplication.reported_blocks(load(spark, d, "duplicate_blocks"))

@@ -354,6 +354,8 @@ FROM pairs0 JOIN lb x ON x.file_id = file_a JOIN lb y ON y.file_id = file_b AND
   (SELECT count(DISTINCT (file_id, line)) FROM (SELECT file_id, unnest(range(start_line, end_line + 1)) AS line FROM runs)) AS duplicated)
 """ for mode, runs in (("sonar", _RUNS), ("sonar-normalized", _RUNS.replace(*_ALIKE)))),
         "function_shapes": "SELECT DISTINCT file_id, name, start_line, end_line, complexity AS cyclomatic, parameter_count AS parameters FROM functions WHERE complexity IS NOT NULL",
+        "file_counts": """SELECT DISTINCT file_id, function_count AS functions, class_count AS classes, cyclomatic_complexity AS complexity FROM files
+WHERE function_count > 0 AND class_count IS NOT NULL AND cyclomatic_complexity IS NOT NULL AND file_id IS NOT NULL""",
         "reported_blocks": r"""WITH o AS (SELECT block_id, token_count, unnest(occurrences) AS o FROM duplicate_blocks WHERE block_id IS NOT NULL),
 b AS (SELECT DISTINCT block_id, token_count FROM duplicate_blocks WHERE block_id IS NOT NULL),
 d AS (SELECT DISTINCT block_id, token_count, replace(o.file, '\', '/') AS file, o.start_line AS s, o.end_line AS e FROM o)
